@@ -43,7 +43,7 @@ class ChunkIds(dict):
     are encoded many at a time and cut at their word-end tokens. ``encode`` gives texts' ids.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
