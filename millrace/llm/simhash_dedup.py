@@ -107,7 +107,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = distinct.withColumn("p", ones).groupBy("p", F.pmod(F.xxhash64("fp"), chunks[F.col("p")]).cast("int").alias("c")).agg(F.collect_list("fp").alias("fps"))
     blocks = stash(blocks, "blocks")
     # Each block meets itself, later blocks of its own count, and blocks of the next ``radius`` counts.
-    meets = [F.transform(F.sequence(F.lit(0), chunks[F.least(F.col("p") + d, F.lit(64))] - 1), lambda c, d=d: F.struct((F.col("p") + d).alias("p"), c.alias("c"))) for d in range(radius + 1)]
+    def at(d: int):
+        """The blocks of the population count ``d`` higher; a lambda's second argument would be Spark's index."""
+        return F.transform(F.sequence(F.lit(0), chunks[F.least(F.col("p") + d, F.lit(64))] - 1), lambda c: F.struct((F.col("p") + d).alias("p"), c.alias("c")))
+
+    meets = [at(d) for d in range(radius + 1)]
     pairs = blocks.select("p", "c", "fps", F.explode(F.flatten(F.array(*meets))).alias("to")).where("to.p <= 64 and (to.p > p or to.c >= c)")
     other = blocks.select(F.struct("p", "c").alias("to"), F.col("fps").alias("others"))
     n = max(1, sum(sizes.get(p, 0) * sum(sizes.get(p + d, 0) for d in range(radius + 1)) for p in sizes))
