@@ -1 +1 @@
-"""Public-data analytics as Spark jobs: normalising, versioning, crosswalks, metrics, search and intervals."""
+"""Versioned public-data facts with Spark: normalising, merging, comparing, searching and following them."""
