@@ -89,39 +89,53 @@ def ngrams(text: bytes, hashes: WordHashes, shapes: Shapes, bits: int) -> tuple[
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int) -> DataFrame:
-    """doc_id, text and y of the labelled documents that are not held out; the first label of an id counts."""
+    """doc_id and y of the labelled documents that are not held out; of an id's labels the least counts."""
     train = labels.where(crc_remainder(F.col("doc_id"), mod) != held).where(F.col(label).isin(0, 1))
-    train = train.groupBy(F.col("doc_id").alias("_labelled")).agg(F.min(label).cast("int").alias("y"))
-    return docs.select("doc_id", "text").join(train, F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "y")
+    train = train.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
+    return train.join(docs.select(F.col("doc_id").alias("_there")), F.col("doc_id") == F.col("_there"), "left_semi")
 
 
-def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows, the least by a hash of their id: the same ones whatever the partitions."""
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def bounded_sample(ids: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, the least by a hash of their doc_id: the same ones whatever the partitions."""
+    return ids.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def feature_rows(rows: DataFrame, extract, kind: str) -> DataFrame:
-    """Replaces ``text`` by the lists that ``extract()(text)`` gives."""
+def sample_features(docs: DataFrame, ids: DataFrame, most: int, extract, names: str, kinds: str) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, list]]:
+    """Features of a bounded sample of documents: (offsets, the lists' values by name, other columns of ``ids``), in an order
+    that the ids fix.
+
+    Only ids are sampled; they are at most ``most`` small rows, which are broadcast, so texts are read and cut into
+    features where they lie and only features move. Of rows that share an id the one with the least hash counts.
+    """
+    lists = names.split()
+    chosen = bounded_sample(ids, most).withColumnRenamed("doc_id", "_id")
+    others = [c for c in chosen.columns if c != "_id"]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    rows = rows.select("text", F.xxhash64("text").alias("_h"), "doc_id", *others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = extract()
         for batch, texts in slices(batches, "text"):
-            lists = list(zip(*(of(t) for t in texts), strict=True))
-            keep = [batch.column(k) for k in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*keep, *(pa.array(x) for x in lists)], [*batch.schema.names[1:], *names])
-
-    others = [c for c in rows.columns if c != "text"]
-    names = [x.split()[0] for x in kind.split(", ")]
-    ordered = rows.select("text", *others)
-    schema = ", ".join([*(f"{c} {t}" for c, t in ordered.dtypes[1:]), kind])
-    return ordered.mapInArrow(run, schema)
-
-
-def lists_of(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of a column of lists."""
-    whole = table[column].combine_chunks()
-    offsets = np.concatenate([[0], np.cumsum(np.asarray(whole.value_lengths(), np.int64))])
-    return np.asarray(whole.flatten()), offsets
+            found = list(zip(*(of(t) for t in texts), strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(x) for x in found)], [*batch.schema.names[1:], *lists])
+
+    schema = ", ".join([*(f"{c} {t}" for c, t in rows.dtypes[1:]), *(f"{n} {k}" for n, k in zip(lists, kinds.split(), strict=True))])
+    found = rows.mapInArrow(run, schema).groupBy("doc_id").agg(F.min(F.struct("_h", *others, *lists)).alias("r"))
+    table = found.select(F.xxhash64("doc_id").alias("_order"), "doc_id", *(F.col(f"r.{c}") for c in (*others, *lists))).toArrow()
+    order = np.lexsort((np.asarray(table["doc_id"]), np.asarray(table["_order"])))
+    lengths = np.asarray(table[lists[0]].combine_chunks().value_lengths(), np.int64) if len(table) else np.zeros(0, np.int64)
+    plain = {c: [table[c][int(i)].as_py() for i in order] for c in others}
+    values = {}
+    for name in lists:  # a column at a time, so that few copies stand side by side
+        column = table[name]
+        table = table.drop_columns([name])
+        chunks = [np.asarray(c.flatten()) for c in column.chunks]
+        values[name] = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
+        del column, chunks
+    starts = np.cumsum(lengths) - lengths
+    bounds = np.stack([starts[order], (starts + lengths)[order]], axis=1)
+    pa.default_memory_pool().release_unused()
+    return bounds, values, plain
 
 
 def scored(docs: DataFrame, scorer, keep: list[str]) -> DataFrame:

@@ -17,32 +17,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, crc_remainder
-from ._features import Shapes, bounded_sample, feature_rows, labelled, lists_of, logistic, ngrams, scored
+from ._features import Shapes, labelled, logistic, ngrams, sample_features, scored
 
 MOD, HELD = 5, 0
 
 
-def fit_ftrl(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray, y: np.ndarray, columns: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0) -> tuple[np.ndarray, float]:
-    """(weights, bias): per-coordinate FTRL-proximal over the rows in order."""
+def fit_ftrl(at: np.ndarray, x: np.ndarray, bounds: np.ndarray, y: np.ndarray, columns: int, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0) -> tuple[np.ndarray, float]:
+    """(weights, bias): per-coordinate FTRL-proximal over the rows in order; ``bounds``: where each row's features lie."""
     z, n = np.zeros(columns), np.zeros(columns)
     bias, b2 = 0.0, 1.0
 
-    def leader(at):
-        a = z[at]
-        return np.where(np.abs(a) <= l1, 0.0, (np.sign(a) * l1 - a) / ((beta + np.sqrt(n[at])) / alpha + l2))
+    def leader(a, m):
+        return np.where(np.abs(a) <= l1, 0.0, (np.sign(a) * l1 - a) / ((beta + np.sqrt(m)) / alpha + l2))
 
     for _ in range(epochs):
-        for row in range(len(y)):
-            at, x = values[offsets[row] : offsets[row + 1]], weights[offsets[row] : offsets[row + 1]]
-            w = leader(at)
-            g = logistic(bias + x @ w) - y[row]
-            gx = g * x
-            grown = n[at] + gx * gx
-            np.add.at(z, at, gx - (np.sqrt(grown) - np.sqrt(n[at])) / alpha * w)
-            n[at] = grown
+        for (first, end), label in zip(bounds.tolist(), y.tolist(), strict=True):
+            here, value = at[first:end], x[first:end].astype(np.float64)
+            held = n[here]
+            w = leader(z[here], held)
+            g = logistic(bias + value @ w) - label
+            gx = g * value
+            grown = held + gx * gx
+            np.add.at(z, here, gx - (np.sqrt(grown) - np.sqrt(held)) / alpha * w)
+            n[here] = grown
             b2 += g * g
             bias -= g / np.sqrt(b2)
-    return leader(np.arange(columns)), float(bias)
+    return leader(z, n), float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 12_000) -> tuple[np.ndarray, float]:
@@ -52,16 +52,12 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, max_rows: int = 12
         hashes, shapes = WordHashes(), Shapes()
         return lambda text: ngrams(text, hashes, shapes, bits)
 
-    rows = bounded_sample(labelled(docs, labels, "quality", MOD, HELD), max_rows).select("doc_id", "text", "y")
-    found = feature_rows(rows, extract, "at array<int>, x array<float>").toArrow()
-    if not len(found):
+    known = labelled(docs, labels, "quality", MOD, HELD)
+    bounds, values, plain = sample_features(docs, known, max_rows, extract, "at x", "array<int> array<float>")
+    if not len(bounds):
         return np.zeros(1 << bits, np.float32), 0.0
-    (at, offsets), (x, _) = lists_of(found, "at"), lists_of(found, "x")
-    used, at = np.unique(at, return_inverse=True)
-    w, bias = fit_ftrl(at, x.astype(np.float64), offsets, np.asarray(found["y"].combine_chunks()).astype(float), len(used))
-    weights = np.zeros(1 << bits, np.float32)
-    weights[used] = w
-    return weights, bias
+    w, bias = fit_ftrl(values["at"], values["x"], bounds, np.array(plain["y"], float), 1 << bits)
+    return w.astype(np.float32), bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, crc_remainder
-from ._features import Beginnings, bounded_sample, feature_rows, labelled, lists_of, logistic, presence, scored
+from ._features import Beginnings, labelled, logistic, presence, sample_features, scored
 
 MOD, HELD = 3, 1
 
@@ -31,17 +31,32 @@ def beginnings() -> list[Beginnings]:
 
 
 class Batch:
-    """Rows of a sparse 0/1 matrix."""
+    """Rows of a sparse 0/1 matrix: row i has the columns ``values[bounds[i, 0] : bounds[i, 1]]``."""
 
-    def __init__(self, values: np.ndarray, offsets: np.ndarray):
-        self.values, self.offsets, self.n = values, offsets, len(offsets) - 1
+    def __init__(self, values: np.ndarray, bounds: np.ndarray):
+        self.values, self.bounds, self.n = values, bounds, len(bounds)
 
     def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row numbers within the part, columns)"""
-        lengths = self.offsets[rows + 1] - self.offsets[rows]
-        at = np.repeat(self.offsets[rows] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        first = self.bounds[rows, 0]
+        lengths = self.bounds[rows, 1] - first
+        at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         return np.repeat(np.arange(len(rows)), lengths), self.values[at]
 
+    def counts(self, columns: int, step: int = 1 << 20) -> np.ndarray:
+        """In how many rows each column is."""
+        out = np.zeros(columns, np.int64)
+        for first in range(0, len(self.values), step):
+            out += np.bincount(self.values[first : first + step], minlength=columns)
+        return out
+
+    def only(self, column: np.ndarray) -> "Batch":
+        """With columns renumbered by ``column``, without those that it maps to -1."""
+        values = column[self.values]
+        keep = values >= 0
+        before = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])
+        return Batch(values[keep], before[self.bounds].astype(np.int64))
+
 
 def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, seed: int, epochs: int = 15, size: int = 256, rate: float = 0.3, l1: float = 1e-3) -> tuple[np.ndarray, float]:
     """(weights, bias) by AdaGrad on the non-negative risk with the logistic loss."""
@@ -89,22 +104,19 @@ def train(
         prior = min(max((toxic or 0) / n, 1e-3), 0.5) if n else 0.5
     weights = np.zeros(1 << bits, np.float32)
     bias = float(np.log(prior / (1 - prior)))
-    free = docs.select("doc_id", "text").where(crc_remainder(F.col("doc_id"), MOD) != HELD)
-    sides = [feature_rows(bounded_sample(rows, most).select("text"), extract, "words array<int>").toArrow() for rows, most in ((known.where("y = 1"), max_positive), (free, max_unlabelled))]
-    if not all(len(x) for x in sides):
+    free = docs.select("doc_id").where(crc_remainder(F.col("doc_id"), MOD) != HELD).distinct()
+    sides = []
+    for ids, most in ((known.where("y = 1").select("doc_id"), max_positive), (free, max_unlabelled)):
+        bounds, values, _ = sample_features(docs, ids, most, extract, "words", "array<int>")
+        sides.append(Batch(values["words"], bounds))
+    if not all(side.n for side in sides):
         return weights, bias
-    (pv, po), (uv, uo) = (lists_of(x, "words") for x in sides)
     # Words that few documents of the sample have carry no evidence.
-    count = np.bincount(pv, minlength=1 << bits) + np.bincount(uv, minlength=1 << bits)
-    used = np.flatnonzero(count >= least_docs)
-    column = np.full(1 << bits, -1, np.int64)
+    used = np.flatnonzero(sides[0].counts(1 << bits) + sides[1].counts(1 << bits) >= least_docs)
+    column = np.full(1 << bits, -1, np.int32)
     column[used] = np.arange(len(used))
-
-    def batch(values: np.ndarray, offsets: np.ndarray) -> Batch:
-        keep = column[values] >= 0
-        return Batch(column[values[keep]], np.concatenate([[0], np.cumsum(keep)])[offsets])
-
-    positive, unlabelled = batch(pv, po), batch(uv, uo)
+    positive, unlabelled = (side.only(column) for side in sides)
+    del sides
     fits = [fit_nnpu(positive, unlabelled, len(used), prior, seed) for seed in range(members)]
     weights[used] = np.mean([w for w, _ in fits], axis=0)
     return weights, float(np.mean([b for _, b in fits]))
