@@ -9,11 +9,14 @@ place, so there are many times fewer picks than windows.
    its sketch by shards; shards are merged into bits "two or more". The width follows the corpus up to
    ``max_cells``, which bounds what is broadcast: ``rows * max_cells / 8`` bytes. A fuller sketch only lets
    more windows through; it never loses one.
-2. A second pass sends on the windows whose pick is estimated repeated in all rows of the sketch, as runs of
-   windows that share a pick: a run's 128-bit hash stands for all its windows. Runs that occur twice are
-   repeated as a whole; the windows of runs that occur once are grouped exactly, with those of all distinct
-   runs, by 128 bits (the pick and the window hash).
-3. The repeated spans go to their documents by an equi-join, and covered words are removed.
+2. A second pass writes the windows whose pick is estimated repeated in all rows of the sketch, as runs of
+   windows that share a pick: 128 bits (the pick and a hash of the run's windows) stand for all of them. Runs are
+   grouped exactly. One that occurs twice or more is repeated as a whole, as most are; those that occur once are the
+   exceptions. If no other run has an exception's pick, none of its windows is repeated. If one has (a mixed
+   pick), the windows of the pick's runs are grouped exactly, by 128 bits (the pick and the window's hash). Mixed
+   picks and exceptions are looked up in bitmaps bounded like the sketch, which only let more through.
+3. Only exceptions, and their windows that are repeated after all, go to their documents by an equi-join. The last
+   pass finds a document's runs again, leaves out the exceptions, and removes the covered words.
 
 Counts are combined before each shuffle and hot keys meet only in equi-joins that Spark may split, so a
 passage that a third of all documents share is no hot group.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, mixed, slices, stash
+from ._common import WordHashes, drop_stash, mixed, slices, stash
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SHARDS = 64
@@ -84,6 +87,7 @@ class Picks:
         lengths = np.array([len(w) for w in split], np.int64)
         self.doc = self.start = self.n = np.zeros(0, np.int64)
         self.pick = self.windows = np.zeros(0, np.uint64)
+        self.split, self.lengths = split, lengths
         long = np.flatnonzero(lengths >= width)
         if not len(long):
             return
@@ -109,12 +113,10 @@ class Picks:
         self.pick = grams[at[self.first].astype(np.int64)]
         self.windows = rolling(words, width, M2)[inside]
 
-    def run_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each run's windows in order."""
-        within = ranges(self.n)
+    def run_hashes(self) -> np.ndarray:
+        """A hash of each run's windows in order."""
         most = int(self.n.max(initial=0))
-        sums = [np.add.reduceat(x * powers(base, most)[within], self.first) for x, base in ((self.windows, M1), (mixed(self.windows), M3))]
-        return mixed(sums[0]), mixed(sums[1])
+        return mixed(np.add.reduceat(self.windows * powers(M1, most)[ranges(self.n)], self.first)) if len(self.n) else self.windows
 
 
 def ranges(lengths: np.ndarray) -> np.ndarray:
@@ -134,33 +136,28 @@ def sketch_bits(total_bytes: int, max_cells: int) -> int:
     return int(np.clip(np.ceil(np.log2(max(total_bytes, 1) / 16)), 16, np.log2(max_cells)))
 
 
-def repeated_cells(docs: DataFrame, width: int, gram: int, rows: int, bits: int, shuffle_to: int) -> dict[int, bytes]:
-    """The merged sketch: for each row, a bit for each cell whose count is two or more."""
+def shard_parts(cells: list[np.ndarray], bits: int, all_count: bool = False) -> pa.RecordBatch:
+    """Cells of each row by shard: those that occur once here, and those that occur more often (``all_count``: all are such)."""
+    out = {"row": [], "shard": [], "once": [], "more": []}
+    for row, found in enumerate(cells):
+        found, counts = np.unique(found, return_counts=True)
+        more = counts > (0 if all_count else 1)
+        cuts = np.searchsorted(found, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(bits - 6))
+        for shard in range(SHARDS):
+            part = slice(cuts[shard], cuts[shard + 1])
+            if part.start < part.stop:
+                out["row"].append(row)
+                out["shard"].append(shard)
+                out["once"].append(found[part][~more[part]].tobytes())
+                out["more"].append(found[part][more[part]].tobytes())
+    return pa.RecordBatch.from_pydict(out, pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary())]))
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
-        for _, texts in slices(batches, "text"):
-            held.append(Picks(texts, hashes, width, gram).pick)
-            size += len(held[-1])
-            if size > 2_000_000:
-                yield partial(np.concatenate(held))
-                held, size = [], 0
-        if size:
-            yield partial(np.concatenate(held))
-
-    def partial(picks: np.ndarray) -> pa.RecordBatch:
-        parts, out = SHARDS, {"row": [], "shard": [], "once": [], "more": []}
-        for row, cells in enumerate(cells_of(picks, rows, bits)):
-            found, counts = np.unique(cells, return_counts=True)
-            cuts = np.searchsorted(found, np.arange(parts + 1, dtype=np.uint64) << np.uint64(bits - 6))
-            for shard in range(parts):
-                cell, count = found[cuts[shard] : cuts[shard + 1]], counts[cuts[shard] : cuts[shard + 1]]
-                if len(cell):
-                    out["row"].append(row)
-                    out["shard"].append(shard)
-                    out["once"].append(cell[count == 1].tobytes())
-                    out["more"].append(cell[count > 1].tobytes())
-        return pa.RecordBatch.from_pydict(out, pa.schema([("row", pa.int32()), ("shard", pa.int32()), ("once", pa.binary()), ("more", pa.binary())]))
+
+SHARD_PARTS = "row int, shard int, once binary, more binary"
+
+
+def merged_bits(parts: DataFrame, rows: int, bits: int) -> list[bytes]:
+    """For each row a bit for each cell that occurs more often than once over all parts."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << (bits - 6)
@@ -186,93 +183,152 @@ def repeated_cells(docs: DataFrame, width: int, gram: int, rows: int, bits: int,
         if key is not None:
             yield done()
 
-    parts = docs.select("text").mapInArrow(sketch, "row int, shard int, once binary, more binary")
-    merged = parts.repartition(min(shuffle_to, SHARDS * rows), "row", "shard").sortWithinPartitions("row", "shard")
+    tasks = min(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), SHARDS * rows)
+    merged = parts.repartition(tasks, "row", "shard").sortWithinPartitions("row", "shard")
     merged = merged.mapInArrow(merge, "row int, shard int, bits binary")
-    out = {row: bytearray((1 << bits) // 8) for row in range(rows)}
+    out = [bytearray((1 << bits) // 8) for _ in range(rows)]
     size = (1 << (bits - 6)) // 8
     for row, shard, found in merged.collect():  # at most rows * max_cells / 8 bytes
         out[row][shard * size : (shard + 1) * size] = found
-    return {row: bytes(found) for row, found in out.items()}
+    return [bytes(x) for x in out]
 
 
-def repeated_spans(docs: DataFrame, width: int = 35, gram: int = 8, rows: int = 2, max_cells: int = 1 << 28) -> DataFrame:
-    """(k1, k2, spans) for each document of ``docs(k1, k2, text)`` with repeated windows: first window and number of each run."""
-    if width < gram + 1:
-        raise ValueError("a window has to be longer than a gram")
+def repeated_cells(docs: DataFrame, width: int, gram: int, rows: int, bits: int) -> list[bytes]:
+    """The merged sketch of the picks of all texts."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), [], 0
+        for _, texts in slices(batches, "text"):
+            held.append(Picks(texts, hashes, width, gram).pick)
+            size += len(held[-1])
+            if size > 2_000_000:
+                yield shard_parts(cells_of(np.concatenate(held), rows, bits), bits)
+                held, size = [], 0
+        if size:
+            yield shard_parts(cells_of(np.concatenate(held), rows, bits), bits)
+
+    return merged_bits(docs.select("text").mapInArrow(sketch, SHARD_PARTS), rows, bits)
+
+
+def member_bits(hashes: DataFrame, bits: int) -> bytes:
+    """A bit for each hash of a column of longs."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.asarray(batch.column(0)).view(np.uint64))
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield shard_parts(cells_of(np.concatenate(held), 1, bits), bits, all_count=True)
+                held, size = [], 0
+        if size:
+            yield shard_parts(cells_of(np.concatenate(held), 1, bits), bits, all_count=True)
+
+    return merged_bits(hashes.mapInArrow(sketch, SHARD_PARTS), 1, bits)[0]
+
+
+def found_in(bitmaps: list[bytes], hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which hashes have their bit in every bitmap."""
+    out = np.ones(len(hashes), bool)
+    for bitmap, cell in zip(bitmaps, cells_of(hashes, len(bitmaps), bits), strict=True):
+        out &= (np.frombuffer(bitmap, np.uint8)[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def exceptions(docs: DataFrame, sketch, bits: int, width: int, gram: int) -> DataFrame:
+    """(k1, k2, marks) of the documents of ``docs(k1, k2, text)`` in which not all that passes the sketch is repeated:
+    marks (at, gone) are runs by their first window, which are not repeated, and windows, which are."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(total, max_cells)
-    found = spark.sparkContext.broadcast(repeated_cells(docs, width, gram, rows, bits, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        sketch = [np.frombuffer(found.value[row], np.uint8) for row in range(rows)]
         for batch, texts in slices(batches, "text"):
             p = Picks(texts, hashes, width, gram)
-            if not len(p.pick):
-                continue
-            often = np.ones(len(p.pick), bool)
-            for bitmap, cell in zip(sketch, cells_of(p.pick, rows, bits), strict=True):
-                often &= (bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
-            at = np.flatnonzero(often)
+            at = np.flatnonzero(found_in(sketch.value, p.pick, bits))
             if not len(at):
                 continue
-            c1, c2 = p.run_hashes()
             offsets = np.concatenate([[0], np.cumsum(p.n[at])]).astype(np.int32)
             values = p.windows[np.repeat(p.first[at], p.n[at]) + ranges(p.n[at])]
             doc = pa.array(p.doc[at])
             longs = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(doc), batch.column(1).take(doc), longs(p.pick[at]), longs(c1[at]), longs(c2[at]), pa.array(p.start[at].astype(np.int32)),
+                [batch.column(0).take(doc), batch.column(1).take(doc), longs(p.pick[at]), longs(p.run_hashes()[at]), pa.array(p.start[at].astype(np.int32)),
                  pa.array(p.n[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), longs(values))],
-                ["k1", "k2", "pick", "c1", "c2", "start", "n", "windows"],
+                ["k1", "k2", "pick", "run", "start", "n", "windows"],
             )
 
-    kinds = dict(docs.dtypes)
-    schema = f"k1 {kinds['k1']}, k2 {kinds['k2']}, pick bigint, c1 bigint, c2 bigint, start int, n int, windows array<bigint>"
-    picked = stash(docs.select("k1", "k2", "text").mapInArrow(runs, schema), "windows")
-    key = ["pick", "c1", "c2", "n"]
-    # min() of the struct keeps one place and the window hashes, which are equal in all runs of a key.
-    one = picked.groupBy(*key).agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
-    one = stash(one.select(*key, "times", "at.*"), "runs")
-    windows = one.select("pick", F.explode("windows").alias("window"), "times")
-    often = windows.groupBy("pick", "window").agg(F.sum("times").alias("times")).where("times > 1").select("pick", "window")
-    alone = one.where("times = 1").select("k1", "k2", "start", "pick", F.posexplode("windows").alias("at", "window"))
-    alone = alone.join(often, ["pick", "window"], "left_semi").select("k1", "k2", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
-    whole = picked.join(one.where("times > 1").select(*key), key, "left_semi").select("k1", "k2", "start", "n")
-    return whole.union(alone).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-
-
-def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, **sketch) -> DataFrame:
+    picked = stash(docs.select("k1", "k2", "text").mapInArrow(runs, "k1 bigint, k2 bigint, pick bigint, run bigint, start int, n int, windows array<bigint>"), "windows")
+    # Of a run that occurs once the least place is its place.
+    place = [F.min(c).alias(c) for c in ("k1", "k2", "start")]
+    distinct = stash(picked.groupBy("pick", "run", "n").agg(F.count("*").alias("times"), *place), "runs")
+    once = distinct.where("times = 1")
+    several = distinct.groupBy("pick").agg(F.count("*").alias("runs")).where("runs > 1")
+    key = F.xxhash64("pick", "run", "n")
+    tables = spark.sparkContext.broadcast((member_bits(several.select("pick"), bits), member_bits(once.select(key), bits)))
+
+    def of_mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixed_picks, alone = tables.value
+        for batch in batches:
+            batch = batch.filter(pa.array(found_in([mixed_picks], np.asarray(batch.column(0)).view(np.uint64), bits)))
+            if batch.num_rows:
+                rare = found_in([alone], np.asarray(batch.column(1)).view(np.uint64), bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare), *batch.columns[2:]], ["pick", "rare", "k1", "k2", "start", "windows"])
+
+    few = picked.select("pick", key.alias("key"), "k1", "k2", "start", "windows")
+    few = stash(few.mapInArrow(of_mixed, "pick bigint, rare boolean, k1 bigint, k2 bigint, start int, windows array<bigint>"), "mixed")
+    drop_stash(picked)
+    often = few.select("pick", F.explode("windows").alias("window")).groupBy("pick", "window").agg(F.count("*").alias("times")).where("times > 1")
+    windows = few.where("rare").select("k1", "k2", "start", "pick", F.posexplode("windows").alias("at", "window"))
+    windows = windows.join(often, ["pick", "window"], "left_semi").select("k1", "k2", (F.col("start") + F.col("at")).alias("at"), F.lit(True).alias("gone"))
+    marks = once.select("k1", "k2", F.col("start").alias("at"), F.lit(False).alias("gone")).union(windows)
+    marks = stash(marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "gone")).alias("marks")), "marks")
+    drop_stash(few)
+    drop_stash(distinct)
+    return marks
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35, gram: int = 8, rows: int = 2, max_cells: int = 1 << 28) -> DataFrame:
     """Every row of ``docs`` with all its columns, and: kept_text (kept words joined by one space), n_words, n_removed."""
-    # A document is known by its id and a hash of its text, so rows that share an id don't mix.
-    keyed = lambda x: x.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("k1"), F.xxhash64(text_col).alias("k2"), F.col(text_col).alias("text"))
-    spans = repeated_spans(keyed(docs), width, **sketch)
+    if width < gram + 1:
+        raise ValueError("a window has to be longer than a gram")
+    # A document is known by hashes of its id and text, so rows that share an id don't mix.
+    text = F.col(f"`{text_col}`")
+    known = [F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), text).alias("k1"), F.xxhash64(text, F.lit(35)).alias("k2")]
+    keyed = docs.select(*known, text.alias("text"))
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0, max_cells)
+    sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(keyed, width, gram, rows, bits))
+    marks = exceptions(keyed, sketch, bits, width, gram)
     names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"k1": F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")), "k2": F.xxhash64("text")})
-    joined = rows.join(spans, ["k1", "k2"], "left").select("row", "text", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), *known, text.alias("text"))
+    joined = held.join(marks, ["k1", "k2"], "left").select("row", "text", F.col("marks.at").alias("at"), F.col("marks.gone").alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch, texts in slices(batches, "text"):
-            kept, totals, removed = [], [], []
-            for text, s, n in zip(texts, batch.column(2), batch.column(3), strict=True):
-                words = text.split()
-                gone = 0
-                if s.is_valid:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    s, n = np.asarray(s.values), np.asarray(n.values)
-                    np.add.at(edge, s, 1)
-                    np.add.at(edge, s + n + width - 1, -1)
-                    stay = np.cumsum(edge)[:-1] == 0
-                    gone = len(words) - int(stay.sum())
-                    at = np.flatnonzero(stay)
-                    words = [words[i] for i in at]
-                kept.append(b" ".join(words).decode("utf-8", "replace"))
-                totals.append(len(words) + gone)
-                removed.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], ["row", "kept_text", "n_words", "n_removed"])
+            p = Picks(texts, hashes, width, gram)
+            of, at, gone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for d, (a, g) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                if a.is_valid:
+                    of.append(np.full(len(a), d))
+                    at.append(np.asarray(a.values).astype(np.int64))
+                    gone.append(np.asarray(g.values.cast(pa.uint8())).astype(bool))
+            of, at, gone = np.concatenate(of), np.concatenate(at), np.concatenate(gone)
+            passed = found_in(sketch.value, p.pick, bits)
+            passed &= ~np.isin((p.doc << 32) | p.start, ((of << 32) | at)[~gone])
+            first = np.cumsum(p.lengths + 1) - (p.lengths + 1)
+            edge = np.zeros(int((p.lengths + 1).sum()) + 1, np.int64)
+            starts = np.concatenate([first[p.doc[passed]] + p.start[passed], (first[of] + at)[gone]])
+            n = np.concatenate([p.n[passed], np.ones(int(gone.sum()), np.int64)])
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + n + width - 1, -1)
+            stay = np.cumsum(edge) == 0
+            kept, removed = [], []
+            for d, words in enumerate(p.split):
+                mine = stay[first[d] : first[d] + len(words)]
+                left = words if mine.all() else [words[i] for i in np.flatnonzero(mine)]
+                kept.append(b" ".join(left).decode("utf-8", "replace"))
+                removed.append(len(words) - len(left))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(p.lengths, pa.int64()), pa.array(removed, pa.int64())], ["row", "kept_text", "n_words", "n_removed"])
 
     schema = T.StructType([T.StructField("row", T.StructType([f for f in docs.schema])), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(cut, schema)
