@@ -76,8 +76,9 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str, multi_
 
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(records, lines that are no JSON object of the schema)."""
-    lines = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return lines.where("_bad is null").drop("_bad"), lines.where("_bad is not null").select(F.col("_bad").alias("line"))
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).where("value <> ''").select("value", parsed.alias("r"))
+    return lines.where("r._bad is null").select("r.*").drop("_bad"), lines.where("r._bad is not null").select(F.col("value").alias("line"))
 
 
 def from_envelope(df: DataFrame, path: str) -> DataFrame:
