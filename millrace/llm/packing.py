@@ -234,15 +234,37 @@ def fillings(counts: dict[int, int], sizes: np.ndarray, room: int, limit: int) -
     return [fill for fill, _ in sorted(best.items(), key=lambda x: (x[1], len(x[0]), [-s for s in x[0]]))]
 
 
+def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: no packing has fewer sequences.
+
+    For each k, pieces over capacity - k share a sequence with none of k or more; pieces over half the
+    capacity share with no other such one; what smaller pieces of k or more don't fit beside those needs sequences
+    of its own. k = 0 gives the bound by total waste.
+    """
+    size = np.array(sorted(counts), np.int64)
+    if not len(size):
+        return 0
+    n = np.array([counts[s] for s in size.tolist()], np.int64)
+    number, total = (np.concatenate([[0], np.cumsum(x)]) for x in (n, n * size))
+    half = int(np.searchsorted(size, capacity // 2, side="right"))  # from here on over half
+    k = np.concatenate([[0], size[:half]])
+    low = np.searchsorted(size, k, side="left")
+    high = np.maximum(np.searchsorted(size, capacity - k, side="right"), half)
+    alone, halves = number[-1] - number[high], number[high] - number[half]
+    room = halves * capacity - (total[high] - total[half])
+    rest = total[half] - total[np.minimum(low, half)] - room
+    return int((alone + halves + np.maximum(0, -(-rest // capacity))).max())
+
+
 def bin_completion(counts: dict[int, int], capacity: int, branches: int = 3, visits: int = 64, nodes: int = 20_000) -> list[Pattern]:
-    """A packing of ``counts`` pieces of each length; optimal where its size meets the waste bound.
+    """A packing of ``counts`` pieces of each length; optimal where its size meets the lower bound.
 
     ``visits`` bounds one enumeration of fillings, ``branches`` how many of them a node tries and
     ``nodes`` the whole search. They bound the search's time: every piece is packed whatever they are.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     total = sum(s * n for s, n in left.items())
-    bound = -(-total // capacity)
+    bound = fewest_sequences(left, capacity)
     best = best_fit_decreasing(left, capacity)
     fewest = sum(n for _, n in best)
 

@@ -1,0 +1,27 @@
+"""The numbered queries that SQL can express, against DuckDB."""
+
+import os
+
+import duckdb
+import pytest
+
+from millrace.llm import queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from read_parquet('{SF}/{f}')")
+    result = con.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in result.description]
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def test_all_ten():
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
