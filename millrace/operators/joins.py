@@ -41,13 +41,13 @@ def cascade(rows: DataFrame, steps: list[tuple[Column, DataFrame, str, str]], as
 
 
 def by_domain(rows: DataFrame, host: str, feeds: DataFrame, domain: str = "domain") -> DataFrame:
-    """Rows joined with the longest domain that their host is or lies under: an equi-join on the host's suffixes."""
-    labels = F.split(F.lower(host), r"\.")
+    """Rows joined with the longest domain that their host is or lies under: an equi-join on the suffixes of distinct hosts."""
+    hosts = rows.select(F.col(host).alias("_host")).where("_host is not null").distinct()
+    labels = F.split(F.lower("_host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.select("_row", F.explode(suffixes).alias("_suffix")).join(feeds, F.col("_suffix") == F.lower(domain))
-    best = hits.groupBy("_row").agg(F.max_by(F.struct(*feeds.columns), F.length("_suffix")).alias("_feed"))
-    return keyed.join(best, "_row", "left").select(*rows.columns, "_feed.*")
+    hits = hosts.select("_host", F.explode(suffixes).alias("_suffix")).join(feeds, F.col("_suffix") == F.lower(domain))
+    best = hits.groupBy("_host").agg(F.max_by(F.struct(*feeds.columns), F.length("_suffix")).alias("_feed"))
+    return rows.join(best, F.col(host) == F.col("_host"), "left").select(*rows.columns, "_feed.*")
 
 
 def either(rows: DataFrame, key: str, left: DataFrame, right: DataFrame, column: str) -> DataFrame:

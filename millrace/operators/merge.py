@@ -6,11 +6,14 @@ It takes a row for each key on either side; use ``latest_by`` before it where a
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import work_dir
+
 
 def distinct_from(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
@@ -72,11 +75,8 @@ def not_seen(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def revised(old: DataFrame, new: DataFrame, key: str, hash_col: str, last_sequence: int) -> DataFrame:
-    """Each row of ``new`` with ``revision`` (one more if its content hash changed, 1 at least) and a new ``sequence``.
-
-    Sequences grow along the key. They are dealt by range partition: one small count per partition goes
-    through the driver, never the rows.
-    """
+    """Each row of ``new`` with ``revision`` (one more if its content hash changed, 1 at least) and a new ``sequence``,
+    which grows along the key."""
     held = old.select(F.col(key).alias("_key"), F.col(hash_col).alias("_hash"), F.col("revision").alias("_revision"))
     joined = new.join(held, F.col(key) == F.col("_key"), "left")
     same = F.col("_hash").eqNullSafe(F.col(hash_col))
@@ -86,19 +86,20 @@ def revised(old: DataFrame, new: DataFrame, key: str, hash_col: str, last_sequen
 
 
 def numbered(df: DataFrame, order: list[str], last: int = 0, name: str = "sequence") -> DataFrame:
-    """Numbers from ``last + 1`` in the given order, without a single-task window: local numbers plus the
-    size of each range before."""
-    spread = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    spread = spread.persist()
-    sizes = {r["_part"]: r["count"] for r in spread.groupBy("_part").count().collect()}  # a row for each partition
-    before, total = {}, last
-    for part in sorted(sizes):
-        before[part], total = total, total + sizes[part]
-    from pyspark.sql import Window
-
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("_part")] if before else F.lit(last)
-    return spread.withColumn(name, (within + offset).cast("bigint")).drop("_part")
+    """Numbers from ``last + 1`` in the given order, which has to be a total one, without a window over all rows.
+
+    Rows are dealt by range and written to the shared folder with the number of their range; a row's number is its
+    place in the range plus the sizes of the ranges before, a row for each range.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranges = spark.read.parquet(path)
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranges.withColumn("_within", within).join(F.broadcast(before), "_range")
+    return placed.select(*df.columns, (F.col("_before") + F.col("_within") + last).cast("bigint").alias(name))
 
 
 def newer_wins(old: DataFrame, new: DataFrame, key: str, sequence: str) -> DataFrame:

@@ -35,7 +35,8 @@ def similar(names: DataFrame, entities: DataFrame, name: str = "name", other: st
     """For each name the ``top`` entities that share a trigram, by Jaccard index, ties to the smaller id.
 
     An equi-join on trigrams counts the shared ones, so names meet only entities that share any, and the sum is
-    combined before the shuffle. Texts are compared in lower case; equal ones score 1.
+    combined before the shuffle. Texts are compared in lower case; equal ones score 1. The names are those that
+    ``resolve_names`` left open: each is asked against all entities, so the work is their product where texts are alike.
     """
     a = names.select(F.col(name).alias("_name")).where("_name is not null").distinct()
     a = a.withColumn("_grams", trigrams(F.lower("_name"))).withColumn("_n", F.size("_grams"))
