@@ -226,3 +226,42 @@ def merged_metadata(*maps: Column) -> Column:
 def searchable_text(values: Column) -> Column:
     """A map's values as one text."""
     return F.array_join(F.map_values(values), " ")
+
+
+# Procurement ids that name no procurement.
+GENERIC_PROCUREMENT_IDS = ("null", "na", "n a", "none", "unknown", "not applicable")
+
+
+def generic_procurement_id(c: Column) -> Column:
+    plain = squish(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    return (plain == "") | plain.isin(*GENERIC_PROCUREMENT_IDS) | plain.contains("acquisition card")
+
+
+def payment_amount(recipient: Column, total: Column, aggregate: Column) -> Column:
+    """What a transfer paid: rows without a recipient, or of payments under a limit, are sums, the others single
+    payments; a zero counts as missing, and then the other amount stands."""
+    summed = present(recipient).isNull() | recipient.rlike("(?i)payments under")
+    return F.when(F.coalesce(summed, F.lit(True)), F.coalesce(F.nullif(total, F.lit(0)), aggregate)).otherwise(F.coalesce(F.nullif(aggregate, F.lit(0)), total))
+
+
+def display_labels(elements: Column, qualifier: str | None = None) -> Column:
+    """Labels of an array of structs (name, code, percentage, ..): ``Name 40% (kind: x)``; those without a name or code go."""
+
+    def label(e: Column) -> Column:
+        out = F.coalesce(present(e["name"]), present(e["code"]))
+        share = F.coalesce(F.concat(F.lit(" "), e["percentage"].cast("string"), F.lit("%")), F.lit(""))
+        more = F.lit("") if qualifier is None else F.coalesce(F.concat(F.lit(f" ({qualifier}: "), present(e[qualifier]), F.lit(")")), F.lit(""))
+        return F.concat(out, share, more)
+
+    return F.array_compact(F.transform(elements, label))
+
+
+def province_of_organization(c: Column) -> Column:
+    """The province that an organisation's name ends in, after a comma or in parentheses."""
+    names = "|".join(sorted(PROVINCES, key=len, reverse=True))
+    return F.try_element_at(literal_map(PROVINCES), F.nullif(F.regexp_extract(F.lower(c), rf"[,(]\s*({names})\s*\)?\s*$", 1), F.lit("")))
+
+
+def language_code(c: Column) -> Column:
+    code = F.substring_index(F.translate(F.lower(c), "_", "-"), "-", 1)
+    return F.when(code.isin("en", "fr"), code).otherwise("und")

@@ -55,3 +55,30 @@ def series(facts: DataFrame, group: str, start: str = "period_start", value: str
 def filled(wide: DataFrame, metrics: list[str], but: tuple[str, ...] = ()) -> DataFrame:
     """Missing counts are zero; durations and rates stay missing."""
     return wide.withColumns({m: F.coalesce(F.col(m), F.lit(0)) for m in metrics if m not in but})
+
+
+def snapshots(rows: DataFrame, parents: DataFrame, key: str, names: DataFrame, source: str, grain: str, reporting: Column, cumulative: bool) -> DataFrame:
+    """Observations of a source that names its metrics in rows: (record id, ``key``, insight, value, observed_at).
+
+    ``parents``: ``key``, platform, account_key, entity_id, published_at. ``names``: insight, metric_name; an insight that
+    isn't there is dropped. A daily value belongs to the day before ``observed_at``, a cumulative one to all since
+    publication; of cumulative values the newest of an entity, source and metric is current.
+    """
+    from .latest import current_flags
+
+    joined = rows.where("value is not null").join(names, "insight").join(parents, key)
+    start = F.coalesce("published_at", "observed_at") if cumulative else F.col("observed_at") - F.make_interval(days=F.lit(1))
+    out = joined.select(
+        observation_id(F.lit(source), F.col("record_id"), F.col("entity_id"), F.col("insight"), F.col("metric_name")).alias("id"),
+        "entity_id", "platform", "account_key", F.lit(source).alias("source"), F.lit(grain).alias("grain"), "metric_name",
+        F.col("insight").alias("source_metric_name"), "value", metric_unit(F.col("insight")).alias("unit"), start.alias("period_start"),
+        F.col("observed_at").alias("period_end"), "observed_at", F.lit(cumulative).alias("cumulative"), reporting.alias("reporting_source"),
+    )
+    if not cumulative:
+        return out.withColumn("current_value", F.lit(True))
+    return current_flags(out, ["entity_id", "source", "metric_name"], [F.desc("observed_at"), F.desc("id")])
+
+
+def counted_transitions(events: DataFrame, key: str, state: str = "state", counted: str = "approved") -> DataFrame:
+    """How many of each key's children are in a state now: recomputed, so that no counter can drift."""
+    return events.groupBy(key).agg(F.count_if(F.col(state) == counted).alias("n"))

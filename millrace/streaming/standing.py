@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -97,3 +97,26 @@ def new_caption_lines(cues: DataFrame, track: str = "track_id") -> DataFrame:
 def merged_each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], Any], checkpoint: str) -> StreamingQuery:
     """Hand each batch to ``apply`` (a merge that is the same when it runs twice)."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def digests(matches: DataFrame, subscriptions: DataFrame, now: Column) -> DataFrame:
+    """Open matches by saved search with the time at which their digest is due: the interval, between an hour and a week.
+
+    ``subscriptions``: saved_search, digest_interval_seconds (null: an hour).
+    """
+    seconds = F.least(F.greatest(F.coalesce("digest_interval_seconds", F.lit(3600)), F.lit(3600)), F.lit(7 * 86_400))
+    due = F.timestamp_micros(F.unix_micros(now) + seconds.cast("bigint") * 1_000_000)
+    counted = matches.groupBy("saved_search").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return counted.join(subscriptions, "saved_search").select("saved_search", "n", "first_id", "last_id", due.alias("scheduled_for"))
+
+
+def sequence_slices(documents: DataFrame, last: int, upto: int, most: int = 500) -> DataFrame:
+    """(from_sequence, to_sequence, n): half-open ranges of the sequence after ``last`` with about ``most`` rows each, for
+    consumers that take bounded results. Rows are counted in equal strips of the range, which are then joined up."""
+    width = max(1, (upto - last) // 4096)
+    strip = F.floor((F.col("index_sequence") - last - 1) / width)
+    counts = documents.where((F.col("index_sequence") > last) & (F.col("index_sequence") <= upto)).groupBy(strip.alias("_strip")).agg(F.count("*").alias("n"))
+    w = Window.orderBy("_strip")  # 4,097 strips at most
+    group = F.floor((F.sum("n").over(w) - F.col("n")) / most)
+    out = counts.withColumn("_group", group).groupBy("_group").agg(F.min("_strip").alias("_a"), F.max("_strip").alias("_b"), F.sum("n").alias("n"))
+    return out.select((F.col("_a") * width + last).alias("from_sequence"), F.least((F.col("_b") + 1) * width + last, F.lit(upto)).alias("to_sequence"), "n")
