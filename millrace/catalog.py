@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, text
-from .operators import aggregates, calendar, crosswalk, geometry, intervals, joins, latest, merge, metrics, resolve, topk
-from .plans import filters, search
+from .operators import aggregates, calendar, crosswalk, geometry, intervals, joins, latest, merge, metrics, residency, resolve, topk
+from .plans import documents, filters, search
 from .session import make_importable, work_dir
 from .sources import checks, files
 from .streaming import standing
@@ -580,6 +580,122 @@ def greedy_windows(t):
     return intervals.greedy_windows(rows, "user_id", "start", "end", 86_400).select("user_id", "event_id", "session", "window")
 
 
+@query("""
+with s as (select user_id, event_id, epoch(ts) as a, epoch(ts) + (event_id % 50) * 600 as b from events),
+r as (select user_id, a, max(b) over (partition by user_id order by a, b rows between unbounded preceding and 1 preceding) as reached from s)
+select user_id, reached as gap_start, a as gap_end from r where a - reached > 0.25
+""")
+def coverage_gaps(t):
+    """Holes behind the furthest end so far of a user's spans, some of which lie inside longer ones."""
+    at = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)") / 1e6
+    spans = t.events.select("user_id", at.alias("start"), (at + F.col("event_id") % 50 * 600).alias("end"))
+    return intervals.coverage_gaps(spans, ["user_id"], "start", "end")
+
+
+@query("""
+with parts as (select o_custkey, epoch(o_orderdate) as a, epoch(o_orderdate) + 86400 * 400 as b from orders),
+w as (select c_custkey, epoch(timestamp '1996-01-01') as a, epoch(timestamp '1997-01-01') as b from customer),
+hit as (select w.c_custkey, w.a as wa, w.b as wb, p.a, p.b from w join parts p on w.c_custkey = p.o_custkey and w.a < p.b and w.b > p.a),
+run as (select *, max(b) over (partition by c_custkey order by a, b rows between unbounded preceding and 1 preceding) as before from hit),
+hole as (select c_custkey, max(greatest(a - greatest(coalesce(before, wa), wa), 0)) as hole, max(b) as last from run group by 1)
+select w.c_custkey, coalesce(h.hole <= 0.25 and h.last >= w.b - 0.25, false) as covered from w left join hole h using (c_custkey)
+""")
+def year_covered(t):
+    """Is a year covered by the thirteen months after each of a customer's orders?"""
+    at = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', {c})") / 1e6
+    parts = t.orders.select(F.col("o_custkey").alias("c_custkey"), at("o_orderdate").alias("start"), (at("o_orderdate") + 86_400 * 400).alias("end"))
+    windows = t.customer.select("c_custkey", at("timestamp_ntz'1996-01-01'").alias("window_start"), at("timestamp_ntz'1997-01-01'").alias("window_end"))
+    return intervals.covered(windows, parts, ["c_custkey"], 86_400 * 400).select("c_custkey", "covered")
+
+
+@query("""
+with daily as (select user_id, cast(ts as date) as day, cast(sum(cast(value as decimal(18,2))) as double) as total,
+  cast(sum(case when event_type = 'click' then cast(value as decimal(18,2)) else 0 end) as double) as ad from events where event_type in ('click', 'view') group by all)
+select user_id, day, cast(null as boolean) as paid, total as value from daily
+union all select user_id, day, true, ad from daily union all select user_id, day, false, round(total - ad, 2) from daily
+""")
+def paid_split(t):
+    """Daily values by user, paid (clicks stand for ads) and organic beside the whole."""
+    kept = t.events.where("event_type in ('click', 'view')").select("user_id", F.to_date("ts").alias("day"), F.when(F.col("event_type") == "click", "AD").otherwise("POST").alias("dimension"), F.col("value").cast("decimal(18,2)").alias("value"))
+    by = kept.groupBy("user_id", "day", "dimension").agg(F.sum("value").cast("double").alias("value"), F.sum("value").alias("exact"))
+    daily = by.groupBy("user_id", "day").agg(F.sum("exact").cast("double").alias("total"), F.collect_list(F.struct("dimension", "value")).alias("parts"))
+    out = aggregates.paid_split(daily, "total", "parts")
+    return out.withColumn("value", F.round("value", 2))
+
+
+@query("""
+with last as (select user_id, arg_max(event_type, event_id) as decision from events where event_type in ('purchase', 'error') group by 1)
+select c.c_custkey, case when l.decision = 'purchase' then 'approved' when l.decision = 'error' then 'rejected' else 'pending' end as review_status from customer c left join last l on c.c_custkey = l.user_id
+""")
+def latest_decisions(t):
+    """Customers as claims, purchases and errors as decisions on them."""
+    log = t.events.where("event_type in ('purchase', 'error')").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("claim_id"), F.when(F.col("event_type") == "purchase", "approved").otherwise("rejected").alias("decision"),
+        F.lit("x").alias("decided_by"), F.col("event_id").alias("decided_at"),
+    )
+    return merge.latest_decision(t.customer.select(F.col("c_custkey").alias("id")), log).select(F.col("id").alias("c_custkey"), "review_status")
+
+
+@query("""
+with every_row as (select l_orderkey as k, l_linenumber as seq, l_quantity as v from lineitem where l_linenumber <= 2 union all select o_orderkey, cast(o_orderkey % 4 as integer), o_totalprice from orders)
+select k, max(seq) as seq from every_row group by k
+""")
+def newer_wins(t):
+    old = t.lineitem.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linenumber").alias("seq"))
+    new = t.orders.select(F.col("o_orderkey").alias("k"), (F.col("o_orderkey") % 4).cast("int").alias("seq"))
+    return merge.newer_wins(old, new, "k", "seq")
+
+
+@query("""
+select doc_id from documents where sha256(text) not in (select sha256(text) from documents where doc_id % 2 = 0 and doc_id % 3 <> 0 and text is not null) and text is not null
+""")
+def fresh_payloads(t):
+    """Texts whose checksum no ingestion that didn't fail has."""
+    payloads = t.documents.where("text is not null").select("doc_id", F.lit(1).alias("source_id"), F.col("text").alias("body"))
+    log = t.documents.where("doc_id % 2 = 0").select(F.lit(1).alias("source_id"), F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("done").alias("status"))
+    return files.fresh_payloads(payloads, log).select("doc_id")
+
+
+@query("""
+with d as (select lower(n_name) as k, max(case when al then 1000 + id else id end) as id from (
+  select n_name, n_nationkey as id, false as al from nation union all select upper(n_name), n_nationkey + 100, true from nation where n_nationkey % 2 = 0) group by 1)
+select c_custkey, cast(case when d.id >= 1000 then d.id - 1000 else d.id end as integer) as resolved_id from customer join nation on c_nationkey = n_nationkey left join d on lower(n_name) = d.k
+""")
+def name_lookup(t):
+    """Nations by name in any case; an alias beats the name itself."""
+    names = t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("id"))
+    aliases = t.nation.where("n_nationkey % 2 = 0").select(F.upper("n_name").alias("name"), (F.col("n_nationkey") + 100).alias("id"))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return joins.look_up(rows, "n_name", joins.name_dictionary(names, aliases)).select("c_custkey", "resolved_id")
+
+
+@query("""
+select 'measure:' || p_partkey as id, p_name as title, p_brand as kpi_category, case when p_partkey % 10 = 0 then 1 else 0 end as n_errors from part
+""")
+def search_documents(t):
+    """Parts as measures in the search table; those without a slug are kept out by their error."""
+    measures = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("canonical_name"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"),
+        F.when(F.col("p_partkey") % 10 != 0, text.slug(F.col("p_name"))).alias("slug"), F.lit("annual").alias("frequency"), F.lit("%").alias("unit_symbol"))
+    made = documents.with_errors(documents.measure_documents(measures), documents.MEASURES)
+    return made.select("id", "title", "kpi_category", F.size("errors").alias("n_errors"))
+
+
+@query("""
+with asks as (select c_custkey, case c_custkey % 5 when 0 then null when 1 then 'M' || (c_custkey % 10) || 'A1B2' when 2 then 'x' when 3 then 'L' || (c_custkey % 10) || 'A 1B2' else 'm0r1a1' end as code, case when c_custkey % 7 = 0 then 'ottawa' else 'toronto' end as city from customer)
+select c_custkey, case when city = 'ottawa' then 'no_rule' when code is null then 'no_postal_code' when code = 'x' then 'malformed_postal_code' when code like 'M%' then 'fsa_match'
+  when code = 'm0r1a1' then 'outside_boundary' when code = 'L3A 1B2' then 'inside_boundary' else 'unknown_postal_code' end as reason from asks
+""")
+def residency_check(t):
+    """Made postal codes of customers against one city's rules."""
+    spark, k = t.spark, F.col("c_custkey")
+    code = F.when(k % 5 == 1, F.concat(F.lit("M"), k % 10, F.lit("A1B2"))).when(k % 5 == 2, "x").when(k % 5 == 3, F.concat(F.lit("L"), k % 10, F.lit("A 1B2"))).when(k % 5 == 4, "m0r1a1")
+    asks = t.customer.select("c_custkey", F.when(k % 7 == 0, "ottawa").otherwise("toronto").alias("city"), code.alias("postal_code"))
+    rules = spark.createDataFrame([("toronto", "ON", "^M", ["M0R"], True, ["Toronto"], True)], "city string, province string, prefix string, exceptions array<string>, prefix_decides boolean, cities array<string>, has_boundary boolean")
+    postal = spark.createDataFrame([("M0R 1A1", "CALEDON", "ON"), ("L3A 1B2", "TORONTO", "ON")], "postal_code string, city_name string, province_code string")
+    inside = spark.createDataFrame([("toronto", "L3A 1B2")], "city string, postal_code string")
+    return residency.eligible(asks, rules, postal, inside).select("c_custkey", "reason")
+
+
 # --- text, dates, checks ------------------------------------------------------------------------
 
 SQUISH_SQL = r"nullif(trim(regexp_replace(regexp_replace(text, '<[^>]*>', '', 'g'), '[\s\p{Z}]+', ' ', 'g')), '')"
