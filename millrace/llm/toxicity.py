@@ -4,7 +4,9 @@ Linear classifiers over hashed words are trained in numpy from confirmed toxic d
 unlabelled ones (U). With class prior pi, the risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)): what U
 loses for being called clean, less the share of it that its own toxic documents cause, which can't fall below
 zero; where a batch's does, the step goes the other way, so that the classifier doesn't learn P by heart. A
-few classifiers from different orders of the sample are averaged.
+classifier is fitted twice: with an L1 term, which selects the words that speak for P, then on these alone almost
+without one, so that weights aren't shrunk and scores come near 0 and 1. Classifiers from different orders of the
+sample are averaged.
 
 P and U are samples of at most ``max_positive`` and ``max_unlabelled`` documents, the only bound here: the
 model is a vector of 2**bits weights. Every whole text is scored.
@@ -36,12 +38,27 @@ class Batch:
     def __init__(self, values: np.ndarray, bounds: np.ndarray):
         self.values, self.bounds, self.n = values, bounds, len(bounds)
 
-    def part(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row numbers within the part, columns)"""
-        first = self.bounds[rows, 0]
-        lengths = self.bounds[rows, 1] - first
-        at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        return np.repeat(np.arange(len(rows)), lengths), self.values[at]
+    def parts(self, rows: np.ndarray, step: int = 1024):
+        """(slice of ``rows``, row numbers within it, columns), some rows at a time, which bounds memory."""
+        for at in range(0, len(rows), step):
+            few = rows[at : at + step]
+            first = self.bounds[few, 0]
+            lengths = self.bounds[few, 1] - first
+            places = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            yield slice(at, at + len(few)), np.repeat(np.arange(len(few)), lengths), self.values[places]
+
+    def outputs(self, rows: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+        out = np.empty(len(rows))
+        for some, row, column in self.parts(rows):
+            out[some] = logistic(bias + np.bincount(row, w[column], some.stop - some.start))
+        return out
+
+    def gradient(self, rows: np.ndarray, slopes: np.ndarray, columns: int) -> np.ndarray:
+        """Of the weights, from the loss's slope in each row's output."""
+        out = np.zeros(columns)
+        for some, row, column in self.parts(rows):
+            out += np.bincount(column, slopes[some][row], columns)
+        return out
 
     def counts(self, columns: int, step: int = 1 << 20) -> np.ndarray:
         """In how many rows each column is."""
@@ -58,7 +75,7 @@ class Batch:
         return Batch(values[keep], before[self.bounds].astype(np.int64))
 
 
-def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, seed: int, epochs: int = 15, size: int = 256, rate: float = 0.3, l1: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, seed: int, epochs: int, size: int, rate: float, l1: float) -> tuple[np.ndarray, float]:
     """(weights, bias) by AdaGrad on the non-negative risk with the logistic loss."""
     rng = np.random.default_rng(seed)
     w, g2 = np.zeros(columns), np.full(columns, 1e-4)
@@ -66,10 +83,8 @@ def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, see
     steps = max(1, unlabelled.n // size)
     for _ in range(epochs):
         for rows_u in np.array_split(rng.permutation(unlabelled.n), steps):
-            rows_p = rng.integers(0, positive.n, min(size, 4 * positive.n))
-            (pr, pc), (ur, uc) = positive.part(rows_p), unlabelled.part(rows_u)
-            p = logistic(bias + np.bincount(pr, w[pc], len(rows_p)))
-            u = logistic(bias + np.bincount(ur, w[uc], len(rows_u)))
+            rows_p = rng.integers(0, positive.n, size) if positive.n > size else np.arange(positive.n)
+            p, u = positive.outputs(rows_p, w, bias), unlabelled.outputs(rows_u, w, bias)
             of_clean = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
             # Gradients of the loss with respect to the outputs: plus for P as toxic, minus for the rest as clean.
             d_u, d_p_clean = u / len(rows_u), -prior * p / len(rows_p)
@@ -77,7 +92,7 @@ def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, see
                 d_p = d_p_clean - prior * (1 - p) / len(rows_p)
             else:
                 d_u, d_p = -d_u, -d_p_clean
-            grad = np.bincount(uc, d_u[ur], columns) + np.bincount(pc, d_p[pr], columns)
+            grad = unlabelled.gradient(rows_u, d_u, columns) + positive.gradient(rows_p, d_p, columns)
             g_bias = d_u.sum() + d_p.sum()
             g2 += grad * grad
             b2 += g_bias * g_bias
@@ -88,9 +103,24 @@ def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, see
     return w, float(bias)
 
 
+def fit_twice(positive: Batch, unlabelled: Batch, columns: int, prior: float, seed: int) -> tuple[np.ndarray, float]:
+    """(weights, bias): words are selected by the first fit, in large batches as small ones are too noisy for a small
+    prior, and weighed by the second, over all rows at once."""
+    w, bias = fit_nnpu(positive, unlabelled, columns, prior, seed, epochs=20, size=8192, rate=0.3, l1=1e-3)
+    chosen = np.flatnonzero(w > 0)
+    if not len(chosen):
+        return w, bias
+    column = np.full(columns, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    of, bias = fit_nnpu(positive.only(column), unlabelled.only(column), len(chosen), prior, seed, epochs=300, size=unlabelled.n, rate=1.0, l1=1e-5)
+    w = np.zeros(columns)
+    w[chosen] = of
+    return w, bias
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, prior: float | None = None, bits: int = 20, members: int = 3,
-    max_positive: int = 20_000, max_unlabelled: int = 20_000, least_docs: int = 4,
+    docs: DataFrame, labels: DataFrame, prior: float | None = None, bits: int = 20, members: int = 2,
+    max_positive: int = 20_000, max_unlabelled: int = 20_000, least_docs: int = 10,
 ) -> tuple[np.ndarray, float]:
     """(weights of 2**bits hashed words, bias). The prior is the share of toxic among labelled documents if it isn't given."""
 
@@ -117,7 +147,7 @@ def train(
     column[used] = np.arange(len(used))
     positive, unlabelled = (side.only(column) for side in sides)
     del sides
-    fits = [fit_nnpu(positive, unlabelled, len(used), prior, seed) for seed in range(members)]
+    fits = [fit_twice(positive, unlabelled, len(used), prior, seed) for seed in range(members)]
     weights[used] = np.mean([w for w, _ in fits], axis=0)
     return weights, float(np.mean([b for _, b in fits]))
 
