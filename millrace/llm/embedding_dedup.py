@@ -88,7 +88,8 @@ def near_duplicates(
     tiles = tiles.withColumn("right", (F.col("probe") == 1) | (F.col("chunk") != F.col("at.i")))
     tiles = tiles.select(*where, "at.i", "at.j", "right", F.col("at.i").__eq__(F.col("at.j")).alias("self"), "rep", "copies", "vec", "rot")
     rep_type = placed.schema["rep"].dataType.simpleString()
-    linked = tiles.groupBy(*where, "i", "j").applyInArrow(_compare(total, threshold, blocks), f"rep {rep_type}, links bigint, root {rep_type}")
+    # Dealt by tile: a join on the strip would else leave all tiles of a crowded strip in one task.
+    linked = tiles.repartition(*where, "i", "j").groupBy(*where, "i", "j").applyInArrow(_compare(total, threshold, blocks), f"rep {rep_type}, links bigint, root {rep_type}")
     linked = stash(linked, "links")
 
     roots = connected_components(linked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
