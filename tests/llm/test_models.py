@@ -118,6 +118,40 @@ def test_kneser_ney_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=0.06)  # what is missing lies with characters never seen
 
 
+def test_kneser_ney_of_many_ngrams_as_in_production(spark):
+    rng = np.random.default_rng(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    rows = [(i, " ".join("".join(letters[j] for j in rng.integers(0, 3000, 4)) for _ in range(250)), "zz") for i in range(80)]
+    rows += [(1000 + i, "abab abba baba cab", "aa") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    m = model["models"]["zz"]
+    assert len(m.grams[3][0]) > 50_000
+    # Each n-gram is over its own context: no probability above one, and those of a context sum to one less its mass.
+    assert all(p.max() <= 1 for _, p in m.grams)
+    word, place, orders = language_id.spelled([w for _, t, lang in rows if lang == "zz" for w in t.split()], 4)
+    for (gram, context, _, there), (g_at, g_p), (c_at, c_w) in zip(orders, m.grams, m.contexts, strict=True):
+        found, first = np.unique(gram[there].view(np.int64), return_index=True)
+        assert np.array_equal(found, g_at)
+        _, inverse = np.unique(context[there].view(np.int64)[first], return_inverse=True)
+        assert np.allclose(np.bincount(inverse, g_p) + c_w, 1)
+    unseen = language_id.spelled(["".join(letters[j] for j in rng.integers(0, 3000, 4)) for _ in range(2000)], 4)[2]
+    assert np.isin(unseen[3][0].view(np.int64), m.grams[3][0]).mean() < 0.6 and not np.isin(unseen[2][0][unseen[2][3]].view(np.int64), m.grams[2][0]).all()
+
+
+def test_languages_by_joins_as_by_broadcast(spark):
+    rng = np.random.default_rng(6)
+    make = lambda letters: " ".join("".join(letters[j] for j in rng.integers(0, len(letters), int(rng.integers(1, 8)))) for _ in range(20))
+    rows = [(i, make("abcde" if i % 2 else "cdefg"), "xy"[i % 2]) for i in range(120)]
+    rows += [(None, rows[0][1], "x"), (0, "other text of a repeated id", None), (500, None, "x"), (501, "12 !", "y"), (502, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    broadcast, joined = language_id.train(df), language_id.train(df, most=10)
+    assert joined["models"] is None and joined["sharpness"] == broadcast["sharpness"] and np.allclose(joined["limits"], broadcast["limits"])
+    order = lambda out: sorted(((str(r.doc_id), r.lang_pred, round(r.score, 9), r.accepted) for r in out.collect()))
+    got = order(language_id.identify(df, joined, ["doc_id"]))
+    assert len(got) == len(rows) and got == order(language_id.identify(df, broadcast, ["doc_id"]))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 def test_held_out_accuracy_on_the_tables(spark):
     docs, marks = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
