@@ -16,7 +16,8 @@ fingerprints: the method trades that for a result without misses.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; a text of fewer words
 than a shingle is one shingle; only A-Z are lower-cased; a null id is never a component's name unless all of
-its ids are null; repeated rows are members like others.
+its ids are null; repeated rows are members like others. Of each component one row is kept, whatever its id: rows
+with a null id and rows that share an id go only when their texts do.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import connected_components, join_roots, slices, stash
@@ -51,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4) -> DataFrame:
+def with_fingerprints(docs: DataFrame, id_col: str | Column, text_col: str, shingle: int = 4) -> DataFrame:
     """(id, fp) for every row, as signed longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +60,7 @@ def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp bigint")
 
 
@@ -100,7 +101,14 @@ def linked_in_tile(left: np.ndarray, right: np.ndarray | None, radius: int, step
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 32768) -> DataFrame:
     """(id, fp, component_id) for every row of ``docs``; component_id is the least id reachable by links."""
     ids = stash(with_fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stash(ids.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    named = least_of_components(ids.groupBy("fp").agg(F.min("id").alias("least")), radius, block)
+    named = named.select("fp", F.col("least").alias("component_id"))
+    return ids.join(named, "fp").select("id", "fp", "component_id")
+
+
+def least_of_components(fingerprints: DataFrame, radius: int = 4, block: int = 32768) -> DataFrame:
+    """(fp, root, least) of distinct fingerprints ``(fp, least)``: each one's component and the least of its members."""
+    distinct = stash(fingerprints, "distinct")
     ones = F.bit_count("fp").cast("int")
     sizes = {p: -(-n // block) for p, n in distinct.groupBy(ones.alias("p")).count().collect()}  # 65 rows at most
     chunks = F.create_map(*(F.lit(x) for p in range(65) for x in (p, int(sizes.get(p, 1)))))
@@ -127,16 +135,21 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = tiles.select("self", "fps", "others").mapInArrow(compare, "a bigint, b bigint")
     roots = connected_components(edges)
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "root").select("fp", "component_id")
-    return ids.join(named, "fp").select("id", "fp", "component_id")
+    names = named.groupBy("root").agg(F.min("least").alias("least"))
+    return named.drop("least").join(names, "root").select("fp", "root", "least")
+
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4, block: int = 32768) -> DataFrame:
+    """One row, all columns, of each component of ``docs``: that of the least id, nulls last, then of the least text hash.
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that name their component; a repeated id stays once."""
-    keep = components(docs, id_col, text_col, **options).where("id <=> component_id").select(F.col("id").alias("_kept_id")).distinct()
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_kept_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    Rows are told apart by id and 128 bits of their text, so rows with a null or repeated id stand for themselves."""
+    keys = [F.xxhash64(text_col).alias("_k1"), F.xxhash64(F.lit(1), text_col).alias("_k2")]
+    rows = docs.withColumns({"_k1": keys[0], "_k2": keys[1]})
+    prints = with_fingerprints(rows, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2"), text_col, shingle)
+    least = least_of_components(prints.groupBy("fp").agg(F.min("id").alias("least")), radius, block)
+    kept = least.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least._k1").alias("_kept1"), F.col("least._k2").alias("_kept2"))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_kept1")) & (F.col("_k2") == F.col("_kept2"))
+    return rows.join(kept, same, "left_semi").dropDuplicates([id_col, "_k1", "_k2"]).drop("_k1", "_k2")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

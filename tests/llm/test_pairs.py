@@ -136,6 +136,13 @@ def test_simhash_of_nothing_and_null_ids(docs):
     assert sorted(map(str, (r.component_id for r in got.collect()))) == ["4", "4", "None"]
 
 
+def test_one_of_each_with_null_and_repeated_ids(docs):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (1, c), (1, d), (2, d), (None, c), (1, c), (None, b)]
+    got = [(r.doc_id, r.text) for r in simhash_dedup.one_of_each(docs(*rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
