@@ -137,3 +137,32 @@ def passages(cues: DataFrame, track: str, start: str, text: str, duration: Colum
 def tumbling(events: DataFrame, ts: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
     out = events.groupBy(*keys, F.window(ts, size).alias("_w")).agg(*aggregates)
     return out.select(*keys, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *(c for c in out.columns if c not in (*keys, "_w")))
+
+
+def playlists(parts: DataFrame, spans: DataFrame, gap_url: str, by: str = "recording_id", tolerance: int = 50_000) -> DataFrame:
+    """(by, playlist, error): an M3U8 text of the parts ``(by, id, starts_at, ends_at, url)`` of each of ``spans(by, starts_at, ends_at)``.
+
+    Holes of more than ``tolerance`` microseconds become gap entries; a part that ends so close to the next one's start
+    lasts until that. Parts that overlap by more give an error instead of a text; a span without parts gives no row.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    seconds = lambda c: F.format_string("#EXTINF:%.6f,", c / 1e6)
+    gap = lambda c: F.when(c > tolerance, F.concat_ws("\n", F.lit("#EXT-X-GAP"), seconds(c), F.lit(gap_url)))
+    w = Window.partitionBy(by).orderBy("a", "id")
+    rows = parts.select(by, "id", "url", F.col("starts_at").cast("timestamp").alias("at"), micros("starts_at").alias("a"), micros("ends_at").alias("b"))
+    rows = rows.join(spans.select(by, micros("starts_at").alias("_from"), micros("ends_at").alias("_to")), by)
+    rows = rows.withColumn("from", F.least("_from", F.min("a").over(Window.partitionBy(by)))).withColumn("next", F.lead("a").over(w))
+    rows = rows.withColumn("finish", F.when(F.abs(F.col("next") - F.col("b")) <= tolerance, F.col("next")).otherwise(F.col("b")))
+    rows = rows.withColumn("cursor", F.coalesce(F.lag("finish").over(w), "from")).withColumn("gap", F.col("a") - F.col("cursor"))
+    date = F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "'#EXT-X-PROGRAM-DATE-TIME:'yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    broken = F.when((F.col("cursor") > F.col("from")) | (F.col("gap") > tolerance), F.lit("#EXT-X-DISCONTINUITY"))
+    entry = F.concat_ws("\n", gap(F.col("gap")), broken, date, seconds(F.col("finish") - F.col("a")), F.col("url"))
+    out = rows.groupBy(by).agg(
+        F.array_sort(F.collect_list(F.struct("a", "id", entry.alias("entry")))).alias("entries"), (F.max("_to") - F.max_by("finish", F.struct("a", "id"))).alias("tail"),
+        F.max(F.greatest(F.col("b") - F.col("a"), F.when(F.col("gap") > tolerance, F.col("gap")))).alias("longest"), F.min("gap").alias("least"),
+    )
+    longest = F.ceil(F.greatest("longest", F.when(F.col("tail") > tolerance, F.col("tail"))) / 1e6).cast("string")
+    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:6\n#EXT-X-TARGETDURATION:"), longest, F.lit("\n#EXT-X-MEDIA-SEQUENCE:0\n#EXT-X-PLAYLIST-TYPE:VOD"))
+    text = F.concat(F.concat_ws("\n", head, F.transform("entries", lambda e: e["entry"]), gap(F.col("tail")), F.lit("#EXT-X-ENDLIST")), F.lit("\n"))
+    overlap = F.col("least") < -tolerance
+    return out.select(by, F.when(~overlap, text).alias("playlist"), F.when(overlap, F.lit("overlapping parts")).alias("error"))

@@ -88,6 +88,11 @@ def with_errors(documents: DataFrame, realm: Realm) -> DataFrame:
 
 
 AWARDS = Realm("government_spending", ("contract", "grant", "transfer_payment"), {"recipient_name": "string", "program_name": "string", "fiscal_year": "int", "amount": "float", "currency": "string", "is_aggregated": "bool"})
+EXPENDITURES = Realm(
+    "government_spending", ("fiscal_expenditure", "standard_object_expenditure"),
+    {"award_type": "string", "payer_organization_ids": "[]int", "payer_names": "[]string", "program_name": "string", "fiscal_year": "int", "amount": "float", "currency": "string", "is_aggregated": "bool", "dataset_key": "string"},
+    ("award_type", "dataset_key"),
+)
 MEASURES = Realm("kpi", ("measure",), {"kpi_measure_slug": "string", "kpi_category": "string", "kpi_frequency": "string", "kpi_unit_symbol": "string"}, ("kpi_measure_slug",))
 ARTICLES = Realm("media", ("article", "opinion", "editorial", "column", "live_blog"), {"publisher_name": "string", "authors": "[]string", "word_count": "uint"}, ("publisher_name",))
 
@@ -107,6 +112,40 @@ def award_documents(awards: DataFrame) -> DataFrame:
     return to_documents(awards, AWARDS, columns, ontology)
 
 
+def _expenditure_documents(rows: DataFrame, kind: str, title: Column, summary: Column, content: list[Column], program: Column, amount: Column) -> DataFrame:
+    year = F.regexp_extract(F.coalesce(F.col("fiscal_year").cast("string"), F.lit("")), r"\d{4}", 0)
+    columns = {
+        "id": F.concat(F.lit(kind.replace("_", "-") + ":"), F.col("id").cast("string")), "record_type": F.lit(kind), "title": title, "summary": summary,
+        "content": F.concat_ws(" — ", *(c.cast("string") for c in content)), "language": F.lit("und"),
+        "published_at": F.col("created_at").cast("string"), "source_updated_at": F.col("updated_at").cast("string"), "award_type": F.lit(kind),
+        "payer_organization_ids": F.array("organization_id"), "payer_names": F.array("organization_name"), "program_name": program,
+        "fiscal_year": F.when(year != "", year.cast("int")), "amount": amount.cast("double"), "currency": F.col("default_currency"), "is_aggregated": F.lit(True),
+        "dataset_key": F.lit(kind + "s"),
+    }
+    ontology = {
+        "organization_ids": F.array("organization_id"), "organization_names": F.array("organization_name"), "jurisdiction_ids": F.array("jurisdiction_id"),
+        "jurisdiction_codes": F.array("jurisdiction_code"), "jurisdiction_levels": F.array("jurisdiction_level"),
+    }
+    return to_documents(rows, EXPENDITURES, columns, ontology)
+
+
+def fiscal_expenditure_documents(rows: DataFrame) -> DataFrame:
+    """Expenditures by vote, with their organization and its jurisdiction joined; what was spent, else the ceiling."""
+    vote = F.translate("vote_type", "_", " ")
+    title = F.concat(F.col("organization_name"), F.lit(" "), F.upper(F.substring(vote, 1, 1)), F.lower(F.substring(vote, 2, 1_000)), F.lit(" expenditure"))
+    amount = F.coalesce("actual_expenditure", "pa_voted_ceiling")
+    content = [F.col(c) for c in ("organization_name", "vote_type", "vote_number", "description")] + [amount, F.col("fiscal_year")]
+    return _expenditure_documents(rows, "fiscal_expenditure", title, F.col("description"), content, F.col("description"), amount)
+
+
+def standard_object_documents(rows: DataFrame) -> DataFrame:
+    """Expenditures by standard object, with their organization and its jurisdiction joined."""
+    title = F.concat_ws(" — ", "organization_name", "standard_object")
+    summary = F.concat(F.col("fiscal_year").cast("string"), F.lit(" standard-object expenditure"))
+    content = [F.col(c) for c in ("organization_name", "standard_object", "amount", "fiscal_year")]
+    return _expenditure_documents(rows, "standard_object_expenditure", title, summary, content, F.col("standard_object"), F.col("amount"))
+
+
 def measure_documents(measures: DataFrame) -> DataFrame:
     columns = {
         "id": F.concat(F.lit("measure:"), F.col("id").cast("string")), "record_type": F.lit("measure"), "title": F.col("canonical_name"), "summary": F.col("description"),

@@ -1,6 +1,6 @@
 """Documents, residency, sinks, digests and the rest of the functions, by hand."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -87,3 +87,30 @@ def test_more_text(spark):
     assert pay(None, 0.0, 7.0) == 7 and pay("Acme", 5.0, 0.0) == 5 and pay("Payments under $100", 3.0, 9.0) == 3 and pay("Acme", 5.0, 9.0) == 9
     assert one(text.display_labels, [("A", None, 40), (None, "", None), (None, "B", None)], "array<struct<name:string,code:string,percentage:int>>") == ["A 40%", "B"]
     assert one(text.language_code, "FR_ca") == "fr" and one(text.language_code, "de") == "und"
+
+
+def test_expenditure_documents(spark):
+    common = "organization_id int, organization_name string, jurisdiction_id int, jurisdiction_code string, jurisdiction_level string, default_currency string, created_at timestamp, updated_at timestamp"
+    own = (7, "Dept", 3, "ca", "federal", "CAD", datetime(2024, 1, 1), datetime(2024, 1, 2))
+    votes = spark.createDataFrame([(1, "grants_contributions", "5", None, None, 9.0, "2023-24", *own)], f"id int, vote_type string, vote_number string, description string, actual_expenditure double, pa_voted_ceiling double, fiscal_year string, {common}")
+    r = documents.with_errors(documents.fiscal_expenditure_documents(votes), documents.EXPENDITURES).first()
+    assert (r.id, r.title, r.content, r.fiscal_year, r.amount, r.dataset_key, r.errors) == ("fiscal-expenditure:1", "Dept Grants contributions expenditure", "Dept — grants_contributions — 5 — 9.0 — 2023-24", 2023, 9.0, "fiscal_expenditures", [])
+    objects = spark.createDataFrame([(2, "Personnel", 4.0, "n/a", *own)], f"id int, standard_object string, amount double, fiscal_year string, {common}")
+    r = documents.with_errors(documents.standard_object_documents(objects), documents.EXPENDITURES).first()
+    assert (r.id, r.title, r.summary, r.fiscal_year, r.payer_names, r.jurisdiction_levels, r.errors) == ("standard-object-expenditure:2", "Dept — Personnel", "n/a standard-object expenditure", None, ["Dept"], ["federal"], [])
+
+
+def test_playlists(spark):
+    from millrace.operators.intervals import playlists
+
+    t = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    parts = spark.createDataFrame([(1, 1, t(2), t(10), "a"), (1, 2, t(9.98), t(20), "b"), (1, 3, t(25), t(30), "c"), (2, 4, t(0), t(9), "d"), (2, 5, t(5), t(12), "e")], "recording_id int, id int, starts_at timestamp, ends_at timestamp, url string")
+    spans = spark.createDataFrame([(1, t(0), t(33)), (2, t(0), t(12)), (3, t(0), t(1))], "recording_id int, starts_at timestamp, ends_at timestamp")
+    got = {r.recording_id: r for r in playlists(parts, spans, "gap").collect()}
+    assert set(got) == {1, 2} and got[2].playlist is None and got[2].error == "overlapping parts"
+    assert [x for x in got[1].playlist.split("\n") if "DATE-TIME" not in x] == [
+        "#EXTM3U", "#EXT-X-VERSION:6", "#EXT-X-TARGETDURATION:11", "#EXT-X-MEDIA-SEQUENCE:0", "#EXT-X-PLAYLIST-TYPE:VOD",
+        "#EXT-X-GAP", "#EXTINF:2.000000,", "gap", "#EXT-X-DISCONTINUITY", "#EXTINF:7.980000,", "a", "#EXT-X-DISCONTINUITY", "#EXTINF:10.020000,", "b",
+        "#EXT-X-GAP", "#EXTINF:5.000000,", "gap", "#EXT-X-DISCONTINUITY", "#EXTINF:5.000000,", "c", "#EXT-X-GAP", "#EXTINF:3.000000,", "gap", "#EXT-X-ENDLIST", "",
+    ]
+    assert "#EXT-X-PROGRAM-DATE-TIME:2024-01-01T00:00:09.980000Z" in got[1].playlist
