@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -164,3 +165,50 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1_000_000
                 first, size, held = row + 1, 0, []
         if held:
             yield batch.slice(first), held
+
+
+def spans(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, .. for ``n`` places, for each pair of ``first`` and ``n`` end to end."""
+    return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+class Words:
+    """The words (runs between ASCII white space) of an array of texts, each distinct one once.
+
+    ``distinct`` are the words, ``codes`` the place of each word of the texts among them, and text i has
+    the words ``offsets[i]`` to ``offsets[i + 1]``. A null text has none.
+    """
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(texts.fill_null(""))
+        encoded = lists.flatten().dictionary_encode()
+        self.distinct: pa.Array = encoded.dictionary
+        self.codes = np.asarray(encoded.indices)
+        self.offsets = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        empty = pc.index(self.distinct, "").as_py()
+        if empty >= 0:  # white space at a text's start or end
+            there = self.codes != empty
+            self.offsets = np.concatenate([[0], np.cumsum(there)])[self.offsets]
+            self.codes = self.codes[there]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, the sum over its words of ``values``, which has a row or number for each distinct word."""
+        at = values[self.codes]
+        out = np.zeros((len(self.offsets) - 1, *values.shape[1:]), values.dtype)
+        some = np.flatnonzero(np.diff(self.offsets))
+        if len(some):
+            out[some] = np.add.reduceat(at, self.offsets[some], axis=0)
+        return out
+
+
+def worded(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Cut Arrow batches into runs of rows with about ``most`` bytes of text (one row at least): (rows, their words)."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            n = max(1, int(np.searchsorted(ends, done + most, side="right")) - first)
+            yield batch.slice(first, n), Words(texts.slice(first, n))
+            first += n

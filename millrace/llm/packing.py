@@ -4,8 +4,10 @@ Documents become token ids; those over the capacity are cut into full pieces and
 packed depends only on how many there are of each length, so the search sees a table of at most
 ``capacity`` counts, whatever the corpus. It places the largest piece that is left and branches over the
 undominated ways to fill the space around it, fullest first, pruned by the waste that the best packing so
-far allows; best-fit decreasing gives the first such packing. A filling is repeated as often as the counts
-allow, so the plan is a bounded list of patterns.
+far allows and by a lower bound on what is left; best-fit decreasing gives the first such packing. A filling is
+first repeated as often as the counts allow, so the plan is a bounded list of patterns. The tree is walked with
+a growing number of departures from the first choice, and no branch is dropped: without a limit of steps the
+search ends with a proof; with one, ``packing_report`` tells how far the result is from the lower bound.
 
 Pieces then take their places by their number among the pieces of their length. That number is counted in
 two levels (within hash buckets, then over the buckets' sums), so a length that many documents share is no
@@ -19,92 +21,132 @@ from __future__ import annotations
 
 import gc
 import string
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import slices, stash
+from ._common import Words, spans, stash, worded
 
 
 # --- tokens -----------------------------------------------------------------------------------
 
 
-class ChunkIds(dict):
-    """Token ids (as bytes) of each run of characters between ASCII white space.
+class Remembered:
+    """Token ids of the strings seen so far: string i has ``ids[first[i] : first[i] + n[i]]``."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.string())
+        self.first = self.n = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def find(self, wanted: pa.Array) -> np.ndarray:
+        """The place of each string, -1 where it hasn't been seen."""
+        return np.asarray(pc.index_in(wanted, value_set=self.keys).fill_null(-1)).astype(np.int64)
+
+    def add(self, keys: pa.Array, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        places = np.arange(len(self.keys), len(self.keys) + len(keys))
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
+        self.n = np.concatenate([self.n, n])
+        self.ids = np.concatenate([self.ids, ids])
+        return places
+
+
+class ChunkIds:
+    """Token ids of each run of characters between ASCII white space.
 
     The tokenizer drops white space and joins nothing across it, so such runs are encoded apart, and those
-    seen lately are remembered (two generations of up to ``limit``). Letters are never joined with the
-    punctuation after them either, so a word is encoded once for all its endings, and words of letters only
-    are encoded many at a time and cut at their word-end tokens. ``encode`` gives texts' ids.
+    seen lately are remembered (up to ``limit``). A run of letters is never joined with the ASCII punctuation after it
+    if its letters are letters still once they are normalised: then it is encoded once for all its endings, many at a
+    time, and cut at the word-end tokens. Letters whose normal form holds a mark (a nukta, the dot of the
+    Turkish I) would join with punctuation, so runs that hold any are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.older: dict[bytes, bytes] = {}
-        self.bases: dict[str, bytes] = {}
+        self.runs, self.bases = Remembered(), Remembered()
+        self.letters: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        found = [list(map(self.get, words)) for words in split]
-        lacking = [i for i, ids in enumerate(found) if None in ids]
-        if lacking:
-            self.learn({w for i in lacking for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-            for i in lacking:
-                found[i] = [self.get(w) if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        return list(map(b"".join, found))
-
-    def learn(self, new: set[bytes]) -> None:
-        if len(self) + len(new) > self.limit:
-            self.older = dict(self)
-            self.clear()
-        parts = []
-        for w in new:
-            if (known := self.older.get(w)) is not None:
-                self[w] = known
-                continue
-            text = w.decode("utf-8", "replace")
-            base = text.rstrip(string.punctuation)
-            tail = text[len(base) :]
-            if not base.isalpha():
-                base, tail = text, ""
-            parts.append((w, base.lower() if base.isascii() else base, tail))
-        wanted = {x for _, base, tail in parts for x in (base, tail) if x and x not in self.bases}
-        if len(self.bases) + len(wanted) > self.limit:
-            self.bases.clear()
-            wanted = {x for _, base, tail in parts for x in (base, tail) if x}
-        self.learn_bases([x for x in wanted if x.isalpha()], [x for x in wanted if not x.isalpha()])
-        self.update((w, self.bases[base] + self.bases[tail]) for w, base, tail in parts)
-
-    def learn_bases(self, plain: list[str], other: list[str]) -> None:
-        self.bases[""] = b""
-        for first in range(0, len(plain), 20_000):
-            part = plain[first : first + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+    def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text's ids end)."""
+        if len(self.runs.keys) > self.limit:
+            self.runs, self.bases = Remembered(), Remembered()
+        at = self.runs.find(words.distinct)
+        lacking = at < 0
+        if lacking.any():
+            at[lacking] = self.learn(words.distinct.filter(pa.array(lacking)))
+        n = self.runs.n[at][words.codes]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.runs.ids[spans(self.runs.first[at][words.codes], n)], ends[words.offsets[1:]]
+
+    def all_letters(self, text: str) -> bool:
+        """Whether every character is a letter, long known as one, and its normal form has only letters."""
+        for c in text:
+            known = self.letters.get(c)
+            if known is None:
+                old = unicodedata.ucd_3_2_0
+                known = self.letters[c] = all(unicodedata.category(x)[0] == old.category(x)[0] == "L" for x in c + self.tokenizer.normalizer.normalize_str(c))
+            if not known:
+                return False
+        return True
+
+    def learn(self, new: pa.Array) -> np.ndarray:
+        """Places among the runs, all of which are new."""
+        base = pc.ascii_rtrim(new, characters=string.punctuation)
+        plain = pc.ascii_is_alpha(base)
+        wide = np.flatnonzero(~np.asarray(pc.string_is_ascii(base)))
+        known = np.asarray(plain).copy()
+        known[wide] = [self.all_letters(x.decode("utf-8", "replace")) for x in base.take(pa.array(wide)).cast(pa.binary()).to_pylist()]
+        keys = pc.if_else(plain, pc.ascii_lower(base), pc.if_else(pa.array(known), base, new)).dictionary_encode()
+        cut = np.flatnonzero(known & (np.asarray(pc.binary_length(new)) > np.asarray(pc.binary_length(base))))
+        sizes = np.asarray(pc.binary_length(base))[cut].tolist()
+        tails = pa.array([w[k:] for w, k in zip(new.take(pa.array(cut)).cast(pa.binary()).to_pylist(), sizes, strict=True)], pa.binary()).cast(pa.string()).dictionary_encode()
+        letters = np.zeros(len(keys.dictionary), bool)
+        letters[np.asarray(keys.indices)] = known
+        key_at = self.based(keys.dictionary, letters)[np.asarray(keys.indices)]
+        tail_at = self.based(tails.dictionary, np.zeros(len(tails.dictionary), bool))[np.asarray(tails.indices)]
+        first, n = np.zeros((len(new), 2), np.int64), np.zeros((len(new), 2), np.int64)
+        first[:, 0], n[:, 0] = self.bases.first[key_at], self.bases.n[key_at]
+        first[cut, 1], n[cut, 1] = self.bases.first[tail_at], self.bases.n[tail_at]
+        return self.runs.add(new, self.bases.ids[spans(first.ravel(), n.ravel())], n.sum(axis=1))
+
+    def based(self, keys: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Places among the bases; those that are new are encoded, ``letters`` many at a time."""
+        at = self.bases.find(keys)
+        plain, other = np.flatnonzero((at < 0) & letters), np.flatnonzero((at < 0) & ~letters)
+        for few in (plain[i : i + 20_000] for i in range(0, len(plain), 20_000)):
+            text = b" ".join(keys.take(pa.array(few)).cast(pa.binary()).to_pylist()).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):  # some letter became more than one run of letters
-                other = other + part
+            if len(cuts) != len(few):  # can't be while all are letters; one at a time is right in any case
+                other = np.concatenate([other, few])
                 continue
-            raw, at = ids.tobytes(), (cuts * 4).tolist()
-            self.bases.update(zip(part, (raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)), strict=True))
-        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.bases[x] = np.array(e.ids, "<u4").tobytes()
+            at[few] = self.bases.add(keys.take(pa.array(few)), ids, np.diff(cuts, prepend=0))
+        if len(other):
+            texts = [x.decode("utf-8", "replace") for x in keys.take(pa.array(other)).cast(pa.binary()).to_pylist()]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            at[other] = self.bases.add(keys.take(pa.array(other)), np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+        return at
 
 
 _known: dict[str, ChunkIds] = {}
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, piece, start, length, ids_crc32 and a hash of the row, for each piece of each document."""
+    """id, piece, start, length and ids_crc32 for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.freeze()  # else every collection walks the remembered words
@@ -112,19 +154,20 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
             _known[path] = ChunkIds(path)
         chunks = _known[path]
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch, texts in slices(batches, "text"):
-            row, piece, start, length, crc = [], [], [], [], []
-            for r, ids in enumerate(chunks.encode(texts)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), capacity * 4)):
-                    part = ids[at : at + capacity * 4]
-                    row.append(r)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+        for batch, words in worded(batches, "text"):
+            ids, ends = chunks.encode(words)
+            raw = memoryview(ids.tobytes())
+            n = np.diff(ends, prepend=0) + 1
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(n[row] - piece * capacity, capacity)
+            crc = []
+            for first, size, last in zip(((ends - n + 1)[row] + piece * capacity).tolist(), length.tolist(), (piece == pieces[row] - 1).tolist(), strict=True):
+                found = zlib.crc32(raw[first * 4 : (first + size - last) * 4])
+                crc.append(zlib.crc32(end, found) if last else found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())],
+                [batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length.astype(np.int32)), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
 
@@ -169,12 +212,9 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(held, n) for group in open_.values() for held, n in group]
 
 
-def fillings(counts: dict[int, int], sizes: np.ndarray, room: int, limit: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, least waste first: no piece left out could take the place of a smaller one.
-
-    Fewer, larger pieces dominate the same total in smaller ones, so exact fills by one piece, then by
-    two, come first; deeper ones follow, largest pieces first, until ``limit`` are found.
-    """
+def first_fillings(counts: dict[int, int], sizes: np.ndarray, room: int, limit: int) -> list[tuple[int, ...]]:
+    """Some ways to fill ``room``, least waste first: exact fills by one piece, then by two, then deeper ones, largest
+    pieces first. At most ``limit`` are looked at; ``all_fillings`` has the others."""
     found: list[tuple[int, tuple[int, ...]]] = []
     smallest = int(sizes[0]) if len(sizes) else 0
     visits = 0
@@ -199,33 +239,26 @@ def fillings(counts: dict[int, int], sizes: np.ndarray, room: int, limit: int) -
                 return (max(a, b), min(a, b)) if a + b > one else (one,)
         return (one,)
 
-    def deeper(space: int, chosen: tuple[int, ...], below: int, left: dict[int, int]) -> bool:
+    def deeper(space: int, chosen: tuple[int, ...], below: int, left: dict[int, int]) -> None:
         nonlocal visits
         visits += 1
         tail = best_two(space, left, below)
         if tail is None:
             found.append((space, chosen))
-            return space == 0
+            return
         rest = space - sum(tail)
         if rest < smallest or rest == 0:
             found.append((rest, chosen + tail))
-        if rest == 0 and len(found) >= 1:
-            return True
         top = int(np.searchsorted(sizes, min(space, below), side="right"))
-        tried = 0
-        for at in range(top - 1, -1, -1):
+        for at in range(top - 1, max(-1, top - 9), -1):
             size = int(sizes[at])
             if left[size] < 1:
                 continue
-            if visits >= limit or tried >= 8:
+            if visits >= limit:
                 break
-            tried += 1
             left[size] -= 1
-            done = deeper(space - size, (*chosen, size), size, left)
+            deeper(space - size, (*chosen, size), size, left)
             left[size] += 1
-            if done:
-                return True
-        return False
 
     deeper(room, (), room, counts)
     best: dict[tuple[int, ...], int] = {}
@@ -234,12 +267,53 @@ def fillings(counts: dict[int, int], sizes: np.ndarray, room: int, limit: int) -
     return [fill for fill, _ in sorted(best.items(), key=lambda x: (x[1], len(x[0]), [-s for s in x[0]]))]
 
 
+def all_fillings(counts: dict[int, int], sizes: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """Every way to fill ``room`` in which no smaller piece has room left over, largest pieces first; sizes fall."""
+
+    def deeper(space: int, chosen: tuple[int, ...], at: int) -> Iterator[tuple[int, ...]]:
+        while at < len(sizes) and sizes[at] > space:
+            at += 1
+        if at == len(sizes):
+            yield chosen
+            return
+        for k in range(at, len(sizes)):
+            size = sizes[k]
+            most = min(counts[size], space // size)
+            if most:
+                for n in range(most, 0, -1):
+                    yield from deeper(space - n * size, (*chosen, *(size,) * n), k + 1)
+
+    yield from deeper(room, (), 0)
+
+
+def dominated(fill: tuple[int, ...], counts: dict[int, int], sizes: np.ndarray, room: int) -> bool:
+    """Whether a piece left out could take the place of one or more pieces of no larger sum, or of free space.
+
+    Such a filling need not be tried: what it frees fits where the piece would have gone.
+    """
+    free = room - sum(fill)
+    sums, several = 1, 0  # bit s: some pieces, or at least two, sum to s
+    for size in fill:
+        several |= (sums & ~1) << size | several << size
+        sums |= sums << size
+    used = Counter(fill)
+    width = room // 8 + 1
+    reach = np.unpackbits(np.frombuffer(sums.to_bytes(width, "little"), np.uint8), bitorder="little")
+    before = np.concatenate([[0], np.cumsum(reach)])
+    out = sizes[[counts[s] > used.get(s, 0) for s in sizes.tolist()]] if used else sizes
+    if (before[out] > before[np.maximum(out - free, 0)]).any():
+        return True
+    return any(several >> s & 1 for s in out.tolist())
+
+
 def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
     """A lower bound: no packing has fewer sequences.
 
     For each k, pieces over capacity - k share a sequence with none of k or more; pieces over half the
     capacity share with no other such one; what smaller pieces of k or more don't fit beside those needs sequences
-    of its own. k = 0 gives the bound by total waste.
+    of its own. k = 0 gives the bound by total waste. Beside it, for each d a piece counts as a d-th part of a sequence
+    for each (d + 1)-th part of one that it exceeds (as its own size if it is just such parts): no sequence holds more
+    than one by this measure, again with pieces under k left out and those over capacity - k as whole ones.
     """
     size = np.array(sorted(counts), np.int64)
     if not len(size):
@@ -253,64 +327,141 @@ def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
     alone, halves = number[-1] - number[high], number[high] - number[half]
     room = halves * capacity - (total[high] - total[half])
     rest = total[half] - total[np.minimum(low, half)] - room
-    return int((alone + halves + np.maximum(0, -(-rest // capacity))).max())
+    bound = int((alone + halves + np.maximum(0, -(-rest // capacity))).max())
+    for d in range(2, 12):
+        parts = size * (d + 1)
+        measure = np.where(parts % capacity == 0, size * d, parts // capacity * capacity)
+        sums = np.concatenate([[0], np.cumsum(n * measure)])
+        whole = (sums[high] - sums[np.minimum(low, high)]) + alone * capacity * d
+        bound = max(bound, int((-(-whole // (capacity * d))).max()))
+    return bound
 
 
-def bin_completion(counts: dict[int, int], capacity: int, branches: int = 3, visits: int = 64, nodes: int = 20_000) -> list[Pattern]:
-    """A packing of ``counts`` pieces of each length; optimal where its size meets the lower bound.
+def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_000, visits: int = 64) -> list[Pattern]:
+    """A packing of ``counts`` pieces of each length; optimal where its size meets the lower bound or the search ends.
 
-    ``visits`` bounds one enumeration of fillings, ``branches`` how many of them a node tries and
-    ``nodes`` the whole search. They bound the search's time: every piece is packed whatever they are.
+    ``steps`` bounds the fillings tried (None: search until the optimum is proven) and ``visits`` how many are
+    sorted at a node before the rest follow unsorted. Every piece is packed whatever they are.
     """
     left = {s: n for s, n in counts.items() if n > 0}
     total = sum(s * n for s, n in left.items())
     bound = fewest_sequences(left, capacity)
     best = best_fit_decreasing(left, capacity)
     fewest = sum(n for _, n in best)
+    taken = 0
 
-    def ways() -> Iterator[tuple[int, ...]]:
+    def ways() -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """(filling, how often) around the largest piece, None for each that is dominated."""
         size = max(left)
-        left[size] -= 1
+        around = left | {size: left[size] - 1}
         room = capacity - size
-        inside = np.array(sorted(s for s, n in left.items() if n and s <= room), np.int64)
-        found = fillings(left, inside, room, visits) if len(inside) else [()]
-        left[size] += 1
-        return iter([(size, *fill) for fill in found[:branches]])
-
-    # path: the patterns so far, each with the fillings still to try in its place
-    path: list[tuple[tuple[int, ...], int, Iterator]] = []
-    used = waste = seen = 0
-    options = ways() if left else iter(())
-    while fewest > bound and seen < nodes:
-        fill = next(options, None)
-        if fill is None or waste > (fewest - 1) * capacity - total:
-            if not path:
-                break
-            fill, times, options = path.pop()
-            for s, k in Counter(fill).items():
-                left[s] = left.get(s, 0) + k * times
-            used -= times
-            waste -= (capacity - sum(fill)) * times
-            continue
-        seen += 1
-        need = Counter(fill)
-        times = min(left[s] // k for s, k in need.items())
-        for s, k in need.items():
-            left[s] -= k * times
-            if not left[s]:
-                del left[s]
-        path.append((fill, times, options))
-        used += times
-        waste += (capacity - sum(fill)) * times
-        if not left:
-            if used < fewest:
-                best, fewest = [(f, n) for f, n, _ in path], used
-            options = iter(())
-        else:
-            options = ways()
+        inside = np.array(sorted(s for s, n in around.items() if n and s <= room), np.int64)
+        if not len(inside):
+            yield (size,), left[size]
+            return
+        if inside[-1] == room:  # an exact fill by one piece dominates all others
+            yield (size, room), min(left[size], left[room]) if size != room else left[size] // 2
+            if left[size] > 1:
+                yield (size, room), 1
+            return
+        often = lambda fill: min(left[s] // k for s, k in Counter(fill).items())
+        seen = set()
+        repeated = []
+        guesses = first_fillings(around, inside, room, visits)
+        for fill in chain(guesses, all_fillings(around, inside[::-1].tolist(), room)):
+            if fill in seen:
+                continue
+            if len(seen) <= len(guesses):
+                seen.add(fill)
+            if dominated(fill, around, inside, room):
+                yield None
+                continue
+            whole = (size, *fill)
+            times = often(whole)
+            yield whole, times
+            if times > 1:
+                repeated.append(whole)
+                if len(repeated) == 1024:  # hold no more than these
+                    yield from ((f, 1) for f in repeated)
+                    repeated = []
+        yield from ((f, 1) for f in repeated)
+
+    def put(fill: tuple[int, ...], times: int) -> None:
+        for s, k in Counter(fill).items():
+            rest = left.get(s, 0) - k * times
+            if rest:
+                left[s] = rest
+            else:
+                left.pop(s, None)
+
+    def reached(met: dict, used: int, may: int, most: int = 100_000) -> bool:
+        """Whether what is left wasn't reached before as well or better."""
+        key = frozenset(left.items())
+        was = met.get(key)
+        if was is not None and was[0] <= used and was[1] >= may:
+            return False
+        if len(met) < most:
+            met[key] = used, may
+        return True
+
+    def walk(departures: int) -> bool:
+        """Search paths with so many departures from first choices; whether none had to be left out."""
+        nonlocal best, fewest, taken
+        whole = True
+        path: list[tuple[tuple[int, ...], int]] = []
+        levels = [[ways(), 0, departures]]  # options, how many were taken, departures left
+        used = waste = 0
+        met: dict[frozenset, tuple[int, int]] = {}  # what was left: with how many sequences, and departures left
+        while levels:
+            options, tried, may = levels[-1]
+            option = next(options, None) if (steps is None or taken < steps) and fewest > bound else None
+            ended = option is None and (steps is not None and taken >= steps or fewest <= bound or options.gi_frame is None)
+            taken += 1
+            if option is None and not ended:
+                continue
+            if ended or tried > may:
+                whole &= ended and options.gi_frame is None
+                levels.pop()
+                if path:
+                    fill, times = path.pop()
+                    put(fill, -times)
+                    used -= times
+                    waste -= (capacity - sum(fill)) * times
+                continue
+            levels[-1][1] += 1
+            fill, times = option
+            lost = (capacity - sum(fill)) * times
+            if waste + lost > (fewest - 1) * capacity - total:
+                continue
+            put(fill, times)
+            if not left:
+                if used + times < fewest:
+                    best, fewest = [*path, (fill, times)], used + times
+            elif reached(met, used + times, may - tried) and used + times + fewest_sequences(left, capacity) < fewest:
+                path.append((fill, times))
+                used += times
+                waste += lost
+                levels.append([ways(), 0, may - tried])
+                continue
+            put(fill, -times)
+        return whole
+
+    departures = 0
+    while left and fewest > bound and (steps is None or taken < steps):
+        if walk(departures):
+            break
+        departures = 2 * departures + 1
     return best
 
 
+def packing_report(pieces: DataFrame, capacity: int = 4096, **options) -> DataFrame:
+    """One row: pieces, sequences in the packing, and the lower bound on them."""
+    counts = {int(size): int(n) for size, n in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
+    plan = bin_completion(counts, capacity, **options)
+    row = (sum(counts.values()), sum(n for _, n in plan), fewest_sequences(counts, capacity))
+    return pieces.sparkSession.createDataFrame([row], "pieces bigint, sequences bigint, at_least bigint")
+
+
 def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to ``pieces``, which has ``length`` and whatever else."""
     spark = pieces.sparkSession

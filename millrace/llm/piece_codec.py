@@ -2,17 +2,20 @@
 
 The model file's normaliser is read as it is compiled: a map from character sequences to replacements in a
 double-array trie. Normalising takes the longest entry that matches at each place, else one character, and
-notes which original bytes each normalised byte came from; then come the model's rules for spaces. Segmenting is
-the library's. As its pieces spell the normalised text end to end, their lengths project every piece through
-the notes to the bytes of the original text that it stands for.
+notes which original bytes each normalised byte came from; then come the model's rules for spaces. The normalised
+text is segmented by the library, which is given the model without its normaliser. As the pieces spell the
+normalised text end to end, their lengths project every piece through the notes to the bytes of the original
+text that it stands for.
 
 Defined results: a null text is empty; an empty text has the begin and end ids only and spans of no bytes;
-malformed UTF-8 is read as U+FFFD; texts over ``long_text`` characters are cut at single spaces, which no
+malformed UTF-8 is read as U+FFFD, whose spans are the malformed bytes; a piece that the model doesn't know spans what
+it stands for; texts over ``long_text`` characters are segmented in parts, cut before a space mark, which no
 piece of the model crosses, so that memory stays bounded and ids don't change.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -66,6 +69,7 @@ class ModelFile:
     remove_extra: bool = True
     escape: bool = True
     suffix: bool = False
+    unknown: int = 0
 
     @classmethod
     def read(cls, path: str) -> ModelFile:
@@ -83,6 +87,7 @@ class ModelFile:
                 spec = dict(fields(value))
                 out.charsmap = spec.get(2, b"")
                 out.dummy_prefix, out.remove_extra, out.escape = (bool(spec.get(k, 1)) for k in (3, 4, 5))
+        out.unknown = out.kinds.index(2)
         return out
 
 
@@ -109,8 +114,8 @@ class CharacterMap:
     def longest(self, raw: bytes, at: int) -> tuple[int, bytes] | None:
         """(bytes matched, replacement) of the longest entry at ``at``."""
         node, found = 0, None
-        for n, byte in enumerate(raw[at : at + 64], 1):
-            node = self._step(node, byte)
+        for n, place in enumerate(range(at, len(raw)), 1):
+            node = self._step(node, raw[place])
             if node is None:
                 break
             unit = int(self.units[node])
@@ -128,21 +133,67 @@ class Normalised:
     source: np.ndarray
 
 
+_malformed: list[tuple[int, int]] = []
+
+
+def _note(error: UnicodeError) -> tuple[str, int]:
+    _malformed.append((error.start, error.end))
+    return "\ufffd", error.end
+
+
+codecs.register_error("note-malformed", _note)
+
+
+def repaired(text: bytes) -> tuple[bytes, np.ndarray | None]:
+    """The text with U+FFFD for what is malformed and, if there was any, the original offset of each byte and the end."""
+    _malformed.clear()
+    good = text.decode("utf-8", "note-malformed")
+    if not _malformed:
+        return text, None
+    parts, done = [], 0
+    for start, end in _malformed:
+        parts += [np.arange(done, start), np.full(3, start)]
+        done = end
+    return good.encode(), np.concatenate([*parts, np.arange(done, len(text) + 1)])
+
+
+def without_normaliser(raw: bytes) -> bytes:
+    """A model file whose normaliser (field 3) leaves texts as they are: no map, prefix, squeezing or escapes."""
+
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    out = []
+    for number, value in fields(raw):
+        if number != 3:
+            out += [varint(number << 3 | 2), varint(len(value)), value]
+    plain = bytes([3 << 3, 0, 4 << 3, 0, 5 << 3, 0])
+    return b"".join([*out, varint(3 << 3 | 2), varint(len(plain)), plain])
+
+
 class PieceCodec:
     def __init__(self, path: str, long_text: int = 1 << 20):
         import sentencepiece
 
         self.file, self.long_text = ModelFile.read(path), long_text
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        with open(path, "rb") as f:
+            self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=without_normaliser(f.read()))
+        #: Symbols that are never normalised, longest first.
+        self.symbols = sorted((p.encode() for p, k in zip(self.file.pieces, self.file.kinds, strict=True) if k == 4), key=len, reverse=True)
         self.map = CharacterMap(self.file.charsmap)
         byte = 6  # the kind of a piece that stands for one byte
         self.sizes = np.array([0 if k == 3 else 1 if k == byte else len(p.encode()) for p, k in zip(self.file.pieces, self.file.kinds, strict=True)], np.int64)
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.file.pieces)
-        self.cuttable = self.file.dummy_prefix and self.file.escape and not self.file.suffix and not self.file.charsmap and not crossing and not self.file.remove_extra
+        self.mark = SPACE if self.file.escape else " "
+        self.cuttable = not any(self.mark in p.lstrip(self.mark) for p in self.file.pieces)
 
     def normalise(self, text: bytes) -> Normalised:
         out, source = self._mapped(text)
-        mark = SPACE.encode() if self.file.escape else b" "
+        mark = self.mark.encode()
         if self.file.remove_extra:
             keep = np.ones(len(out), bool)
             spaces = np.frombuffer(out, np.uint8) == 32
@@ -167,44 +218,54 @@ class PieceCodec:
         """The text after the character map, with source offsets."""
         if not self.map.begins.any():
             return text, np.arange(len(text) + 1)
-        hits = np.flatnonzero(self.map.begins[np.frombuffer(text, np.uint8)]).tolist()
+        begins = self.map.begins.copy()
+        begins[[x[0] for x in self.symbols]] = True
+        hits = np.flatnonzero(begins[np.frombuffer(text, np.uint8)]).tolist()
         parts, sources, done = [], [], 0
         for at in hits:
             if at < done or text[at] & 0xC0 == 0x80:
                 continue
-            found = self.map.longest(text, at)
+            symbol = next((x for x in self.symbols if text.startswith(x, at)), None)
+            found = (len(symbol), symbol) if symbol else self.map.longest(text, at)
             if found is None:
                 continue
             parts += [text[done:at], found[1]]
-            sources += [np.arange(done, at), np.full(len(found[1]), at)]
+            same = symbol or found[0] == len(found[1]) == 1
+            sources += [np.arange(done, at), np.arange(at, at + found[0]) if same else np.full(len(found[1]), at)]
             done = at + found[0]
         parts.append(text[done:])
         sources.append(np.arange(done, len(text) + 1))
         return b"".join(parts), np.concatenate(sources)
 
-    def ids(self, text: bytes) -> list[int]:
-        """The library's ids, begin and end included."""
-        string = text.decode("utf-8", "replace")
-        if len(string) <= self.long_text or not self.cuttable:
-            return self.library.encode(string, add_bos=True, add_eos=True)
-        out, at = [self.library.bos_id()], 0
-        while at < len(string):
+    def parts(self, text: str) -> Iterator[str]:
+        """A normalised text in parts of about ``long_text`` characters, cut before marks that follow other characters."""
+        at = 0
+        while self.cuttable and len(text) - at > self.long_text:
             to = at + self.long_text
-            # Only a single space is cut at, and dropped: the next part's own prefix stands for it.
-            while to < len(string) and not (string[to] == " " and to > at and string[to - 1] not in (" ", SPACE) and to + 1 < len(string) and string[to + 1] not in (" ", SPACE)):
+            while (to := text.find(self.mark, to)) >= 0 and text[to - 1] == self.mark:
                 to += 1
-            out += self.library.encode(string[at:to])
-            at = to + 1
-        return [*out, self.library.eos_id()]
+            if to < 0:
+                break
+            yield text[at:to]
+            at = to
+        yield text[at:] if at else text
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, spans): for each id the first original byte and the one after its last."""
-        ids = np.array(self.ids(text), np.int64)
+        """(ids, spans), begin and end included: for each id the first original byte and the one after its last."""
+        text, origin = repaired(text)
         normal = self.normalise(text)
-        ends = np.cumsum(self.sizes[ids])
-        if ends[-1] != len(normal.raw):
-            raise ValueError(f"pieces spell {ends[-1]} bytes, the normalised text has {len(normal.raw)}")
-        return ids, np.stack([normal.source[ends - self.sizes[ids]], normal.source[ends]], axis=1)
+        ids, sizes = [[self.library.bos_id()]], [np.zeros(1, np.int64)]
+        for part in self.parts(normal.raw.decode()):
+            found = np.array(self.segmenter.encode(part), np.int64)
+            size = self.sizes[found]
+            if self.file.unknown in found:  # pieces of any length
+                size = np.array([len(p.surface.encode()) for p in self.segmenter.encode(part, out_type="immutable_proto").pieces], np.int64)
+            ids.append(found)
+            sizes.append(size)
+        sizes = np.concatenate([*sizes, np.zeros(1, np.int64)])
+        ends = np.cumsum(sizes)
+        spans = np.stack([normal.source[ends - sizes], normal.source[ends]], axis=1)
+        return np.concatenate([*ids, [self.library.eos_id()]]), spans if origin is None else origin[spans]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -238,18 +299,21 @@ def encoded(docs: DataFrame, path: str, keep: list[str], text_col: str = "text")
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text for every document: ``encoded`` digested in the task."""
+    """doc_id, n_tokens and digests of ids, decoded text and spans (starts and ends by turns, as little-endian unsigned
+    64-bit integers) for every document: ``encoded`` digested in the task."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch, texts in slices(batches, "text"):
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, spans_sha = [], [], [], []
             for t in texts:
-                ids, _ = c.encode(t)
+                ids, spans = c.encode(t)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode(ids.tolist()).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                spans_sha.append(hashlib.sha256(spans.astype("<u8").tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (ids_sha, text_sha, spans_sha))], names)
 
     rows = docs.select("text", "doc_id")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")

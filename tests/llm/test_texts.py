@@ -1,13 +1,16 @@
 """Substring dedup, SentencePiece, packing and perspectives against brute force."""
 
 import hashlib
+import random
+import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-
 from millrace.llm import packing, perspectives, piece_codec, substring_dedup
+from millrace.llm._common import Words
 from millrace.llm.queries import tokenizer
 
 rng = np.random.default_rng(7)
@@ -168,6 +171,35 @@ def test_packing(docs):
     assert packing.packed(docs(), path).collect() == []
 
 
+def test_token_ids_of_letters_that_become_marks():
+    """Random strings over scripts whose letters change when normalised, with punctuation after them."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    r = random.Random(3)
+    ranges = ((0x900, 0x97F), (0x980, 0x9FF), (0x590, 0x5FF), (0xFB1D, 0xFB4F), (0x100, 0x17F), (0x1E00, 0x1FFF), (0x1100, 0x1112), (0x1161, 0x1175), (0x300, 0x320), (0x1D400, 0x1D420))
+    letters = [chr(c) for a, b in ranges for c in range(a, b)] + list("Iİıß" + string.ascii_letters)
+
+    def word():
+        return r.choice(["", "", "", "'"]) + "".join(r.choices(letters, k=r.randint(1, 4))) + "".join(r.choices(string.punctuation, k=r.choice((0, 1, 1, 2))))
+
+    texts = [r.choice(["", " "]) + r.choice([" ", "\t", "  ", "\xa0", "\x0b", "\x1c"]).join(word() for _ in range(r.randint(1, 3))) for _ in range(10_000)]
+    texts += ["İ.", "क़.", "ড়!", "ײַ.", "שׁ.", "Iİ, a", None, "", "a<|endoftext|>.b <|endoftext|>", "it's I'LL don't'"]
+    ids, ends = packing.ChunkIds(path).encode(Words(pa.array(texts)))
+    starts = [0, *ends[:-1]]
+    assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_malformed_text_is_packed(spark):
+    rows = spark.sql("select 1L as doc_id, cast(X'616263ff20e4b8' as string) as text")
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    (row,) = packing.packed(rows, path).collect()
+    assert row.length == len(Tokenizer.from_file(path).encode("abc\ufffd \ufffd", add_special_tokens=False).ids) + 1
+
+
 def test_lower_bound():
     for seed in range(40):
         r = np.random.default_rng(seed)
@@ -201,7 +233,7 @@ def test_bin_completion_is_optimal_on_small_cases():
         r = np.random.default_rng(seed)
         sizes = r.integers(15, 60, 10).tolist()
         counts = {s: sizes.count(s) for s in sizes}
-        plan = packing.bin_completion(counts, 100)
+        plan = packing.bin_completion(counts, 100, steps=None)
         assert all(sum(f) <= 100 for f, _ in plan)
         held = {}
         for fill, n in plan:
@@ -210,6 +242,23 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert held == counts and sum(n for _, n in plan) == fewest(sizes, 100)
 
 
+def test_bin_completion_beats_best_fit(spark):
+    sizes = np.random.default_rng(1).integers(25, 50, 60).tolist()
+    counts = {s: sizes.count(s) for s in sizes}
+    assert sum(n for _, n in packing.bin_completion(counts, 100)) < sum(n for _, n in packing.best_fit_decreasing(counts, 100))
+    pieces = spark.createDataFrame([(int(s),) for s in sizes], "length int")
+    row = packing.packing_report(pieces, 100).first()
+    assert row.pieces == 60 and row.at_least <= row.sequences <= 24
+
+
+def test_dominated_fillings():
+    counts, sizes = {50: 1, 40: 1, 30: 1, 20: 1, 10: 1}, np.array([10, 20, 30, 40, 50])
+    assert packing.dominated((30, 20), counts, sizes, 50)  # by 50 alone
+    assert packing.dominated((40,), counts, sizes, 50)  # 10 has room
+    assert not packing.dominated((50,), counts, sizes, 50)
+    assert not packing.dominated((40, 10), {40: 1, 30: 1, 10: 1}, np.array([10, 30, 40]), 50)
+
+
 def test_perspectives_by_hand(spark):
     schema = "conv_id long, turn long, role string, text string, block long, start string"
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "alone"), (None, 5, "cy", "x"), (1, 3000, "ann", "end")]
