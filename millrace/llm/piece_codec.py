@@ -267,6 +267,9 @@ class PieceCodec:
         spans = np.stack([normal.source[ends - sizes], normal.source[ends]], axis=1)
         return np.concatenate([*ids, [self.library.eos_id()]]), spans if origin is None else origin[spans]
 
+    def ids(self, text: bytes) -> list[int]:
+        return self.encode(text)[0].tolist()
+
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
