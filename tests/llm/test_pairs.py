@@ -93,6 +93,28 @@ def test_top_k_stops_early_and_handles_few_rows(spark):
     assert threshold_topk.top_k(spark.createDataFrame([], VECTORS), F.lit(True)).collect() == []
 
 
+def test_top_k_of_values_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    sizes = [1e8, 1e8, 1.0, 3e38, -3e38, 1e20, -1e20, 2.0**40, 1e-3]
+    rows = [(i, [float(np.float32(s * x)) for x in rng.uniform(-1, 1, 4)], 0) for i, s in enumerate(sizes * 4)]
+    rows += [(100, [1e8, 0.0, 0.0, 0.0], 0), (101, [1e8, 0.0, 0.0, 0.0], 0), (None, [3e38] * 4, 0)]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({"id": F.lit("x"), "q": F.lit(1), "block": F.lit(2), "score": F.lit(3)})
+    good = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if i is not None}
+    want = []
+    for q, a in good.items():
+        scores = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good.items() if i != q)[:5]
+        want += [(q, r, i, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, i) in enumerate(scores, 1)]
+    for block in (16384, 7):
+        got = threshold_topk.top_k(df, F.lit(True), rows_a_block=block, queries_a_block=3)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0], 0)] * 3 + [(7, [2.0, 1.0], 0)] * 50
+    got = threshold_topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") == 0, rows_a_block=10)
+    assert sorted(map(tuple, got.collect())) == [(0, r, 7, 131072) for r in range(1, 6)]
+
+
 def fingerprint_by_hand(text):
     raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
     words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
