@@ -783,7 +783,7 @@ def searchable(t: Tables) -> DataFrame:
 
 
 @query("""
-select doc_id from documents where doc_id > 10 and doc_id <= 100000 and (lang in ('en', 'fr') and (n_chars >= 1000 or not source = 'src0')) and timestamp '2024-01-01' + to_days(cast(doc_id % 60 as integer)) <= timestamp '2024-02-01'
+select doc_id from documents where (lang in ('en', 'fr') and (n_chars >= 1000 or not source = 'src0')) and timestamp '2024-01-01' + to_days(cast(doc_id % 60 as integer)) <= timestamp '2024-02-01'
 """)
 def dsl_filter(t):
     definition = {
@@ -793,7 +793,7 @@ def dsl_filter(t):
             {"field": "at", "op": "lte", "value": "now"},
         ]},
     }
-    where = filters.compiled(definition, CONTRACT, datetime(2024, 2, 1), from_sequence=10, to_sequence=100_000)
+    where = filters.compiled(definition, CONTRACT, datetime(2024, 2, 1))
     return searchable(t).where(where).select("doc_id")
 
 
@@ -817,6 +817,11 @@ def phrase_match(t):
     return t.documents.where(search.has_tokens(search.tokens(F.col("text")), "of the", "phrase")).select("doc_id")
 
 
+@query(f"select doc_id from documents where list_has_any({TOKENS_SQL}, ['energy', 'stone'])")
+def any_tokens_match(t):
+    return t.documents.where(search.has_tokens(search.tokens(F.col("text")), "energy stone", "any_tokens")).select("doc_id")
+
+
 NEAREST_SQL = """
 select vec_id, case when abs(d) < 1e-9 then 0.0 else d end as distance from (
 select e.vec_id, round(1 - list_dot_product(cast(e.embedding as double[]), cast(q.embedding as double[])) / (sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[]))) * sqrt(list_dot_product(cast(q.embedding as double[]), cast(q.embedding as double[])))), 6) as d
@@ -853,9 +858,7 @@ def hybrid_rrf(t):
     # Both rankings have 100 rows at most.
     place = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     ranked = [place(lexical, F.desc("score"), "doc_id"), place(near.withColumnRenamed("vec_id", "doc_id"), "distance", "doc_id")]
-    every = ranked[0].select("doc_id", "rank").union(ranked[1].select("doc_id", "rank"))
-    scores = every.groupBy("doc_id").agg(F.round(F.sum(1.0 / (search.RRF + F.col("rank"))), 9).alias("score"))
-    return scores.orderBy(F.desc("score"), "doc_id").limit(100)
+    return search.fused(ranked, "doc_id", 100).withColumn("score", F.round("score", 9))
 
 
 @query("""
@@ -868,6 +871,16 @@ def standing_matches(t):
     return standing.matches(docs, conditions).select("saved_search", "id")
 
 
+@query("""
+with n as (select doc_id, cast(row_number() over (order by doc_id) - 1 as bigint) // 500 as slice from documents where doc_id is not null)
+select min(doc_id) - 1 as from_sequence, max(doc_id) as to_sequence, count(*) as n from n group by slice
+""")
+def sequence_slices(t):
+    docs = t.documents.select(F.col("doc_id").alias("index_sequence"))
+    low, high = docs.agg(F.min("index_sequence"), F.max("index_sequence")).first()
+    return standing.sequence_slices(docs, (low or 0) - 1, high or 0, 500)
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 

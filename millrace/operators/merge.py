@@ -103,9 +103,11 @@ def numbered(df: DataFrame, order: list[str], last: int = 0, name: str = "sequen
 
 
 def newer_wins(old: DataFrame, new: DataFrame, key: str, sequence: str) -> DataFrame:
-    """Upserts and deletes by sequence: for each key the row with the higher one."""
-    both = old.unionByName(new)
-    best = both.groupBy(key).agg(F.max_by(F.struct(*both.columns), F.col(sequence)).alias("row"))
+    """Upserts and deletes by sequence: for each key the row with the higher one; of equal ones a new row, then the
+    greater by all columns."""
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    order = F.struct(F.col(sequence), F.col("_new"), F.to_json(F.struct(*old.columns)))
+    best = both.groupBy(key).agg(F.max_by(F.struct(*old.columns), order).alias("row"))
     return best.select("row.*")
 
 

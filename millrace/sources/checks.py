@@ -23,12 +23,14 @@ def stable_ids(rows: DataFrame, ident: Column, line_no: str, columns: list[str])
     numbered from -2 in file order; rows without an id by digest."""
     digest = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
     marked = rows.withColumns({"_id": ident, "_digest": F.left(digest, F.lit(16))})
-    repeated = marked.withColumn("_n", F.count("*").over(Window.partitionBy("_id")))
-    base = F.when(F.col("_id").isNull(), F.col("_digest")).when(F.col("_n") == 1, F.col("_id")).otherwise(F.concat_ws("-", "_id", "_digest"))
-    based = repeated.withColumn("_base", base)
+    # Only repeated ids are joined with; rows without an id go by their digests, so that they spread over tasks.
+    repeated = marked.where("_id is not null").groupBy(F.col("_id").alias("_known")).agg(F.count("*").alias("_n")).where("_n > 1")
+    joined = marked.join(repeated, F.coalesce("_id", "_digest") == F.col("_known"), "left")
+    base = F.when(F.col("_id").isNull(), F.col("_digest")).when(F.col("_n").isNull(), F.col("_id")).otherwise(F.concat_ws("-", "_id", "_digest"))
+    based = joined.withColumn("_base", base)
     place = F.row_number().over(Window.partitionBy("_base").orderBy(line_no))
     named = based.withColumn("_place", place)
-    return named.withColumn("stable_id", F.when(F.col("_place") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_place").cast("string")))).drop("_id", "_digest", "_n", "_base", "_place")
+    return named.withColumn("stable_id", F.when(F.col("_place") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_place").cast("string")))).drop("_id", "_digest", "_known", "_n", "_base", "_place")
 
 
 def require_numeric(df: DataFrame, ident: str, line_no: str) -> DataFrame:
@@ -71,9 +73,9 @@ def latest_ingestions(ingestions: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def busiest_state(jobs: DataFrame) -> DataFrame:
-    """A state for each source; running beats queued."""
+    """A state for each source; running beats queued, these beat others, of which the last by name counts."""
     rank = F.when(F.col("state") == "running", 2).when(F.col("state") == "queued", 1).otherwise(0)
-    return jobs.groupBy("source_id").agg(F.max_by("state", rank).alias("state"))
+    return jobs.groupBy("source_id").agg(F.max_by("state", F.struct(rank, "state")).alias("state"))
 
 
 def roster(df: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merge import insert_ignore
+from ..operators.merge import insert_ignore, numbered
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -111,12 +111,18 @@ def digests(matches: DataFrame, subscriptions: DataFrame, now: Column) -> DataFr
 
 
 def sequence_slices(documents: DataFrame, last: int, upto: int, most: int = 500) -> DataFrame:
-    """(from_sequence, to_sequence, n): half-open ranges of the sequence after ``last`` with about ``most`` rows each, for
-    consumers that take bounded results. Rows are counted in equal strips of the range, which are then joined up."""
-    width = max(1, (upto - last) // 4096)
-    strip = F.floor((F.col("index_sequence") - last - 1) / width)
-    counts = documents.where((F.col("index_sequence") > last) & (F.col("index_sequence") <= upto)).groupBy(strip.alias("_strip")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("_strip")  # 4,097 strips at most
-    group = F.floor((F.sum("n").over(w) - F.col("n")) / most)
-    out = counts.withColumn("_group", group).groupBy("_group").agg(F.min("_strip").alias("_a"), F.max("_strip").alias("_b"), F.sum("n").alias("n"))
-    return out.select((F.col("_a") * width + last).alias("from_sequence"), F.least((F.col("_b") + 1) * width + last, F.lit(upto)).alias("to_sequence"), "n")
+    """(from_sequence, to_sequence, n): half-open ranges of the sequence after ``last`` with at most ``most`` rows each,
+    for consumers that take bounded results; no row lies between two ranges.
+
+    Cut by row numbers, however unevenly the sequence is spread. Rows that share a sequence stay together; more than
+    ``most`` of them are an error.
+    """
+    rows = documents.where((F.col("index_sequence") > last) & (F.col("index_sequence") <= upto)).select("index_sequence")
+    values = numbered(rows, ["index_sequence"], name="_number").groupBy("index_sequence").agg(F.min("_number").alias("_first"), F.count("*").alias("_n"))
+    alike = values.agg(F.max("_n")).first()[0] or 1
+    if alike > most:
+        raise ValueError(f"{alike} rows share a sequence; a slice has {most} at most")
+    # The last sequence of a slice may bring ``alike`` rows.
+    cut = values.groupBy(F.floor((F.col("_first") - 1) / (most - alike + 1)).alias("_slice"))
+    out = cut.agg((F.min("index_sequence") - 1).alias("from_sequence"), F.max("index_sequence").alias("to_sequence"), F.sum("_n").alias("n"))
+    return out.drop("_slice")

@@ -2,12 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import metrics, residency
+from millrace.operators import merge, metrics, residency
 from millrace.plans import documents
-from millrace.sources import sinks
+from millrace.sources import checks, sinks
 from millrace.streaming import standing
 
 
@@ -69,6 +70,29 @@ def test_digests_and_slices(spark):
     assert sum(n for *_, n in parts) == 20_000 and parts[0][0] == 10_000 and parts[-1][1] == 30_000 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and max(n for *_, n in parts) <= 1000
 
 
+def test_slices_hold_no_more_than_they_may(spark):
+    ids = [*range(1, 2001), 10**12, *([2500] * 7)]
+    docs = spark.createDataFrame([(i,) for i in ids], "index_sequence long")
+    parts = sorted(tuple(r) for r in standing.sequence_slices(docs, 0, 10**12, 50).collect())
+    assert sum(n for *_, n in parts) == len(ids) and max(n for *_, n in parts) <= 50
+    assert all(sum(a < i <= b for i in ids) == n for a, b, n in parts) and all(a[1] <= b[0] for a, b in zip(parts, parts[1:]))
+    with pytest.raises(ValueError):
+        standing.sequence_slices(docs, 0, 3000, 6)
+    assert standing.sequence_slices(docs, 5000, 6000).collect() == []
+
+
+def test_ties_of_newer_rows(spark):
+    old = spark.createDataFrame([(1, 5, "b"), (2, 7, "a")], "k int, seq int, v string")
+    new = spark.createDataFrame([(1, 5, "a"), (2, 6, "z"), (3, 1, "x"), (3, 1, "y")], "k int, seq int, v string")
+    assert sorted(map(tuple, merge.newer_wins(old, new, "k", "seq").collect())) == [(1, 5, "a"), (2, 7, "a"), (3, 1, "y")]
+
+
+def test_ids_of_rows_without_one(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else str(i // 4), "x" if i % 2 else "y") for i in range(24)], "line int, id string, v string")
+    got = {r.line: r.stable_id for r in checks.stable_ids(rows, F.col("id"), "line", ["id", "v"]).collect()}
+    assert len(set(got.values())) == 24 and {k for k, v in got.items() if "-" not in v and len(v) < 16} == {k for k in range(24) if k % 3 and sum(j % 3 > 0 and j // 4 == k // 4 for j in range(24)) == 1}
+
+
 def test_snapshots(spark):
     rows = spark.createDataFrame([(1, "p", "views", 5.0, datetime(2024, 1, 2)), (2, "p", "views", 9.0, datetime(2024, 1, 3)), (3, "p", "odd", 1.0, datetime(2024, 1, 3)), (4, "p", "reach", None, datetime(2024, 1, 3))], "record_id int, post string, insight string, value double, observed_at timestamp")
     parents = spark.createDataFrame([("p", "tiktok", "k", "content:tiktok:p", datetime(2024, 1, 1))], "post string, platform string, account_key string, entity_id string, published_at timestamp")
