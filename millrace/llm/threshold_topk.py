@@ -55,7 +55,7 @@ def top_k(
     queries = base.where("asks").withColumn("share", deal(shares)).withColumn("block", every(blocks)).withColumn("ask", F.lit(True))
     columns = ["dim", "block", "share", "ask", "id", "q"]
     both = rows.select(columns).unionByName(queries.select(columns))
-    met = both.repartition(blocks * shares, "dim", "block", "share").sortWithinPartitions("dim", "block", "share", "ask")
+    met = both.repartitionById(blocks * shares, F.col("block") * shares + F.col("share")).sortWithinPartitions("dim", "block", "share", "ask")
     id_type = dict(base.dtypes)["id"]
     best = met.mapInArrow(_search(k, queries_a_block), f"query_id {id_type}, id {id_type}, score bigint, beyond binary")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "id")))
@@ -100,7 +100,7 @@ def threshold_search(x: np.ndarray, ids: np.ndarray, up: np.ndarray, q: np.ndarr
         scores[new] = products(x[new], q, exact)
         met[new] = True
         depth, block = to, block * 2
-        if depth == n:
+        if depth == n or met.all():  # in many dimensions the lists show every row long before their ends
             break
         if met.sum() > k and bound < kth_largest(scores, k):
             break
