@@ -30,7 +30,7 @@ class Shapes(WordHashes):
         for c in word.translate(CLASSES):
             if not shape or shape[-1] != c:
                 shape.append(c)
-        value = super().__missing__(bytes(shape[:16]) + b"\0shape")
+        value = super().__missing__(bytes(shape) + b"\0shape")
         if len(self) >= self.limit:
             self.clear()
         self[word] = value
