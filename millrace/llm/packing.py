@@ -135,10 +135,10 @@ class ChunkIds:
                 other = np.concatenate([other, few])
                 continue
             at[few] = self.bases.add(keys.take(pa.array(few)), ids, np.diff(cuts, prepend=0))
-        if len(other):
-            texts = [x.decode("utf-8", "replace") for x in keys.take(pa.array(other)).cast(pa.binary()).to_pylist()]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            at[other] = self.bases.add(keys.take(pa.array(other)), np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64))
+        for few in (other[i : i + 4_000] for i in range(0, len(other), 4_000)):  # the library's encodings are large
+            texts = [x.decode("utf-8", "replace") for x in keys.take(pa.array(few)).cast(pa.binary()).to_pylist()]
+            found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            at[few] = self.bases.add(keys.take(pa.array(few)), np.concatenate(found), np.array([len(ids) for ids in found], np.int64))
         return at
 
 
@@ -154,7 +154,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
             _known[path] = ChunkIds(path)
         chunks = _known[path]
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch, words in worded(batches, "text"):
+        for batch, words in worded(batches, "text", most=4_000_000):
             ids, ends = chunks.encode(words)
             raw = memoryview(ids.tobytes())
             n = np.diff(ends, prepend=0) + 1
