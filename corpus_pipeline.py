@@ -2,6 +2,9 @@
 
 Each stage works on all that the one before it kept, written as Parquet and read again. All but the last
 return the columns of ``documents``.
+
+Defined results: null and empty texts are scored, fingerprinted and packed as empty texts; ids that are null or repeat are rows of their
+own, as near copies are told apart by rows and not by ids; extra columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import packing, quality, simhash_dedup, substring_dedup, toxicity
-from millrace.llm._common import make_importable, stash, table
+from millrace.llm._common import drop_stash, make_importable, stash, table
 from millrace.llm.queries import tokenizer
 
 
@@ -45,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. A stage's table is deleted once the next one has been written whole."""
     make_importable(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            drop_stash(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
