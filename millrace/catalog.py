@@ -904,3 +904,362 @@ def stream_windows(t):
     stream.awaitTermination()
     out = spark.read.parquet(f"{run}/out")
     return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.col("total").cast("decimal(38,4)").alias("total"))
+
+
+# --- more of versions, order and pages ----------------------------------------------------------
+
+
+def _at(value: str):
+    return F.lit(value).cast("timestamp_ntz")
+
+
+@query("""
+with o as (select l_orderkey * 10 + l_linenumber as id, l_partkey % 50 as measure_id, year(l_shipdate) as y, l_returnflag as value_type, l_suppkey % 5 as j,
+  case when l_suppkey % 3 = 0 then null else l_suppkey % 2 end as org, case when l_linenumber > 1 then l_shipdate end as vintage, case when l_linenumber % 2 = 1 then l_shipdate end as approved from lineitem)
+select id, measure_id from o qualify row_number() over (partition by measure_id, y, value_type, org, j order by vintage desc nulls last, approved desc nulls first, id desc) = 1
+""")
+def measure_facts(t):
+    """Line items as observations: null parts of a key are a key, a null vintage is the oldest, a null approval the newest."""
+    rows = t.lineitem.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 50).alias("measure_id"), F.year("l_shipdate").alias("measurement_year"),
+        F.col("l_returnflag").alias("value_type"), F.lit("full_year").alias("period_basis"), F.trunc("l_shipdate", "year").alias("period_start"),
+        F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey") % 2).alias("observed_organization_id"), F.lit(None).cast("bigint").alias("geo_boundary_id"),
+        (F.col("l_suppkey") % 5).alias("jurisdiction_id"), F.when(F.col("l_linenumber") > 1, F.col("l_shipdate")).alias("vintage_date"),
+        F.when(F.col("l_linenumber") % 2 == 1, F.col("l_shipdate")).alias("approved_at"),
+    )
+    return latest.measure_facts(rows).select("id", "measure_id")
+
+
+GRANTS_SQL = """
+with g as (select o_orderkey, o_custkey, case when o_orderkey % 5 = 0 then 'A' else cast(o_orderkey % 12 as varchar) end as n, strftime(o_orderdate, '%Y-%m-%d') as d, cast(o_orderkey as varchar) as r from orders)
+"""
+
+
+def _grants(t: Tables) -> DataFrame:
+    number = F.when(F.col("o_orderkey") % 5 == 0, "A").otherwise((F.col("o_orderkey") % 12).cast("string"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    held = F.struct(number.alias("amendment_number"), day.alias("amendment_date"), F.col("o_orderkey").cast("string").alias("reference_number"), F.left(day, F.lit(7)).alias("reporting_period"))
+    return t.orders.select("o_orderkey", "o_custkey", F.to_json(held).alias("metadata"), F.lit(None).cast("boolean").alias("is_canonical"), F.lit("published").alias("state"))
+
+
+@query(GRANTS_SQL + "select o_orderkey, row_number() over (partition by o_custkey order by coalesce(try_cast(n as integer), -1) desc, d desc, r desc, o_orderkey desc) = 1 as is_canonical from g")
+def grant_versions(t):
+    return latest.canonical_versions(_grants(t), latest.grant_order(), "o_custkey", "o_orderkey").select("o_orderkey", "is_canonical")
+
+
+@query(GRANTS_SQL + "select o_orderkey, row_number() over (partition by o_custkey order by left(d, 7) desc, r desc, o_orderkey desc) = 1 as is_canonical from g")
+def contract_versions(t):
+    return latest.canonical_versions(_grants(t), latest.contract_order(), "o_custkey", "o_orderkey").select("o_orderkey", "is_canonical")
+
+
+@query("select event_id, user_id, event_type from events qualify row_number() over (partition by user_id, event_type order by event_id) = 1")
+def first_of_key(t):
+    return latest.first_wins(t.events.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], F.col("event_id"))
+
+
+@query("""
+select p_partkey as id, p_brand as code from part
+order by case when p_size % 4 = 0 then 1000000 else p_size end, p_brand nulls last, p_name nulls last, p_partkey limit 50
+""")
+def component_page(t):
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("code"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("sort_order"))
+    return rows.orderBy(*topk.component_order()).limit(50).select("id", "code")
+
+
+@query("select o_orderkey from orders where o_orderdate <= timestamp '1996-01-01' order by o_orderdate, o_orderkey limit 25")
+def due_queue(t):
+    return topk.claim_due(t.orders, "o_orderdate", _at("1996-01-01"), 25, "o_orderkey").select("o_orderkey")
+
+
+# --- more of joins and places -------------------------------------------------------------------
+
+
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 45)")
+def parts_not_seen(t):
+    seen = t.lineitem.where("l_returnflag = 'R' and l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return merge.not_seen(t.part.select("p_partkey"), seen, ["p_partkey"])
+
+
+@query("""
+select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 400000) or c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT')
+""")
+def either_semi_join(t):
+    return joins.either(t.customer.select("c_custkey"), "c_custkey", t.orders.where("o_totalprice > 400000"), t.orders.where("o_orderpriority = '1-URGENT'"), "o_custkey")
+
+
+@query("""
+with e as (select event_id, case when event_id % 2 = 0 then 'customer:' else 'supplier:' end || user_id as reference from events),
+d as (select 'customer:' || c_custkey as k, c_name as title from customer union all select 'supplier:' || s_suppkey, s_name from supplier)
+select event_id, reference, title from e left join d on reference = k
+""")
+def resolved_references(t):
+    """References of two types; those that name nothing stay without a title."""
+    rows = t.events.select("event_id", F.concat(F.when(F.col("event_id") % 2 == 0, "customer:").otherwise("supplier:"), F.col("user_id").cast("string")).alias("reference"))
+    held = t.customer.select(F.lit("customer").alias("record_type"), F.col("c_custkey").alias("record_id"), F.col("c_name").alias("title"))
+    held = held.union(t.supplier.select(F.lit("supplier"), "s_suppkey", "s_name"))
+    return joins.resolve_reference(rows, "reference", held).select("event_id", "reference", "title")
+
+
+@query("""
+select c_custkey, coalesce(m, c_acctbal) as c_acctbal from customer left join (select o_custkey, max(o_totalprice) as m from orders where o_orderstatus = 'O' group by 1) on c_custkey = o_custkey
+""")
+def update_from(t):
+    new = t.orders.where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return joins.updated_from(t.customer.select("c_custkey", "c_acctbal"), new, "c_custkey", ["c_acctbal"])
+
+
+@query("""
+select c_custkey, coalesce(s_nationkey, n_regionkey) as resolved_id, case when s_nationkey is not null then 'alias' when n_regionkey is not null then 'name' end as resolved_by
+from customer left join (select * from supplier where s_suppkey % 2 = 0) on c_custkey = s_suppkey left join (select * from nation where n_nationkey % 3 <> 0) on c_nationkey = n_nationkey
+""")
+def lookup_cascade(t):
+    aliases = t.supplier.where("s_suppkey % 2 = 0").withColumnRenamed("s_suppkey", "key")
+    names = t.nation.where("n_nationkey % 3 <> 0").withColumnRenamed("n_nationkey", "key")
+    steps = [(F.col("c_custkey"), aliases, "s_nationkey", "alias"), (F.col("c_nationkey"), names, "n_regionkey", "name")]
+    return joins.cascade(t.customer.select("c_custkey", "c_nationkey"), steps).select("c_custkey", "resolved_id", "resolved_by")
+
+
+@query("""
+select o_custkey, o_orderkey as boundary_id from orders
+qualify row_number() over (partition by o_custkey order by case when o_orderkey % 4 > 0 then year(o_orderdate) end desc nulls last, o_orderkey) = 1
+""")
+def newest_boundary(t):
+    rows = t.orders.select("o_custkey", F.col("o_orderkey").alias("boundary_id"), F.when(F.col("o_orderkey") % 4 > 0, F.year("o_orderdate")).alias("census_year"))
+    return geometry.newest_boundary(rows, "o_custkey").select("o_custkey", "boundary_id")
+
+
+@query("""
+select c_custkey, case when c_custkey % 7 = 0 then 'not_geocoded' when c_custkey % 3 = 0 then 'found' when c_custkey % 2 = 1 then 'no_boundaries' else 'outside_boundaries' end as reason from customer
+""")
+def boundary_reasons(t):
+    point, found = F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey"))
+    return t.customer.select("c_custkey", geometry.lookup_reason(point, found, F.col("c_custkey") % 2 == 0).alias("reason"))
+
+
+# --- more of aggregates and checks --------------------------------------------------------------
+
+
+@query("""
+select user_id, cast(ts as date) as day, cast(sum(cast(value as decimal(18,4))) as decimal(38,4)) as value from events where value is not null group by all having count(distinct event_type) = 5
+""")
+def complete_group_sum(t):
+    rows = t.events.where("value is not null").select("user_id", F.to_date("ts").alias("day"), "event_type", F.col("value").cast("decimal(18,4)").alias("value"))
+    return aggregates.complete_groups(rows, ["user_id", "day"], "event_type", 5, "value", "sum").withColumn("value", F.col("value").cast("decimal(38,4)"))
+
+
+@query("select l_suppkey, count(*) filter (where l_returnflag = 'R') as n from lineitem group by 1")
+def counted_states(t):
+    return metrics.counted_transitions(t.lineitem, "l_suppkey", "l_returnflag", "R")
+
+
+@query("select l_orderkey, l_linenumber, case when l_linenumber = 1 then 0 else l_discount end + l_tax as total from lineitem")
+def component_sum(t):
+    """A null is nothing."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", text.added(F.when(F.col("l_linenumber") != 1, F.col("l_discount")), F.col("l_tax")).alias("total"))
+
+
+@query("select event_id, coalesce(case when event_type = 'click' then value end, 0) as clicks, case when event_type = 'view' then value end as duration from events")
+def filled_metrics(t):
+    """Missing counts are zero, missing durations stay missing."""
+    wide = t.events.select("event_id", *(F.when(F.col("event_type") == kind, F.col("value")).alias(name) for kind, name in (("click", "clicks"), ("view", "duration"))))
+    return metrics.filled(wide, ["clicks", "duration"], ("duration",))
+
+
+@query("select o_custkey, count(*) as n from orders group by 1 having count(*) > 1")
+def duplicate_keys(t):
+    return checks.duplicate_keys(t.orders, "o_custkey")
+
+
+@query("select l_orderkey, cast(sum(cast(l_extendedprice as decimal(20,2))) as decimal(38,2)) as amount, max('C' || (l_orderkey % 3)) as currency from lineitem where l_returnflag = 'R' group by 1")
+def one_currency_sums(t):
+    rows = t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("type"), F.col("l_extendedprice").cast("decimal(20,2)").cast("double").alias("value"), F.concat(F.lit("C"), (F.col("l_orderkey") % 3).cast("string")).alias("currency"))
+    return checks.sum_in_one_currency(rows, "l_orderkey", "R").withColumn("amount", F.col("amount").cast("decimal(38,2)"))
+
+
+@query("""
+select c_custkey as id, o_orderkey as ingestion_id, o_orderstatus as status from customer left join (
+  select * from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1) on c_custkey = o_custkey
+""")
+def latest_ingestions(t):
+    runs = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"))
+    out = checks.latest_ingestions(runs, t.customer.select(F.col("c_custkey").alias("id")))
+    return out.select("id", F.col("latest.id").alias("ingestion_id"), F.col("latest.status").alias("status"))
+
+
+@query("select l_orderkey * 10 + l_linenumber as id, l_discount * 10 as confidence from lineitem where l_discount * 10 < 0.8 and l_returnflag <> 'R' order by l_discount * 10, id limit 50")
+def low_confidence(t):
+    rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_discount") * 10).alias("confidence"), (F.col("l_returnflag") == "R").alias("overridden"))
+    return checks.low_confidence(rows).select("id", "confidence")
+
+
+@query("""
+with j as (select o_custkey as source_id, case o_orderstatus when 'O' then 'queued' when 'P' then 'running' else 'done' end as state from orders)
+select source_id, case when bool_or(state = 'running') then 'running' when bool_or(state = 'queued') then 'queued' else 'done' end as state from j group by 1
+""")
+def job_states(t):
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    return checks.busiest_state(t.orders.select(F.col("o_custkey").alias("source_id"), state.alias("state")))
+
+
+@query("""
+select o_orderkey as extracted_observation_id, o_totalprice as value from orders where o_orderstatus = 'F' and o_orderkey not in (select l_orderkey from lineitem where l_quantity > 48)
+""")
+def promoted_claims(t):
+    claims = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending").alias("review_status"), "o_totalprice")
+    done = t.lineitem.where("l_quantity > 48").select(F.col("l_orderkey").alias("extracted_observation_id"))
+    return merge.promoted(claims, done, {"value": F.col("o_totalprice")})
+
+
+# --- more of dates ------------------------------------------------------------------------------
+
+
+@query("""
+with d as (select distinct user_id, cast(ts as date) as day from events)
+select user_id, count(*) as days from d group by 1 having count(*) <> 31 or min(day) <> date '2024-01-01' or max(day) <> date '2024-01-31'
+""")
+def incomplete_days(t):
+    daily = t.events.select("user_id", F.to_date("ts").alias("day")).distinct()
+    return calendar.incomplete(daily, ["user_id"], "day", F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")).select("user_id", "days")
+
+
+@query("""
+select o_orderkey, case when o_orderkey % 3 > 0 then greatest(date '1996-01-01', cast(o_orderdate as date) - 7) else date '1996-01-01' end as start from orders
+""")
+def refresh_starts(t):
+    start = calendar.refresh_start(F.to_date("o_orderdate"), F.lit("1996-01-01").cast("date"), 7, F.col("o_orderkey") % 3 > 0)
+    return t.orders.select("o_orderkey", start.alias("start"))
+
+
+@query("""
+select event_id, case when ts > timestamp '2024-01-15' then ts
+  else make_timestamp(epoch_us(ts) + (((epoch_us(timestamp '2024-01-15') - epoch_us(ts)) // 18000000000) + 1) * 18000000000) end as next_run from events
+""")
+def next_runs(t):
+    start, now = F.col("ts").cast("timestamp"), F.lit("2024-01-15").cast("timestamp")
+    return t.events.select("event_id", dates.next_after(start, 18_000, now).cast("timestamp_ntz").alias("next_run"))
+
+
+@query("""
+with t as (select event_id, ts, epoch_us(ts) as p, epoch_us(timestamp '2024-01-20') as n from events),
+s as (select *, case when p > n then p else p + ((n - p) // 86400000000 + 1) * 86400000000 end as daily, p + 7 * 86400000000 as w from t)
+select event_id, make_timestamp(case when daily <= p + 6 * 86400000000 then daily when w > n then w else w + ((n - w) // 604800000000 + 1) * 604800000000 end) as next_look from s
+""")
+def next_detail_looks(t):
+    """Daily for a week from publication, then weekly."""
+    at = dates.next_detail_checkpoint(F.col("ts").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
+    return t.events.select("event_id", at.cast("timestamp_ntz").alias("next_look"))
+
+
+@query("select event_id from events where event_id % 9 = 0 or ts <= timestamp '2024-01-15 00:00:00' - interval 36 hour")
+def due_sources(t):
+    last = F.when(F.col("event_id") % 9 != 0, F.col("ts"))
+    return t.events.where(dates.due(last, 48, _at("2024-01-15"))).select("event_id")
+
+
+@query("""
+with r as (select o_orderkey, case when o_orderkey % 5 > 0 then cast(o_orderdate as date) end as a, case when o_orderkey % 7 > 0 then cast(o_orderdate as date) + 200 end as b from orders)
+select o_orderkey from r where (a is null or a <= date '1996-01-01') and (b is null or b >= date '1996-01-01')
+""")
+def valid_on_day(t):
+    day = F.to_date("o_orderdate")
+    start, end = F.when(F.col("o_orderkey") % 5 > 0, day), F.when(F.col("o_orderkey") % 7 > 0, F.date_add(day, 200))
+    return t.orders.where(dates.valid_on(start, end, F.lit("1996-01-01").cast("date"))).select("o_orderkey")
+
+
+@query("select o_orderkey, coalesce(case when o_orderkey % 5 > 0 then o_orderdate end <= timestamp '1996-01-01', false) as published from orders")
+def published_flags(t):
+    return t.orders.select("o_orderkey", dates.published_by(F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate")), _at("1996-01-01")).alias("published"))
+
+
+@query("select o_orderkey, case when o_orderkey % 4 < 3 then cast(o_orderdate as date) end as day from orders")
+def lenient_dates(t):
+    """Dates in three spellings, and one that is none."""
+    kind, date = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    spelled = F.when(kind == 0, F.date_format(date, "MM/dd/yyyy")).when(kind == 1, F.date_format(date, "yyyy/MM/dd")).when(kind == 2, F.date_format(date, "MMMM d yyyy")).otherwise("soon")
+    return t.orders.select("o_orderkey", dates.any_date(spelled, "MM/dd/yyyy", "yyyy/MM/dd", "MMMM d yyyy").alias("day"))
+
+
+@query("""
+select o_orderkey, case when o_orderkey % 2 = 0 then '2019-20' else cast(y as varchar) || '-' || cast(y + 1 as varchar) end as label
+from (select o_orderkey, year(o_orderdate) - cast(month(o_orderdate) < 4 as integer) as y from orders)
+""")
+def fiscal_labels(t):
+    given = F.when(F.col("o_orderkey") % 2 == 0, "2019-20").otherwise("FY 19")
+    return t.orders.select("o_orderkey", dates.fiscal_label(dates.fiscal_year(F.col("o_orderdate")), given).alias("label"))
+
+
+# --- more of texts and search -------------------------------------------------------------------
+
+
+@query("select c_custkey from customer where contains(lower(c_mktsegment), 'ur')")
+def contains_ignoring_case(t):
+    return t.customer.where(text.contains_ignoring_case(F.col("c_mktsegment"), "uR")).select("c_custkey")
+
+
+@query("select doc_id, sha256(case when length(text) <= 200 then text else left(text, 144) || chr(10) || chr(10) || '[…]' || chr(10) || chr(10) || right(text, 49) end) as short_sha256 from documents")
+def truncated_texts(t):
+    return t.documents.select("doc_id", F.sha2(text.truncate_middle(F.col("text"), 200), 256).alias("short_sha256"))
+
+
+@query("select o_orderkey, case when o_orderkey % 3 < 2 then o_orderkey * 1000 + 7 end as n from orders")
+def whole_numbers(t):
+    n = F.col("o_orderkey") * 1000 + 7
+    spelled = F.when(F.col("o_orderkey") % 3 == 0, F.format_number(n, 0)).when(F.col("o_orderkey") % 3 == 1, n.cast("string")).otherwise(F.concat(n.cast("string"), F.lit(" or so")))
+    return t.orders.select("o_orderkey", text.whole_number(spelled).alias("n"))
+
+
+@query("""
+select o_orderkey, printf('%02d:%02d:%02d.500', s // 3600, s // 60 % 60, s % 60) as clock, s + 0.5::double as seconds from (select o_orderkey, o_orderkey % 100000 as s from orders)
+""")
+def clock_times(t):
+    clock = text.clock_of((F.col("o_orderkey") % 100_000).cast("double") + 0.5)
+    return t.orders.select("o_orderkey", clock.alias("clock"), text.seconds_of(clock).alias("seconds"))
+
+
+@query("""
+select c_custkey, ['ON', 'QC', 'BC', null][c_custkey % 4 + 1] as province, ['ON', 'NU', 'NT', null][c_custkey % 4 + 1] as by_postal_code,
+  ['operating', 'capital', 'statutory', 'operating'][c_custkey % 4 + 1] as vote, [true, false, true, true][c_custkey % 4 + 1] as generic_id,
+  ['Health', 'Parks', 'Trade', 'Works'][c_custkey % 4 + 1] as name_en, [12, null, 3, null][c_custkey % 4 + 1] as ward from customer
+""")
+def code_rules(t):
+    """Provinces, postal codes, vote codes, generic ids, bilingual names and wards in four spellings each."""
+    one = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return t.customer.select(
+        "c_custkey", text.province_code(one(" Ontario", "qc", "British  Columbia", "nowhere")).alias("province"),
+        text.postal_province(one("K1A 0B1", "x0a 1b1", "X1A", "Z9Z")).alias("by_postal_code"), text.vote_type(one("1", "5", "s", " ")).alias("vote"),
+        text.generic_procurement_id(one("N/A", "PO-17", "Acquisition card 4", None)).alias("generic_id"),
+        text.english(text.without_parenthetical(one("Health (federal)", "Parks | Parcs", "Trade  ", "Works | Travaux (x)"))).alias("name_en"),
+        text.ward_number(one("city-12", "city-x", "a-b-3", "city")).alias("ward"),
+    )
+
+
+@query("select doc_id, doc_id as index_sequence from documents where lang = 'fr' order by doc_id limit 50")
+def filter_only(t):
+    docs = t.documents.select("doc_id", "lang", F.col("doc_id").alias("index_sequence"))
+    return search.filter_only(docs, F.col("lang") == "fr", 50).select("doc_id", "index_sequence")
+
+
+@query("select doc_id, sha256(concat_ws(chr(10) || chr(10), source, case when lang <> 'en' then lang end, case when trim(text) <> '' then text end)) as text_sha256 from documents")
+def embedding_texts(t):
+    parts = F.col("source"), F.when(F.col("lang") != "en", F.col("lang")).otherwise(" "), F.col("text")
+    return t.documents.select("doc_id", F.sha2(search.embedding_text(*parts), 256).alias("text_sha256"))
+
+
+TOKENS_SQL = rf"regexp_extract_all(translate(lower(text), '{search.ACCENTS[0]}', '{search.ACCENTS[1]}'), '[\p{{L}}\p{{N}}]+')"
+
+
+@query(f"select doc_id, cast(len(list_filter({TOKENS_SQL}, lambda x: x in ('the', 'les'))) as integer) as matches from documents where text is not null")
+def highlights(t):
+    parts = search.highlighted(F.col("text"), ["The", "les"])
+    return t.documents.where("text is not null").select("doc_id", F.size(F.filter(parts, lambda p: p["match"])).alias("matches"))
+
+
+@query(f"""
+select doc_id, case doc_id % 3 when 0 then 'en' else 'fr' end as language from documents
+where doc_id % 3 < 2 and list_contains({TOKENS_SQL}, 'the') and not list_contains({TOKENS_SQL}, 'and')
+""")
+def transcript_search(t):
+    """Documents as caption passages of three tracks, one of which has no captions."""
+    tracks = t.spark.createDataFrame([(0, "captions", "en", 1), (1, "captions", "fr", 1), (2, "audio", "en", 1)], "id long, kind string, language string, media_stream_id long")
+    passages = t.documents.select("doc_id", (F.col("doc_id") % 3).alias("media_track_id"), "text", F.lit("published").alias("state"))
+    return search.transcripts(passages, tracks, {"and": ["The", {"not": "and"}]}).select("doc_id", "language")

@@ -78,7 +78,7 @@ def next_checkpoint(published_at: Column, after: Column, **counts: int) -> Colum
 
 def next_after(start: Column, every_seconds: Column | int, now: Column) -> Column:
     """The first of start, start + interval, .. that is strictly after now."""
-    every = F.lit(every_seconds) if isinstance(every_seconds, int) else every_seconds
+    every = (F.lit(every_seconds) if isinstance(every_seconds, int) else every_seconds).cast("bigint")
     gone = (F.unix_micros(now) - F.unix_micros(start)) / (every * 1_000_000)
     steps = F.when(start > now, 0).otherwise(F.floor(gone) + 1)
     return F.timestamp_micros(F.unix_micros(start) + steps.cast("bigint") * every * 1_000_000)
