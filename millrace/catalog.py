@@ -1263,3 +1263,82 @@ def transcript_search(t):
     tracks = t.spark.createDataFrame([(0, "captions", "en", 1), (1, "captions", "fr", 1), (2, "audio", "en", 1)], "id long, kind string, language string, media_stream_id long")
     passages = t.documents.select("doc_id", (F.col("doc_id") % 3).alias("media_track_id"), "text", F.lit("published").alias("state"))
     return search.transcripts(passages, tracks, {"and": ["The", {"not": "and"}]}).select("doc_id", "language")
+
+
+@query(PAIRS_SQL + """
+, w as (select *, round(cast(overlap_population as double) / sum(overlap_population) over (partition by source_id), 8) as weight_source_to_target from pairs)
+select target_id, weight_source_to_target from w where source_id = 3 and weight_source_to_target >= 0.0005
+""")
+def crosswalk_lookup(t):
+    return crosswalk.lookup(crosswalk.weights(pairs(t)), 3, least=0.0005).select("target_id", "weight_source_to_target")
+
+
+@query("""
+with o as (select * from orders where o_orderkey % 2 = 0), n as (select * from orders where o_orderkey % 3 = 0)
+select coalesce(n.o_orderkey, o.o_orderkey) as o_orderkey, n.o_orderkey is not null or o.o_orderpriority <> '1-URGENT' as active,
+  case when o.o_orderkey is null then 'created' when n.o_orderkey is not null then 'unchanged' when o.o_orderpriority = '1-URGENT' then 'withdrawn' else 'kept' end as status
+from o full join n on o.o_orderkey = n.o_orderkey
+""")
+def withdraw_in_scope(t):
+    """Only rows of the scope that a payload covers are withdrawn by it."""
+    old = t.orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice", "o_orderpriority", F.lit(True).alias("active"), *(_at("2024-01-01").alias(c) for c in ("created_at", "updated_at", "refreshed_at")))
+    new = t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_totalprice")
+    return merge.merge(old, new, ["o_orderkey"], ["o_totalprice"], _at("2024-02-01"), scope=F.col("a.o_orderpriority") == "1-URGENT").select("o_orderkey", "active", "status")
+
+
+@query("""
+with m as (select lang as saved_search, doc_id from documents), s(saved_search, seconds) as (values ('en', 60), ('fr', null), ('de', 86400), ('es', 9999999))
+select saved_search, count(*) as n, min(doc_id) as first_id, max(doc_id) as last_id, timestamp '2024-02-01' + to_seconds(least(greatest(coalesce(any_value(seconds), 3600), 3600), 604800)) as scheduled_for
+from m join s using (saved_search) group by 1
+""")
+def digest_buffers(t):
+    """Matches by language as digests, due after their interval, which lies between an hour and a week."""
+    wanted = t.spark.createDataFrame([("en", 60), ("fr", None), ("de", 86_400), ("es", 9_999_999)], "saved_search string, digest_interval_seconds int")
+    out = standing.digests(t.documents.select(F.col("lang").alias("saved_search"), F.col("doc_id").alias("id")), wanted, F.lit("2024-02-01").cast("timestamp"))
+    return out.withColumn("scheduled_for", F.col("scheduled_for").cast("timestamp_ntz"))
+
+
+@query("""
+select o_custkey, count(*) as n, string_agg(cast(o_orderkey as varchar), ',' order by o_orderdate, o_orderkey) as orders_in_order from orders group by 1
+""")
+def series_points(t):
+    """Points of each group in order of time."""
+    out = metrics.series(t.orders, "o_custkey", "o_orderdate", "o_orderkey")
+    keys = F.transform("points", lambda p: p["o_orderkey"].cast("string"))
+    return out.select("o_custkey", F.size("points").cast("bigint").alias("n"), F.array_join(keys, ",").alias("orders_in_order"))
+
+
+@query("""
+with e as (select event_id, user_id, ['twitter', 'tiktok', 'youtube'][event_id % 3 + 1] as platform, ['impressions', 'views', 'reach', 'spend', 'ctr', 'watch_time_total', 'video_duration_seconds'][event_id % 7 + 1] as source from events),
+n as (select *, case when source = 'impressions' and platform = 'twitter' or source = 'views' and platform = 'tiktok' then 'content_views' when source = 'reach' then 'content_reach' else source end as metric_name from e)
+select event_id, metric_name, case metric_name when 'spend' then 'currency' when 'ctr' then 'ratio' when 'video_duration_seconds' then 'seconds' when 'watch_time_total' then 'milliseconds' else 'count' end as unit,
+  'account:' || platform || ':' || user_id as entity_id, sha256('stat:' || event_id || ':account:' || platform || ':' || user_id || ':' || source || ':' || metric_name) as observation_id from n
+""")
+def metric_rules(t):
+    """Names, units and ids of observations."""
+    one = lambda n, *values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("event_id") % n + 1).cast("int"))
+    platform, source = one(3, "twitter", "tiktok", "youtube"), one(7, "impressions", "views", "reach", "spend", "ctr", "watch_time_total", "video_duration_seconds")
+    name, entity = metrics.metric_name(platform, source), metrics.entity_id("account", platform, F.col("user_id"))
+    ident = metrics.observation_id(F.lit("stat"), F.col("event_id"), entity, source, name)
+    return t.events.select("event_id", name.alias("metric_name"), metrics.metric_unit(name).alias("unit"), entity.alias("entity_id"), ident.alias("observation_id"))
+
+
+@query("""
+select l_orderkey, l_linenumber, case when l_linenumber % 3 = 1 then case when l_linenumber = 1 then l_tax else l_extendedprice end else case when l_discount = 0 then l_extendedprice else l_discount end end as amount from lineitem
+""")
+def payment_amounts(t):
+    """Sums of payments go by the total, single payments by the amount of their own; a zero counts as missing."""
+    recipient = F.when(F.col("l_linenumber") % 3 != 1, "A. Person").when(F.col("l_linenumber") == 4, "Payments under $100,000")
+    total = F.when(F.col("l_linenumber") == 1, 0.0).otherwise(F.col("l_extendedprice"))
+    own = F.when(F.col("l_linenumber") % 3 == 1, F.col("l_tax")).otherwise(F.col("l_discount"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", text.payment_amount(recipient, total, own).alias("amount"))
+
+
+# Only documents are ranked: vectors of others take no place.
+@query(SQL["hybrid_rrf"].replace("from embeddings e,", "from (select * from embeddings where vec_id in (select doc_id from documents)) e,"))
+def hybrid_search(t):
+    """The engine's own hybrid search over documents with their vectors."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = t.documents.select("doc_id", "text").join(vectors, "doc_id", "left")
+    out = search.hybrid(docs, "the and", _query_vector(t), "doc_id", "text", "embedding", 0.9, 100, digits=6)
+    return out.withColumn("score", F.round("score", 9))

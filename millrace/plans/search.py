@@ -85,10 +85,10 @@ def fused(rankings: list[DataFrame], id_col: str, limit: int) -> DataFrame:
     return scores.orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def hybrid(documents: DataFrame, text: str, vector: list[float], id_col: str, text_col: str, vec_col: str, most: float, limit: int, how: str = "all_tokens") -> DataFrame:
-    """The two rankings, each cut to ``limit``, fused."""
-    lexical = bm25(documents, text, id_col, text_col, how, limit)
-    semantic = nearest(documents, vector, id_col, vec_col, limit, most)
+def hybrid(documents: DataFrame, text: str, vector: list[float], id_col: str, text_col: str, vec_col: str, most: float, limit: int, how: str = "all_tokens", digits: int = 12) -> DataFrame:
+    """The two rankings, each cut to ``limit``, fused. Scores and distances that agree to ``digits`` digits are ties."""
+    lexical = bm25(documents, text, id_col, text_col, how).withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), id_col).limit(limit)
+    semantic = nearest(documents, vector, id_col, vec_col, limit).withColumn("distance", F.round("distance", digits)).where(F.col("distance") <= most)
     # A ranking has ``limit`` rows at most, so one task ranks it.
     place = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     return fused([place(lexical, F.desc("score"), id_col), place(semantic, "distance", id_col)], id_col, limit)
