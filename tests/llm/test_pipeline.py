@@ -42,3 +42,19 @@ def test_run(spark):
     import corpus_pipeline
 
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_odd_rows_and_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, row string"
+    say = lambda word: " ".join(f"{word}{i * i % 17}" for i in range(30))
+    texts = [(None, say("alpha")), (None, say("beta")), (5, say("gamma")), (5, say("delta")), (6, None), (7, "")]
+    for name, rows in (("odd", texts), ("none", [])):
+        spark.createDataFrame([(i, x, "en", "s", len(x or ""), "x", "y") for i, x in rows], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    # Without labels all are kept; the two empty texts are near copies; ids that are null or repeat are rows of their own.
+    assert sorted(str(r.doc_id) for r in got) == ["5", "5", "6", "None", "None"]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
