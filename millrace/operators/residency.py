@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import postal_code, present
 
+# The reasons of a residency decision.
 REASONS = (
     "no_rule", "no_postal_code", "malformed_postal_code", "fsa_match", "inside_boundary", "city_match", "outside_boundary", "city_mismatch",
     "unknown_postal_code", "postal_data_unavailable",

@@ -87,6 +87,7 @@ def with_errors(documents: DataFrame, realm: Realm) -> DataFrame:
     return documents.withColumn("errors", F.array_compact(F.array(*found)))
 
 
+# Fields and kinds of the realms.
 AWARDS = Realm("government_spending", ("contract", "grant", "transfer_payment"), {"recipient_name": "string", "program_name": "string", "fiscal_year": "int", "amount": "float", "currency": "string", "is_aggregated": "bool"})
 EXPENDITURES = Realm(
     "government_spending", ("fiscal_expenditure", "standard_object_expenditure"),

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The forms of WebVTT.
 CLOCK = r"(?:\d{2}:)?\d{2}:\d{2}\.\d{3}"
 TIMING = re.compile(rf"({CLOCK})\s+-->\s+({CLOCK})(?:\s+(.*))?")
 METADATA = re.compile(r"(?:NOTE|STYLE|REGION)(?:\s|$)")
