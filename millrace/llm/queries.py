@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, packing, perspectives, piece_codec, quality, resampling, simhash_dedup, substring_dedup, threshold_topk, toxicity, whitening
+from . import embedding_dedup, language_id, packing, perspectives, piece_codec, quality, resampling, secret_scan, simhash_dedup, substring_dedup, threshold_topk, toxicity, whitening
 from ._common import make_importable, table
 
 
@@ -67,6 +67,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(documents, target, buckets=10_000, longest=1, share=(10, 100), least_words=20, seed="2024")
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def ready(query):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +82,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_embedding_dedup, op2_threshold_topk, op3_substring_dedup, op4_piece_codec, op5_perspectives,
         op6_toxicity, op7_language_id, op8_quality, op9_simhash_dedup, op10_packing,
-        op11_whitening, op12_resampling,
+        op11_whitening, op12_resampling, op13_secret_scan,
     )
     return {q.__name__: ready(q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": OP1_SQL, "op2_threshold_topk": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_perspectives": perspectives.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL}
+    return {"op1_embedding_dedup": OP1_SQL, "op2_threshold_topk": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op5_perspectives": perspectives.ORACLE_SQL, "op12_resampling": resampling.ORACLE_SQL, "op13_secret_scan": secret_scan.oracle_sql()}
 
 
 OP1_SQL = """

@@ -24,4 +24,4 @@ def test_equals_sql(spark, name):
 
 
 def test_all_numbered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 13)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]

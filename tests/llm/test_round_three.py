@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import resampling, whitening
+from millrace.llm import resampling, secret_scan, whitening
 from millrace.llm._common import Words
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -123,3 +123,92 @@ def test_features_of_runs(spark):
     row, code, names = resampling.features(words, 3)
     found = sorted((int(r), names[c]) for r, c in zip(row, code, strict=True))
     assert found == sorted([(0, b"a"), (0, b"b"), (0, b"a"), (0, b"b"), (0, b"a b"), (0, b"b a"), (0, b"a b"), (0, b"a b a"), (0, b"b a b"), (2, b"b"), (2, b"a"), (2, b"b a")])
+
+
+# --- secrets ------------------------------------------------------------------------------------
+
+
+def secrets_by_hand(text, rules):
+    """Leftmost matches by the library's own search, a rule at a time; the counted part is the longest end of the pattern's last piece."""
+    out = []
+    for k, rule in enumerate(rules):
+        head, bracket, tail = rule.pattern.rpartition("[")
+        counted = rule.pattern if rule.kind == "pem" else f"{head}({bracket}{tail})"
+        for m in re.finditer(counted, text):
+            if rule.kind == "pem" or len(m[1]) >= rule.least:
+                out.append((m.start(), k, f"{rule.kind}:{m.start()}:{m.end()}"))
+    return [s for *_, s in sorted(out)]
+
+
+PIECES = [
+    "password", "PassWd", "secret", "TOKEN", "api_key", "ApiKey", "\"", "'", " ", "  ", ":", "=", "==", "abcdefg", "abcdefgh", "a1+/_.=-", "AKIA", "AKIA0123456789AB", "0123456789AB",
+    "0123456789abcdef" * 2, "deadbeef" * 5, "\n", "é", "ſ", "K", "ghp_", "A" * 36, "xoxb-", "12345-67890", "AIza", "x_-" * 12, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-", "passw", "tok", "\0", "日本",
+]
+
+
+def test_secrets_of_random_texts():
+    rng = np.random.default_rng(13)
+    rules = secret_scan.BASE + secret_scan.MORE
+    automaton = secret_scan.Automaton(rules)
+    states = automaton.linked()
+    found = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(PIECES, int(rng.integers(1, 14))))
+        raw = text.encode()
+        got = [f"{rules[r].kind}:{a}:{b}" for a, b, r in secret_scan.in_code_points(raw, secret_scan.spans_of(raw, states, automaton))]
+        assert got == secrets_by_hand(text, rules), text
+        found += len(got)
+    assert found > 5_000
+
+
+def test_contract_pattern_is_the_rule():
+    """The dealt expression, letters of its key words in either case, finds what the rule finds."""
+    dealt = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    rng = np.random.default_rng(14)
+    for _ in range(5_000):
+        text = "".join(rng.choice(PIECES, int(rng.integers(1, 10)))).replace("ſ", "").replace("K", "")
+        want = [f"assign:{m.start()}:{m.end()}" for m in dealt.finditer(text) if len(m[2]) >= 8]
+        assert secrets_by_hand(text, secret_scan.BASE[:1]) == want
+
+
+def test_minimised_automaton_is_smaller_and_the_same():
+    machine = secret_scan.Machine(secret_scan.BASE[0])
+    automaton = secret_scan.Automaton(secret_scan.BASE[:1])
+    text = "a token = 'abc' secret:abcdefgh9 tokentoken=xyz_xyz_xyz password "
+    state, at = machine.start, 0
+    for byte in text.encode():
+        state, at = machine.step(state, byte), automaton.next[at, automaton.classes[byte]]
+        assert automaton.says[at] == ((machine.says(state),), (machine.live(state),))
+    assert len(automaton.next) < 120
+
+
+@pytest.mark.parametrize("pattern", ["a*", "ab(?:cd)*", "(?:ab|b*c)d", "é", "[^a]", "a(?=b)", r"\d"])
+def test_rules_that_one_pass_cannot_scan(pattern):
+    if pattern == "(?:ab|b*c)d":
+        secret_scan.Automaton((secret_scan.Rule("x", pattern),))
+        return
+    with pytest.raises(ValueError):
+        secret_scan.Automaton((secret_scan.Rule("x", pattern),))
+
+
+def test_secret_report(spark, docs):
+    rules = secret_scan.BASE + secret_scan.MORE
+    rng = np.random.default_rng(15)
+    rows = [(i, "".join(rng.choice(PIECES, 12))) for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "token=abcdefgh"), (7, rows[7][1]), (102, "é" * 70_000 + " secret: 'abcdefgh'" + "f" * 70_000), (103, "no secrets here")]
+    got = sorted(map(tuple, secret_scan.report(docs(*rows).repartition(3)).collect()), key=repr)
+    want = []
+    for i, text in rows:
+        spans = secrets_by_hand(text or "", rules)
+        base = [s for s in spans if s.split(":")[0] in ("assign", "access", "hex")]
+        counts = [sum(s.startswith(f"{k}:") for s in spans) for k in ("assign", "access", "hex")]
+        want.append((i, *counts, hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(spans)))
+    assert got == sorted(want, key=repr)
+    assert secret_scan.report(docs()).collect() == []
+
+
+def test_redacted(spark, docs):
+    rows = [(1, "é token = 'abcdefgh' and " + "0" * 40), (2, None), (3, "clean"), (4, "secret=" + "a" * 32)]
+    got = {r["doc_id"]: r for r in secret_scan.redacted(docs(*rows)).collect()}
+    assert got[1]["text"] == "é [assign]' and [hex]" and got[2]["text"] is None and got[3]["text"] == "clean" and got[4]["text"] == "[assign]"
+    assert got[1]["row"] == "own" and got[1]["id"] == 7
