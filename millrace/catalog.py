@@ -3,47 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, text
 from .operators import aggregates, calendar, crosswalk, geometry, intervals, joins, latest, merge, metrics, residency, resolve, topk
 from .plans import documents, filters, search
-from .session import make_importable, work_dir
+from .registry import QUERIES, SQL, Tables, query
+from .session import work_dir
 from .sources import checks, files
 from .streaming import standing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-class Tables:
-    """Tables of a folder by name: ``t.orders`` reads ``orders.parquet``."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    def register(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            make_importable(spark)
-            return f(Tables(spark, sf_dir))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def money(c):
     return F.col(c).cast("decimal(20,2)") if isinstance(c, str) else c.cast("decimal(20,2)")
 
@@ -1342,3 +1314,7 @@ def hybrid_search(t):
     docs = t.documents.select("doc_id", "text").join(vectors, "doc_id", "left")
     out = search.hybrid(docs, "the and", _query_vector(t), "doc_id", "text", "embedding", 0.9, 100, digits=6)
     return out.withColumn("score", F.round("score", 9))
+
+
+# Queries that are registered elsewhere, and use what is above.
+from . import catalog_indexes  # noqa: E402, F401

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squish
 from ..functions.vectors import cosine_distance
+from ..session import stashed
 
 K1, B, RRF = 1.2, 0.75, 60
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -43,14 +44,15 @@ def bm25(documents: DataFrame, query: str, id_col: str, text_col: str, how: str
     """(id, score) of the documents that match, best first, ties to the smaller id.
 
     Counts of the query's tokens are taken per document in the scan: no token table is shuffled, and only one
-    row of totals is aggregated.
+    row of totals is aggregated. The scan's few numbers a document are written, so texts are cut into tokens once.
+    For many queries of one corpus, or large ones, ``postings`` has a table that never reads texts again.
     """
     wanted = list(dict.fromkeys(words_of(query)))
     if not wanted:
         raise ValueError("the query has no token")
     held = documents.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_t"))
     counts = [F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(wanted)]
-    rows = held.select("id", F.size("_t").alias("_len"), has_tokens(F.col("_t"), query, how).alias("_hit"), *counts)
+    rows = stashed(held.select("id", F.size("_t").alias("_len"), has_tokens(F.col("_t"), query, how).alias("_hit"), *counts), "bm25")
     totals = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))))
     joined = rows.where("_hit").join(F.broadcast(totals))  # one row
     score = F.lit(0.0)

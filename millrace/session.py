@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -38,6 +39,30 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stashed(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return it read back: what comes after doesn't make it again."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(the file system that ``path`` is in, the path) as Hadoop has them: local, remote or mounted alike."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), there
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    system, there = file_system(spark, path)
+    system.delete(there, True)
+
+
 def make_importable(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package, wherever the driver was started."""
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
