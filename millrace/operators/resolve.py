@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_quotes, trigram_similarity, trigrams
+from ..session import stashed
+from ..sources.manifest import ManifestTable
+from .merge import insert_ignore
 
 
 def resolve_names(names: DataFrame, aliases: DataFrame, name: str = "name") -> DataFrame:
@@ -72,4 +75,52 @@ def lineage(decisions: DataFrame, name: str, now: Column) -> DataFrame:
     )
 
 
-__all__ = ["judged", "lineage", "resolve_names", "similar", "trigram_similarity"]
+def name_id(normal: Column, salt: Column | int = 0, bits: int = 60) -> Column:
+    """A number that the name alone gives: the first ``bits`` (60 at most) of its digest."""
+    salt = F.lit(salt) if isinstance(salt, int) else salt
+    head = F.conv(F.substring(F.sha2(F.concat_ws(chr(31), normal, salt.cast("string")), 256), 1, 15), 16, 10).cast("bigint")
+    return F.shiftright(head, 60 - bits)
+
+
+def normal_name(name: Column) -> Column:
+    """What spellings of one name share: plain quotes, lower case, single blanks."""
+    return F.lower(F.trim(F.regexp_replace(plain_quotes(name), r"\s+", " ")))
+
+
+def created(names: DataFrame, entities: DataFrame, name: str = "name", bits: int = 60, rounds: int = 20) -> DataFrame:
+    """(entity_id, canonical_name, normal_name) of the names that ``entities`` (the same columns) doesn't have yet.
+
+    Ids come from the names, so a batch that is tried again, or another that shares a name, gives the same ones. An id that
+    another name has, there or among the new ones, is given to the lesser name; the other takes the next salt.
+    Of several spellings the least is the canonical one; blank and null names give none.
+    """
+    normal = normal_name(F.col(name))
+    wanted = names.select(normal.alias("normal_name"), F.col(name).alias("_spelled")).where("normal_name <> ''").groupBy("normal_name").agg(F.min("_spelled").alias("canonical_name"))
+    left = stashed(wanted.join(entities.select("normal_name"), "normal_name", "left_anti").withColumn("_salt", F.lit(0)), "new-names")
+    taken, done = entities.select("entity_id"), None
+    for _ in range(rounds):
+        tried = left.withColumn("entity_id", name_id(F.col("normal_name"), F.col("_salt"), bits))
+        first = tried.groupBy("entity_id").agg(F.min("normal_name").alias("_first"))
+        won = tried.join(first.withColumnRenamed("entity_id", "_id"), (F.col("entity_id") == F.col("_id")) & (F.col("normal_name") == F.col("_first")), "left_semi")
+        won = stashed(won.join(taken, "entity_id", "left_anti").select("entity_id", "canonical_name", "normal_name"), "new-entities")
+        done = won if done is None else done.union(won)
+        left = stashed(left.join(won.select("normal_name"), "normal_name", "left_anti").withColumn("_salt", F.col("_salt") + 1), "new-names")
+        if left.isEmpty():
+            return done
+        taken = taken.union(won.select("entity_id"))
+    raise RuntimeError(f"names without an id after {rounds} salts")
+
+
+def create_absent(table: ManifestTable, aliases: ManifestTable, names: DataFrame, batch: str, name: str = "name", bits: int = 60) -> None:
+    """Create the entities that ``names`` needs, then an alias for each spelling, each in one step that happens once a batch.
+
+    ``table``: entity_id, canonical_name, normal_name; ``aliases``: alias_name, entity_id. A writer that dies between the two steps is finished by trying its batch again.
+    """
+    known = names.where(normal_name(F.col(name)) != "").select(F.col(name).alias("alias_name"), normal_name(F.col(name)).alias("normal_name")).distinct()
+
+    table.append(lambda old: created(names, old, name, bits), batch)
+    spelled = known.join(table.read(), "normal_name").select("alias_name", "entity_id")
+    aliases.append(lambda old: insert_ignore(old, spelled, ["alias_name"], null_safe=False), batch)
+
+
+__all__ = ["create_absent", "created", "name_id", "normal_name", "judged", "lineage", "resolve_names", "similar", "trigram_similarity"]

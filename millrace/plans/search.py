@@ -6,8 +6,13 @@ frequencies and lengths are counted over all documents. BM25 takes k1 = 1.2 and
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import squish
 from ..functions.vectors import cosine_distance
@@ -25,8 +30,6 @@ def tokens(c: Column, fold: bool = False) -> Column:
 
 
 def words_of(text: str) -> list[str]:
-    import re
-
     return [w for w in re.split(r"[\W_]+", text.lower()) if w]
 
 
@@ -127,6 +130,58 @@ def highlighted(text: Column, words: list[str]) -> Column:
     return F.transform(parts, lambda p: F.struct(p.alias("text"), F.array_contains(wanted, F.translate(F.lower(p), *ACCENTS)).alias("match")))
 
 
+def highlight_batch(passages: DataFrame, queries: dict[str, list[str]], text: str = "text") -> DataFrame:
+    """Each passage and query (columns ``position``, from 1 in the order of ``queries``, and ``query``) with its segments: what
+    ``highlighted`` gives query by query.
+
+    One automaton of the words and phrases of all queries is built once and walked once for each passage, over the passage's folded words with a
+    mark at both sides of each; an entry of several words is a phrase. A null text gives null segments.
+    """
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    patterns: dict[str, tuple[int, set[int]]] = {}
+    for number, words in enumerate(queries.values()):
+        for entry in words:
+            folded = [w for w in re.split(r"[\W_]+", entry.lower().translate(str.maketrans(*ACCENTS))) if w]
+            if folded:
+                patterns.setdefault("".join(f"\0{w}\1" for w in folded), (len(folded), set()))[1].add(number)
+    for pattern, (n, of) in patterns.items():
+        automaton.add_word(pattern, (n, tuple(sorted(of))))
+    automaton.make_automaton()
+
+    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    folded = F.transform(pieces, lambda p: F.when(p.rlike(r"^[\p{L}\p{N}]"), F.translate(F.lower(p), *ACCENTS)))
+    columns = passages.columns
+    rows = passages.select(F.struct(*columns).alias("row"), pieces.alias("pieces"), folded.alias("folded"))
+    count = len(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = []
+            for words in batch.column(2).to_pylist():
+                found: list[list[int]] = [[] for _ in range(count)]
+                if words and patterns:
+                    at = [k for k, w in enumerate(words) if w is not None]
+                    joined, ends = "".join(f"\0{words[k]}\1" for k in at), {}
+                    end = -1
+                    for place, k in enumerate(at):
+                        end += len(words[k]) + 2
+                        ends[end] = place
+                    for end, (n, of) in automaton.iter(joined):
+                        last = ends[end]
+                        for number in of:
+                            found[number] += [at[p] for p in range(last - n + 1, last + 1)]
+                marks.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.list_(pa.list_(pa.int32())))], ["row", "pieces", "marks"])
+
+    marked = rows.mapInArrow(run, T.StructType([rows.schema["row"], rows.schema["pieces"], T.StructField("marks", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+    each = marked.select("row", "pieces", F.posexplode("marks").alias("_k", "_at"))
+    segments = F.transform("pieces", lambda p, i: F.struct(p.alias("text"), F.array_contains("_at", i).alias("match")))
+    names = F.array(*(F.lit(q) for q in queries))
+    return each.select("row.*", (F.col("_k") + 1).alias("position"), F.get(names, F.col("_k")).alias("query"), segments.alias("segments"))
+
+
 def passage_condition(query: dict | str, c: Column) -> Column:
     """A transcript query on a column of folded ``tokens``: nested ``{"and"|"or": [..]}``, ``{"not": ..}``, or a text:
     one word (a trailing ``*`` matches its continuations) or a phrase."""
