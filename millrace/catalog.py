@@ -350,9 +350,11 @@ def facet_counts(t):
 # --- joins, sets, merges ------------------------------------------------------------------------
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def anti_not_seen(t):
-    return merge.not_seen(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    """Customers without an urgent order."""
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return merge.not_seen(t.customer.select("c_custkey"), urgent, ["c_custkey"])
 
 
 @query("""
@@ -789,9 +791,9 @@ def phrase_match(t):
     return t.documents.where(search.has_tokens(search.tokens(F.col("text")), "of the", "phrase")).select("doc_id")
 
 
-@query(f"select doc_id from documents where list_has_any({TOKENS_SQL}, ['energy', 'stone'])")
+@query(f"select doc_id from documents where list_has_any({TOKENS_SQL}, ['les', 'und'])")
 def any_tokens_match(t):
-    return t.documents.where(search.has_tokens(search.tokens(F.col("text")), "energy stone", "any_tokens")).select("doc_id")
+    return t.documents.where(search.has_tokens(search.tokens(F.col("text")), "les und", "any_tokens")).select("doc_id")
 
 
 NEAREST_SQL = """
@@ -1317,4 +1319,4 @@ def hybrid_search(t):
 
 
 # Queries that are registered elsewhere, and use what is above.
-from . import catalog_indexes  # noqa: E402, F401
+from . import catalog_indexes, catalog_more  # noqa: E402, F401

@@ -134,3 +134,42 @@ def optional(given: dict[str, Any], known: dict[str, Any]) -> list[Column]:
 
 def year_range(column: str, first: int | None, last: int | None) -> list[Column]:
     return [c for c in (F.col(column) >= first if first is not None else None, F.col(column) <= last if last is not None else None) if c is not None]
+
+
+# What a request may hand through to the search, and how many rows it may ask for.
+PASSED, MOST_ROWS = ("rank_by", "filters", "limit", "top_k", "include_attributes"), 250
+
+
+def passed_through(raw: dict[str, Any], contract: Contract, evaluated_at: datetime) -> tuple[Column, int]:
+    """(condition, rows) of a request that brings its own filter: AND-ed with the scope, at most ``MOST_ROWS`` rows (10 if it doesn't say).
+
+    Parameters that may not be passed are an error.
+    """
+    if unknown := sorted(set(raw) - set(PASSED)):
+        raise InvalidDefinition([f"parameters not allowed: {', '.join(unknown)}"])
+    found: list[str] = []
+    if raw.get("filters"):
+        _check(raw["filters"], contract, 0, found)
+    if found:
+        raise InvalidDefinition(found)
+    rows = max(1, min(int(raw.get("limit") or raw.get("top_k") or 10), MOST_ROWS))
+    scope = (F.col("realm") == contract.realm) & (F.col("visibility") == "public")
+    return (scope & condition(raw["filters"], contract, evaluated_at) if raw.get("filters") else scope), rows
+
+
+def preview_rows(asked: Any, least: int = 1, most: int = 100) -> int:
+    """How many rows a preview gives: what is asked for, held between ``least`` and ``most``; ``most`` if it isn't a number."""
+    try:
+        return max(least, min(int(asked), most))
+    except (TypeError, ValueError):
+        return most
+
+
+def prefixed(column: Column, prefix: str) -> Column:
+    """Names with a beginning, letter by letter: ``_`` and ``%`` stand for themselves."""
+    return column.startswith(prefix)
+
+
+def ilike(column: Column, text: str) -> Column:
+    """Texts with ``text`` anywhere, case aside, in which ``%`` and ``_`` are wildcards as they were typed."""
+    return column.ilike(f"%{text}%")

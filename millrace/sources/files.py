@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import present
+from ..session import file_system
 
 BOM = "﻿"
 
@@ -59,6 +60,39 @@ def sniffed_encoding(head: bytes) -> str:
     return "UTF-8"
 
 
+def head_of(spark: SparkSession, path: str, most: int = 65_536) -> bytes:
+    """The first bytes of a file, wherever Spark reads it."""
+    system, there = file_system(spark, path)
+    stream = system.open(there)
+    try:
+        return bytes(stream.readNBytes(most))
+    finally:
+        stream.close()
+
+
+def read_detected(spark: SparkSession, path: str) -> DataFrame:
+    """Delimited text of one file in whatever encoding and with whichever separator its head shows."""
+    head = head_of(spark, path)
+    encoding = sniffed_encoding(head)
+    first = head.decode(encoding, "ignore").split("\n", 1)[0]
+    return read_csv(spark, path, sep="\t" if "\t" in first else ",", encoding=encoding)
+
+
+# The formats that sources name.
+READERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def reader_of(kind: str) -> Callable[..., DataFrame]:
+    """The reader (spark, path, ..) of a source's format; an unknown one is an error that names those there are."""
+    from . import shapefile, sqlite
+
+    if not READERS:
+        READERS.update(csv=read_csv, tsv=lambda spark, path: read_csv(spark, path, sep="\t"), detected=read_detected, json=read_json, ndjson=read_ndjson, xml=read_xml, zip=unzipped, sqlite=sqlite.snapshot, shapefile=shapefile.shapes)
+    if kind not in READERS:
+        raise ValueError(f"no reader for {kind}: {', '.join(sorted(READERS))}")
+    return READERS[kind]
+
+
 def fourth_column_value(df: DataFrame) -> DataFrame:
     """(entity, code, year, value) of files in which only the place of the value is fixed."""
     entity, code, year, value = df.columns[:4]
