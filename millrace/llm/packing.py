@@ -337,6 +337,41 @@ def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
     return bound
 
 
+def tight(counts: dict[int, int], capacity: int, visits: int = 32) -> list[Pattern]:
+    """Around the largest piece that is left, each time, the fillings looked at that waste least, as often as the counts allow."""
+    left, plan = dict(counts), []
+    while left:
+        size = max(left)
+        around = left | {size: left[size] - 1}
+        inside = np.array(sorted(s for s, n in around.items() if n and s <= capacity - size), np.int64)
+        fills = first_fillings(around, inside, capacity - size, visits) if len(inside) else []
+        held = (f for f in fills if all(around[s] >= k for s, k in Counter(f).items()))
+        whole = Counter((size, *next(held, ())))
+        times = min(left[s] // k for s, k in whole.items())
+        plan.append((tuple(sorted(whole.elements(), reverse=True)), times))
+        for s, k in whole.items():
+            left[s] -= k * times
+            if not left[s]:
+                del left[s]
+    return plan
+
+
+def split_packings(counts: dict[int, int], capacity: int, cuts: int = 24) -> Iterator[list[Pattern]]:
+    """Packings in which the pieces up to a length are packed tightly and those beyond it by best fit, for lengths spread over
+    the pieces.
+
+    Where two large pieces or three small ones fill a sequence, best fit spends small pieces on large ones and ends in
+    pairs; apart, the small ones go in threes.
+    """
+    sizes = sorted(counts)
+    upto = np.cumsum([counts[s] for s in sizes])
+    places = np.unique(np.searchsorted(upto, np.linspace(0, upto[-1], cuts + 1)[1:]))
+    for at in places.tolist():
+        cut = sizes[min(at, len(sizes) - 1)]
+        small = {s: n for s, n in counts.items() if s <= cut}
+        yield tight(small, capacity) + best_fit_decreasing({s: n for s, n in counts.items() if s > cut}, capacity)
+
+
 def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_000, visits: int = 64) -> list[Pattern]:
     """A packing of ``counts`` pieces of each length; optimal where its size meets the lower bound or the search ends.
 
@@ -349,6 +384,12 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_
     best = best_fit_decreasing(left, capacity)
     fewest = sum(n for _, n in best)
     taken = 0
+    if fewest > bound:
+        for other in split_packings(left, capacity):
+            if sum(n for _, n in other) < fewest:
+                best, fewest = other, sum(n for _, n in other)
+            if fewest == bound:
+                break
 
     def ways() -> Iterator[tuple[tuple[int, ...], int] | None]:
         """(filling, how often) around the largest piece, None for each that is dominated."""
@@ -462,15 +503,20 @@ def packing_report(pieces: DataFrame, capacity: int = 4096, **options) -> DataFr
     return pieces.sparkSession.createDataFrame([row], "pieces bigint, sequences bigint, at_least bigint")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to ``pieces``, which has ``length`` and whatever else."""
+def pack(pieces: DataFrame, capacity: int = 4096, deal: str | None = None, **options) -> DataFrame:
+    """Adds sequence_id and offset to ``pieces``, which has ``length`` and whatever else; ``options`` are those of the search.
+
+    ``deal``: a column of whole numbers that spreads the rows, equal ones too, and is stored, as it is read twice; it isn't kept. Without it rows are dealt by
+    a hash, by which equal rows meet in one task.
+    """
     spark = pieces.sparkSession
     counts = {int(size): int(n) for size, n in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    plan = places(bin_completion(counts, capacity))
+    plan = places(bin_completion(counts, capacity, **options))
     shared = spark.sparkContext.broadcast(plan)
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    columns = pieces.columns
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
+    columns = [c for c in pieces.columns if c != deal]
+    spread = F.xxhash64(*columns) if deal is None else F.col(deal)
+    dealt = pieces.withColumn("_bucket", F.pmod(spread, F.lit(buckets)).cast("int")).select("_bucket", *columns)
     before = dealt.groupBy("length", "_bucket").count()
     before = before.select("length", "_bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy(*columns))
@@ -489,7 +535,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             place_at = offset[at] + (turn % copies[at]) * apart[at]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(within), pa.array(place_at)], [*columns, "sequence_id", "offset"])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.select(*columns).dtypes)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
 
 
@@ -508,8 +554,9 @@ def places(plan: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "apart", "copies", "offset"), table.T.copy(), strict=True))
 
 
-def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece of every document."""
-    pieces = stash(pieces_of(docs, path, capacity, end_id), "pieces")
-    out = pack(pieces, capacity)
+def packed(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, **options) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset for every piece of every document; ``options`` are those
+    of the search."""
+    pieces = pieces_of(docs, path, capacity, end_id).withColumn("_deal", F.monotonically_increasing_id())
+    out = pack(stash(pieces, "pieces"), capacity, "_deal", **options)
     return out.select(F.col("id").alias("doc_id"), "piece", "start", F.col("length").cast("bigint").alias("length"), "ids_crc32", "sequence_id", "offset")

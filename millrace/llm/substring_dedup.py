@@ -326,9 +326,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
             for d, words in enumerate(p.split):
                 mine = stay[first[d] : first[d] + len(words)]
                 left = words if mine.all() else [words[i] for i in np.flatnonzero(mine)]
-                kept.append(b" ".join(left).decode("utf-8", "replace"))
+                kept.append(b" ".join(left))
                 removed.append(len(words) - len(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(p.lengths, pa.int64()), pa.array(removed, pa.int64())], ["row", "kept_text", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).view(pa.string()), pa.array(p.lengths, pa.int64()), pa.array(removed, pa.int64())], ["row", "kept_text", "n_words", "n_removed"])
 
     schema = T.StructType([T.StructField("row", T.StructType([f for f in docs.schema])), T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return joined.mapInArrow(cut, schema)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import resampling, secret_scan, whitening
-from millrace.llm._common import Words
+from millrace.llm._common import Words, stash
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -212,3 +212,54 @@ def test_redacted(spark, docs):
     got = {r["doc_id"]: r for r in secret_scan.redacted(docs(*rows)).collect()}
     assert got[1]["text"] == "é [assign]' and [hex]" and got[2]["text"] is None and got[3]["text"] == "clean" and got[4]["text"] == "[assign]"
     assert got[1]["row"] == "own" and got[1]["id"] == 7
+
+
+# --- packing and bytes ----------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("n", "low", "high", "most"), [(900, 1100, 1800, 345), (1500, 900, 2100, 576)])
+def test_packing_beats_best_fit_where_that_misses_the_bound(n, low, high, most):
+    import random
+    from collections import Counter
+
+    from millrace.llm import packing
+
+    rng = random.Random(1)
+    counts = dict(Counter(rng.randint(low, high) for _ in range(n)))
+    plan = packing.bin_completion(counts, 4096)
+    used = Counter()
+    for fill, times in plan:
+        assert sum(fill) <= 4096
+        for size in fill:
+            used[size] += times
+    sequences = sum(times for _, times in plan)
+    assert used == Counter(counts)
+    assert packing.fewest_sequences(counts, 4096) <= sequences <= most < sum(t for _, t in packing.best_fit_decreasing(counts, 4096))
+
+
+def test_equal_pieces_are_dealt_apart_and_options_reach_the_search(spark):
+    from millrace.llm import packing
+
+    rows = [(None, 0, 0, 1, 7)] * 300 + [(i, 0, 0, 5, i) for i in range(40)]
+    pieces = spark.createDataFrame(rows, "id long, piece int, start long, length int, ids_crc32 long").repartition(4).withColumn("_deal", F.monotonically_increasing_id())
+    out = packing.pack(stash(pieces, "pieces"), 16, "_deal", steps=None).collect()
+    assert len(out) == 340 and "_deal" not in out[0].asDict()
+    taken = {}
+    for r in out:
+        taken.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in taken.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 16
+    assert len(taken) == math.ceil((300 + 200) / 16)
+
+
+def test_kept_words_keep_their_bytes(spark):
+    from millrace.llm import substring_dedup
+
+    raw = [b"ok " + bytes([0xFF, 0xC3]) + b" w", b"plain words"]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(raw)], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    got = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.removal_report(df).collect()}
+    assert got == {i: hashlib.sha256(b).hexdigest() for i, b in enumerate(raw)}
