@@ -70,7 +70,7 @@ class ChunkIds:
     Turkish I) would join with punctuation, so runs that hold any are encoded whole.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
