@@ -1,155 +1,175 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Linear classifiers over hashed words are trained in numpy from confirmed toxic documents (P) and
-unlabelled ones (U). With class prior pi, the risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)): what U
+A linear classifier over hashed words is trained in numpy from confirmed toxic documents (P) and all unlabelled ones (U), which are
+all rows that aren't held out. With class prior pi, the risk is pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)): what U
 loses for being called clean, less the share of it that its own toxic documents cause, which can't fall below
-zero; where a batch's does, the step goes the other way, so that the classifier doesn't learn P by heart. A
-classifier is fitted twice: with an L1 term, which selects the words that speak for P, then on these alone almost
-without one, so that weights aren't shrunk and scores come near 0 and 1. Classifiers from different orders of the
-sample are averaged.
+zero; where it does, the step goes the other way, so that the classifier doesn't learn P by heart.
 
-P and U are samples of at most ``max_positive`` and ``max_unlabelled`` documents, the only bound here: the
-model is a vector of 2**bits weights. Every whole text is scored.
+P is a sample of at most ``max_positive`` labelled documents, the only bound here. U isn't sampled: texts are cut into features
+once, and of these the written table keeps the words that P has. Words weigh something if P has them more often than U by ``z``
+standard errors, all documents counted. Documents that are alike in these words become one row with its count,
+and each step of the descent is a pass over these rows: tasks send one number a word. Slopes are
+summed as whole multiples of 1 / ``UNIT``, so neither the order of tasks nor a repeated one changes the model.
 
-Defined results: a null or empty text has the score of the bias; a null doc_id is held out by the crc32 of
-the empty text and never joins a label; labels other than 0 and 1 are no labels; with no positive document
-every score is the prior; repeated rows are scored alike.
+Defined results: a null or empty text has the score of the bias; a null doc_id is held out by nothing (the crc32 of
+the empty text is 0), never joins a label and counts as unlabelled; labels other than 0 and 1 are no labels; with no positive document
+every score is the prior; rows that share an id or repeat count each and are scored alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, crc_remainder
-from ._features import Beginnings, labelled, logistic, presence, sample_features, scored
+from ._common import WordHashes, crc_remainder, drop_stash, slices, stash
+from ._features import Beginnings, bounded_sample, labelled, logistic, presence, scored
 
 MOD, HELD = 3, 1
+#: Slopes and losses are summed in units of 1 / UNIT.
+UNIT = 1 << 20
 
 
 def beginnings() -> list[Beginnings]:
     return [Beginnings(6)]
 
 
-class Batch:
-    """Rows of a sparse 0/1 matrix: row i has the columns ``values[bounds[i, 0] : bounds[i, 1]]``."""
-
-    def __init__(self, values: np.ndarray, bounds: np.ndarray):
-        self.values, self.bounds, self.n = values, bounds, len(bounds)
-
-    def parts(self, rows: np.ndarray, step: int = 1024):
-        """(slice of ``rows``, row numbers within it, columns), some rows at a time, which bounds memory."""
-        for at in range(0, len(rows), step):
-            few = rows[at : at + step]
-            first = self.bounds[few, 0]
-            lengths = self.bounds[few, 1] - first
-            places = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-            yield slice(at, at + len(few)), np.repeat(np.arange(len(few)), lengths), self.values[places]
-
-    def outputs(self, rows: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
-        out = np.empty(len(rows))
-        for some, row, column in self.parts(rows):
-            out[some] = logistic(bias + np.bincount(row, w[column], some.stop - some.start))
-        return out
-
-    def gradient(self, rows: np.ndarray, slopes: np.ndarray, columns: int) -> np.ndarray:
-        """Of the weights, from the loss's slope in each row's output."""
-        out = np.zeros(columns)
-        for some, row, column in self.parts(rows):
-            out += np.bincount(column, slopes[some][row], columns)
-        return out
-
-    def counts(self, columns: int, step: int = 1 << 20) -> np.ndarray:
-        """In how many rows each column is."""
-        out = np.zeros(columns, np.int64)
-        for first in range(0, len(self.values), step):
-            out += np.bincount(self.values[first : first + step], minlength=columns)
-        return out
-
-    def only(self, column: np.ndarray) -> "Batch":
-        """With columns renumbered by ``column``, without those that it maps to -1."""
-        values = column[self.values]
-        keep = values >= 0
-        before = np.concatenate([[0], np.cumsum(keep, dtype=np.int32)])
-        return Batch(values[keep], before[self.bounds].astype(np.int64))
-
-
-def fit_nnpu(positive: Batch, unlabelled: Batch, columns: int, prior: float, seed: int, epochs: int, size: int, rate: float, l1: float) -> tuple[np.ndarray, float]:
-    """(weights, bias) by AdaGrad on the non-negative risk with the logistic loss."""
-    rng = np.random.default_rng(seed)
-    w, g2 = np.zeros(columns), np.full(columns, 1e-4)
-    bias, b2 = np.log(prior / (1 - prior)), 1e-4
-    steps = max(1, unlabelled.n // size)
-    for _ in range(epochs):
-        for rows_u in np.array_split(rng.permutation(unlabelled.n), steps):
-            rows_p = rng.integers(0, positive.n, size) if positive.n > size else np.arange(positive.n)
-            p, u = positive.outputs(rows_p, w, bias), unlabelled.outputs(rows_u, w, bias)
-            of_clean = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
-            # Gradients of the loss with respect to the outputs: plus for P as toxic, minus for the rest as clean.
-            d_u, d_p_clean = u / len(rows_u), -prior * p / len(rows_p)
-            if of_clean >= 0:
-                d_p = d_p_clean - prior * (1 - p) / len(rows_p)
-            else:
-                d_u, d_p = -d_u, -d_p_clean
-            grad = unlabelled.gradient(rows_u, d_u, columns) + positive.gradient(rows_p, d_p, columns)
-            g_bias = d_u.sum() + d_p.sum()
-            g2 += grad * grad
-            b2 += g_bias * g_bias
-            step = rate / np.sqrt(g2)
-            w -= step * grad
-            w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-            bias -= rate * g_bias / np.sqrt(b2)
-    return w, float(bias)
-
-
-def fit_twice(positive: Batch, unlabelled: Batch, columns: int, prior: float, seed: int) -> tuple[np.ndarray, float]:
-    """(weights, bias): words are selected by the first fit, in large batches as small ones are too noisy for a small
-    prior, and weighed by the second, over all rows at once."""
-    w, bias = fit_nnpu(positive, unlabelled, columns, prior, seed, epochs=20, size=8192, rate=0.3, l1=1e-3)
-    chosen = np.flatnonzero(w > 0)
-    if not len(chosen):
-        return w, bias
+def features(rows: DataFrame, bits: int, column: np.ndarray | None = None) -> DataFrame:
+    """``positive`` and ``at``, the hashed words of ``text``, renumbered by ``column`` (words that it maps to -1 go) if it is given."""
+    shared = rows.sparkSession.sparkContext.broadcast(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, starts, to = WordHashes(), beginnings(), shared.value
+        for batch, texts in slices(batches, "text"):
+            found = [presence(t, hashes, starts, bits) for t in texts]
+            if to is not None:
+                found = [f[f >= 0] for f in (to[f] for f in found)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["positive", "at"])
+
+    return rows.select("text", "positive").mapInArrow(run, "positive boolean, at array<int>")
+
+
+def occurrences(rows: DataFrame, columns: int) -> np.ndarray:
+    """In how many rows each column is: each task sends its own counts, one number a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(columns, np.int64)
+        for batch in batches:
+            n += np.bincount(np.asarray(batch.column(0).flatten()), minlength=columns)
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(n[there])], ["column", "n"])
+
+    found = rows.select("at").mapInArrow(run, "column int, n long").groupBy("column").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(columns, np.int64)
+    out[np.asarray(found["column"])] = np.asarray(found["n"])
+    return out
+
+
+def telling(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, z: float) -> np.ndarray:
+    """Which columns P has more often than U, by more than ``z`` standard errors; one document is added to the variance, so what
+    is next to never in U has to be in more than ``z`` documents of P."""
+    rate = in_u / n_u
+    return in_p - n_p * rate > z * np.sqrt(n_p * rate * (1 - rate) + 1)
+
+
+def kinds(rows: DataFrame, column: np.ndarray) -> DataFrame:
+    """The different rows after renumbering by ``column``: at, u (how many rows) and p (how many of these are positive)."""
+    shared = rows.sparkSession.sparkContext.broadcast(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            at = shared.value[np.asarray(lists.flatten())]
+            kept = np.concatenate([[0], np.cumsum(at >= 0)])
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(kept[ends].astype(np.int32)), pa.array(at[at >= 0]))], ["positive", "at"])
+
+    less = rows.select("positive", "at").mapInArrow(run, "positive boolean, at array<int>")
+    return less.groupBy("at").agg(F.count("*").alias("u"), F.sum(F.col("positive").cast("long")).alias("p"))
+
+
+def slopes(at: np.ndarray, row: np.ndarray, u: np.ndarray, p: np.ndarray, w: np.ndarray, bias: float) -> np.ndarray:
+    """Sums over rows, in whole units, as columns (U as clean, P as clean, P as toxic): a row for each weight, then one for the bias
+    and one for the losses. ``at`` are the columns of the rows ``row``, ``u`` and ``p`` how often each row is in U and P."""
+    out = logistic(bias + np.bincount(row, w[at], len(u)))
+    clean = np.rint(out * UNIT).astype(np.int64)
+    loss = np.rint(-np.log1p(-np.minimum(out, 1 - 1e-12)) * UNIT).astype(np.int64)
+    each = np.stack([clean * u, clean * p, (clean - UNIT) * p], axis=1)
+    sums = np.stack([np.bincount(at, each[row, j], len(w)).astype(np.int64) for j in range(3)], axis=1)
+    return np.concatenate([sums, each.sum(axis=0)[None], [[(loss * u).sum(), (loss * p).sum(), 0]]])
+
+
+def totals(rows: DataFrame, w: np.ndarray, bias: float) -> np.ndarray:
+    """``slopes`` of all rows of ``kinds``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(w) + 2, 3), np.int64)
+        for batch in batches:
+            lists = batch.column(0)
+            row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+            sums += slopes(np.asarray(lists.flatten()), row, np.asarray(batch.column(1)), np.asarray(batch.column(2)), w, bias)
+        there = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(sums[there, j]) for j in range(3))], ["place", "a", "b", "c"])
+
+    found = rows.select("at", "u", "p").mapInArrow(run, "place int, a long, b long, c long")
+    found = found.groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c")).toArrow()
+    out = np.zeros((len(w) + 2, 3), np.int64)
+    out[np.asarray(found["place"])] = np.stack([np.asarray(found[c]) for c in "abc"], axis=1)
+    return out
+
+
+def descend(sums, columns: int, n_p: int, n_u: int, prior: float, steps: int, rate: float, l1: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) by AdaGrad on the non-negative risk with the logistic loss; ``sums(w, bias)`` gives ``slopes`` of all rows."""
+    w, g2 = np.zeros(columns), np.full(columns + 1, 1e-4)
+    bias = float(np.log(prior / (1 - prior)))
+    for _ in range(steps):
+        total = sums(w, bias) / UNIT
+        u, p_clean, p_toxic = total[:, 0] / n_u, prior * total[:, 1] / n_p, prior * total[:, 2] / n_p
+        of_clean = u[-1] - p_clean[-1]
+        grad = (p_toxic + u - p_clean if of_clean >= 0 else p_clean - u)[:-1]
+        g2 += grad * grad
+        step = rate / np.sqrt(g2)
+        w = w - step[:-1] * grad[:-1]
+        w = np.sign(w) * np.maximum(np.abs(w) - step[:-1] * l1, 0)
+        bias -= float(step[-1] * grad[-1])
+    return w, bias
+
+
+def renumbered(chosen: np.ndarray, columns: int) -> np.ndarray:
     column = np.full(columns, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    of, bias = fit_nnpu(positive.only(column), unlabelled.only(column), len(chosen), prior, seed, epochs=300, size=unlabelled.n, rate=1.0, l1=1e-5)
-    w = np.zeros(columns)
-    w[chosen] = of
-    return w, bias
+    return column
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, prior: float | None = None, bits: int = 20, members: int = 2,
-    max_positive: int = 20_000, max_unlabelled: int = 20_000, least_docs: int = 10,
+    docs: DataFrame, labels: DataFrame, prior: float | None = None, bits: int = 20, max_positive: int = 20_000, z: float = 3.0,
+    steps: int = 60, rate: float = 2.0, l1: float = 1e-5,
 ) -> tuple[np.ndarray, float]:
     """(weights of 2**bits hashed words, bias). The prior is the share of toxic among labelled documents if it isn't given."""
-
-    def extract():
-        hashes, starts = WordHashes(), beginnings()
-        return lambda text: (presence(text, hashes, starts, bits),)
-
     known = labelled(docs, labels, "toxic", MOD, HELD)
     if prior is None:
         toxic, n = known.agg(F.sum("y"), F.count("*")).first()
         prior = min(max((toxic or 0) / n, 1e-3), 0.5) if n else 0.5
-    weights = np.zeros(1 << bits, np.float32)
-    bias = float(np.log(prior / (1 - prior)))
-    free = docs.select("doc_id").where(crc_remainder(F.col("doc_id"), MOD) != HELD).distinct()
-    sides = []
-    for ids, most in ((known.where("y = 1").select("doc_id"), max_positive), (free, max_unlabelled)):
-        bounds, values, _ = sample_features(docs, ids, most, extract, "words", "array<int>")
-        sides.append(Batch(values["words"], bounds))
-    if not all(side.n for side in sides):
-        return weights, bias
-    # Words that few documents of the sample have carry no evidence.
-    used = np.flatnonzero(sides[0].counts(1 << bits) + sides[1].counts(1 << bits) >= least_docs)
-    column = np.full(1 << bits, -1, np.int32)
-    column[used] = np.arange(len(used))
-    positive, unlabelled = (side.only(column) for side in sides)
-    del sides
-    fits = [fit_twice(positive, unlabelled, len(used), prior, seed) for seed in range(members)]
-    weights[used] = np.mean([w for w, _ in fits], axis=0)
-    return weights, float(np.mean([b for _, b in fits]))
+    weights, bias = np.zeros(1 << bits, np.float32), float(np.log(prior / (1 - prior)))
+    chosen = stash(bounded_sample(known.where("y = 1").select("doc_id"), max_positive).withColumnRenamed("doc_id", "_id"), "positive")
+    sure = F.broadcast(chosen)  # at most ``max_positive`` ids, so no text moves
+    free = docs.select("doc_id", "text").where(crc_remainder(F.col("doc_id"), MOD) != HELD)
+    in_p = occurrences(features(free.join(sure, F.col("doc_id") == F.col("_id")).withColumn("positive", F.lit(True)), bits), 1 << bits)
+    held = np.flatnonzero(in_p > z)
+    rows = stash(features(free.join(sure, F.col("doc_id") == F.col("_id"), "left").withColumn("positive", F.col("_id").isNotNull()), bits, renumbered(held, 1 << bits)), "words")
+    n_p, n_u = rows.agg(F.count_if("positive"), F.count("*")).first()
+    if n_p:
+        used = np.flatnonzero(telling(in_p[held], occurrences(rows, len(held)), n_p, n_u, z))
+        few = stash(kinds(rows, renumbered(used, len(held))), "kinds")
+        w, bias = descend(lambda w, b: totals(few, w, b), len(used), n_p, n_u, prior, steps, rate, l1)
+        weights[held[used]] = w
+        drop_stash(few)
+    drop_stash(rows)
+    drop_stash(chosen)
+    return weights, bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:

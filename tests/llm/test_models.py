@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,10 +46,10 @@ def corpus(n, sign, every=2):
 
 def test_toxicity(docs, labels):
     pairs, toxic = corpus(2000, ["vile", "scum"], 6)
-    df = docs(*pairs, (5000, None), (5001, ""), (None, "vile scum"), (7, "repeated id"), (5002, "vile " * 40_000))
+    df = docs(*pairs, (5000, None), (5001, ""), (None, "vile scum"), (7, "repeated id"), (5002, "vile " * 40_000), (5003, "one row twice"), (5003, "one row twice"))
     marks = labels(*((i, 1, t) for (i, _), t in zip(pairs, toxic, strict=True)), (7, 1, None), (8, 1, 9), (None, 1, 1))
     got = toxicity.report(df, marks).collect()
-    assert len(got) == len(pairs) + 5 and all(r.held_out == (remainder(r.doc_id, 3) == 1) for r in got)
+    assert len(got) == len(pairs) + 7 and all(r.held_out == (remainder(r.doc_id, 3) == 1) for r in got)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     held = {r.doc_id: r.score for r in got if r.held_out and r.doc_id is not None and r.doc_id < 5000}
     assert auc([toxic[i] for i in held], list(held.values())) > 0.98
@@ -61,10 +62,10 @@ def test_toxicity(docs, labels):
 
 def test_quality(docs, labels):
     pairs, good = corpus(700, ["Indeed,", "therefore"])
-    df = docs(*pairs, (5000, None), (5001, ""), (None, "x"), (5002, "BUY NOW " * 40_000))
+    df = docs(*pairs, (5000, None), (5001, ""), (None, "x"), (5002, "BUY NOW " * 40_000), (3, "an id again"), (5003, "one row twice"), (5003, "one row twice"))
     marks = labels(*((i, g, 0) for (i, _), g in zip(pairs, good, strict=True)), (None, 1, 1), (3, None, 0))
     got = quality.report(df, marks).collect()
-    assert len(got) == len(pairs) + 4 and all(r.held_out == (remainder(r.doc_id, 5) == 0) for r in got)
+    assert len(got) == len(pairs) + 7 and all(r.held_out == (remainder(r.doc_id, 5) == 0) for r in got)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     held = {r.doc_id: r.score for r in got if r.held_out and r.doc_id is not None and r.doc_id < 5000}
     assert auc([good[i] for i in held], list(held.values())) > 0.95
@@ -72,6 +73,73 @@ def test_quality(docs, labels):
     assert kept.columns == df.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def test_toxicity_as_by_a_dense_matrix(docs, labels):
+    """The risk and its steps written out over a dense matrix of all rows: as many columns as there are, no counts of alike rows."""
+    pairs, toxic = corpus(900, ["vilest", "scummy", "rotten"], 5)
+    pairs += [(2000, None), (None, "vilest w1"), (3, "vilest under a repeated id"), (4, pairs[4][1])]
+    marks = [(i, 1, t) for (i, _), t in zip(pairs, toxic, strict=False)]
+    weights, bias = toxicity.train(docs(*pairs).repartition(5), labels(*marks), bits=16)
+    label = {i: t for i, _, t in marks}
+    rows = [(i, t) for i, t in pairs if remainder(i, 3) != 1]
+    x = np.zeros((len(rows), 1 << 16))
+    for row, (_, t) in zip(x, rows, strict=True):
+        row[toxicity.presence((t or "").encode(), toxicity.WordHashes(), toxicity.beginnings(), 16)] = 1
+    p = np.array([label.get(i) == 1 for i, _ in rows])
+    known = [t for i, t in label.items() if remainder(i, 3) != 1]
+    prior, often = np.mean(known), x.mean(axis=0)
+    used = (x[p].sum(axis=0) > 3) & (x[p].sum(axis=0) - p.sum() * often > 3 * np.sqrt(p.sum() * often * (1 - often) + 1))
+    x, w, g2 = np.c_[x[:, used], np.ones(len(rows))], np.r_[np.zeros(used.sum()), np.log(prior / (1 - prior))], 1e-4
+    for _ in range(60):
+        out = 1 / (1 + np.exp(-x @ w))
+        of_clean = np.mean(-np.log(1 - out)) - prior * np.mean(-np.log(1 - out[p]))
+        grad = (out @ x) / len(x) - prior * (out[p] @ x[p]) / p.sum()
+        grad = grad - prior * ((1 - out[p]) @ x[p]) / p.sum() if of_clean >= 0 else -grad
+        g2 = g2 + grad**2
+        w = w - 2 / np.sqrt(g2) * grad
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 2 / np.sqrt(g2[:-1]) * 1e-5, 0)
+    assert used.sum() > 2 and set(np.flatnonzero(weights)) <= set(np.flatnonzero(used))
+    assert np.allclose(weights[used], w[:-1], atol=1e-3) and bias == pytest.approx(w[-1], abs=1e-3)
+
+
+def test_toxicity_is_the_same_model_however_rows_lie(docs, labels):
+    pairs, toxic = corpus(400, ["vile"], 4)
+    marks = labels(*((i, 1, t) for (i, _), t in zip(pairs, toxic, strict=True)))
+    a, b = (toxicity.train(docs(*pairs).repartition(n), marks) for n in (2, 9))
+    assert a[1] == b[1] and np.array_equal(a[0], b[0]) and a[0].any()
+
+
+def test_quality_as_by_a_plain_loop(docs, labels):
+    """FTRL-proximal as published, a weight at a time in dictionaries, over the rows in the order of the sample."""
+    pairs, good = corpus(120, ["Indeed,"])
+    known = [(i, g) for (i, _), g in zip(pairs, good, strict=True) if remainder(i, 5)]
+    weights, bias = quality.train(docs(*pairs), labels(*((i, g, 0) for (i, _), g in zip(pairs, good, strict=True))), bits=16)
+    spark = docs().sparkSession
+    order = [r[0] for r in spark.createDataFrame(known, "doc_id long, y int").orderBy(F.xxhash64("doc_id")).collect()]
+    z, n, bias_plain, b2, label = {}, {}, 0.0, 1.0, dict(known)
+
+    def weight(i):
+        a = z.get(i, 0.0)
+        return 0.0 if abs(a) <= 0.5 else (np.sign(a) * 0.5 - a) / ((1.0 + n.get(i, 0.0) ** 0.5) / 2.0 + 1.0)
+
+    for _ in range(3):
+        for doc in order:
+            at, x = quality.ngrams(pairs[doc][1].encode(), quality.WordHashes(), quality.Shapes(), 16)
+            g = 1 / (1 + np.exp(-(bias_plain + sum(weight(i) * float(v) for i, v in zip(at.tolist(), x, strict=True))))) - label[doc]
+            ws = {i: weight(i) for i in at.tolist()}
+            before = dict(n)
+            for i, v in zip(at.tolist(), x, strict=True):
+                step = (g * float(v)) ** 2
+                n[i] = max(n.get(i, 0.0), before.get(i, 0.0) + step)
+                z[i] = z.get(i, 0.0) + g * float(v) - ((before.get(i, 0.0) + step) ** 0.5 - before.get(i, 0.0) ** 0.5) / 2.0 * ws[i]
+            b2 += g * g
+            bias_plain -= g / b2**0.5
+    # A word and a shape that share a bucket are two values of one weight; 16 bits and 40 words leave few of them.
+    wanted = np.zeros(1 << 16)
+    for i in z:
+        wanted[i] = weight(i)
+    assert np.count_nonzero(wanted) > 10 and np.allclose(weights, wanted, atol=1e-2) and bias == pytest.approx(bias_plain, abs=1e-2)
+
+
 @pytest.mark.parametrize("operator", [toxicity, quality])
 def test_no_labels_and_no_rows(docs, labels, operator):
     scores = [r.score for r in operator.report(docs((1, "a b"), (2, None)), labels()).collect()]
@@ -118,6 +186,48 @@ def test_kneser_ney_is_a_distribution(spark):
         assert total == pytest.approx(1, abs=0.06)  # what is missing lies with characters never seen
 
 
+def plain_kneser_ney(texts, order=4):
+    """ln p(character | word so far) of interpolated Kneser-Ney from the formulas, with n-grams as strings in dictionaries."""
+    seen, counts = Counter(w for t in texts for w in language_id.words_of(t.encode())), [Counter() for _ in range(order + 1)]
+    for w, n in seen.items():
+        w = language_id.START + w + language_id.END
+        for k in range(1, order + 1):
+            for i in range(max(1, k - 1), len(w)):
+                counts[k][w[i - k + 1 : i + 1]] += n
+    used = [Counter() for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        before = Counter(gram[1:] for gram in counts[k + 1]) if k < order else {}
+        for gram, n in counts[k].items():
+            used[k][gram] = n if k == order or gram[0] == language_id.START else before.get(gram, n)
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(used[1]) + 1)
+        ones, twos = (sum(c == x for c in used[k].values()) for x in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        of = [c for g, c in used[k].items() if g[:-1] == gram[:-1]]
+        if not of:
+            return p(gram[1:])
+        return max(used[k][gram] - discount, 0) / sum(of) + min(1, discount * len(of) / sum(of)) * p(gram[1:])
+
+    return lambda word: [np.log(p((language_id.START + word + language_id.END)[max(0, i - order + 1) : i + 1])) for i in range(1, len(word) + 2)]
+
+
+def test_kneser_ney_as_by_the_formulas(spark):
+    rng = np.random.default_rng(8)
+    make = lambda letters: " ".join("".join(letters[j] for j in rng.integers(0, len(letters), int(rng.integers(1, 7)))) for _ in range(12))
+    rows = [(i, make("abcdé" if i % 2 else "cdefg"), "xy"[i % 2]) for i in range(30)] + [(None, "abba 12 abba", "x"), (3, "", "y"), (4, None, "x")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = ["a", "abcd", "gggggggg", "zabz", "édcba", "cdefgcd", "q"]
+    word, _, orders = language_id.spelled(asked, 4)
+    logs = model["models"].log_probs(orders, model["mask"])
+    for i, lang in enumerate(model["langs"]):
+        plain = plain_kneser_ney([t or "" for _, t, own in rows if own == lang])
+        for j, w in enumerate(asked):
+            assert np.allclose(logs[word == j, i], plain(w), atol=1e-9)
+
+
 def test_kneser_ney_of_many_ngrams_as_in_production(spark):
     rng = np.random.default_rng(5)
     letters = [chr(0x4E00 + i) for i in range(3000)]
