@@ -8,7 +8,8 @@ zero; where it does, the step goes the other way, so that the classifier doesn't
 P is a sample of at most ``max_positive`` labelled documents, the only bound here. U isn't sampled: texts are cut into features
 once, and of these the written table keeps the words that P has. Words weigh something if P has them more often than U by ``z``
 standard errors, all documents counted. Documents that are alike in these words become one row with its count,
-and each step of the descent is a pass over these rows: tasks send one number a word. Slopes are
+and each step of the descent is a pass over these rows: tasks send one number a word. The rows lie in as few
+files as hold ``PER_NUMBER`` words for each number sent, so what is sent stays a small share of what is read at every size. Slopes are
 summed as whole multiples of 1 / ``UNIT``, so neither the order of tasks nor a repeated one changes the model.
 
 Defined results: a null or empty text has the score of the bias; a null doc_id is held out by nothing (the crc32 of
@@ -31,6 +32,8 @@ from ._features import Beginnings, bounded_sample, labelled, logistic, presence,
 MOD, HELD = 3, 1
 #: Slopes and losses are summed in units of 1 / UNIT.
 UNIT = 1 << 20
+#: How many words a pass's task reads at least for each number that it sends.
+PER_NUMBER = 1024
 
 
 def beginnings() -> list[Beginnings]:
@@ -162,8 +165,10 @@ def train(
     rows = stash(features(free.join(sure, F.col("doc_id") == F.col("_id"), "left").withColumn("positive", F.col("_id").isNotNull()), bits, renumbered(held, 1 << bits)), "words")
     n_p, n_u = rows.agg(F.count_if("positive"), F.count("*")).first()
     if n_p:
-        used = np.flatnonzero(telling(in_p[held], occurrences(rows, len(held)), n_p, n_u, z))
-        few = stash(kinds(rows, renumbered(used, len(held))), "kinds")
+        in_u = occurrences(rows, len(held))
+        used = np.flatnonzero(telling(in_p[held], in_u, n_p, n_u, z))
+        files = max(1, int(in_u[used].sum()) // (PER_NUMBER * max(1, len(used))))
+        few = stash(kinds(rows, renumbered(used, len(held))).repartition(files), "kinds")
         w, bias = descend(lambda w, b: totals(few, w, b), len(used), n_p, n_u, prior, steps, rate, l1)
         weights[held[used]] = w
         drop_stash(few)
