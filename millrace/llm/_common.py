@@ -201,8 +201,8 @@ class Words:
         return out
 
 
-def worded(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Cut Arrow batches into runs of rows with about ``most`` bytes of text (one row at least): (rows, their words)."""
+def worded(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000, form=lambda texts: texts) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Cut Arrow batches into runs of rows with about ``most`` bytes of text (one row at least): (rows, words of their texts in ``form``)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)).astype(np.int64))
@@ -210,5 +210,5 @@ def worded(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000
         while first < batch.num_rows:
             done = ends[first - 1] if first else 0
             n = max(1, int(np.searchsorted(ends, done + most, side="right")) - first)
-            yield batch.slice(first, n), Words(texts.slice(first, n))
+            yield batch.slice(first, n), Words(form(texts.slice(first, n)))
             first += n

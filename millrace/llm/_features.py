@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, crc_remainder, mixed, slices
+from ._common import WordHashes, Words, crc_remainder, mixed, slices
 
 #: Lower-cases A-Z and turns ASCII punctuation into spaces.
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
@@ -54,19 +54,36 @@ class Beginnings(WordHashes):
         return value
 
 
-def presence(text: bytes, hashes: WordHashes, starts: list[Beginnings], bits: int, most: int = 3) -> np.ndarray:
-    """Hashed words of a text, each once, and beginnings of words, each once for every time up to ``most``.
+def plain(texts: pa.Array) -> pa.Array:
+    """The texts with ``PLAIN`` applied to all their bytes at once; a null is the empty text."""
+    texts = texts.cast(pa.string()).fill_null("")
+    _, offsets, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    here = data.slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes().translate(PLAIN)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).tobytes()), pa.py_buffer(here))
 
-    Case and punctuation don't count.
+
+def presence(words: Words, hashes: WordHashes, starts: list[Beginnings], bits: int, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words of each text, each once, and beginnings of words, each once for every time up to ``most``, as (offsets, columns).
+
+    A different word is hashed once for all texts of a run; what each text has is sorted with its row in one number.
     """
-    words = text.translate(PLAIN).split()
-    found = [np.unique(hashes.of(words))]
+    each = words.distinct.cast(pa.binary()).to_pylist()
+    rows = len(words.offsets) - 1
+    row = np.repeat(np.arange(rows), np.diff(words.offsets))
+    column = lambda h: (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
+    found = [(row << bits) | column(hashes.of(each))[words.codes]]
     for start in starts:
-        h, counts = np.unique(start.of(words), return_counts=True)
-        counts = np.minimum(counts[h != 0], most)
-        h = h[h != 0]
-        found += [h[counts > k] + np.uint64(k + 1) for k in range(most)]
-    return np.unique((mixed(np.concatenate(found)) >> np.uint64(64 - bits)).astype(np.int32))
+        h, which = np.unique(start.of(each), return_inverse=True)
+        at, counts = np.unique(row * len(h) + which[words.codes], return_counts=True)
+        of, which = np.divmod(at, max(1, len(h)))
+        for k in range(most):
+            some = (counts > k) & (h[which] != 0)
+            found.append((of[some] << bits) | column(h + np.uint64(k + 1))[which[some]])
+    at = np.unique(np.concatenate(found))
+    return np.searchsorted(at, np.arange(rows + 1) << bits), (at & ((1 << bits) - 1)).astype(np.int32)
 
 
 def ngrams(text: bytes, hashes: WordHashes, shapes: Shapes, bits: int) -> tuple[np.ndarray, np.ndarray]:

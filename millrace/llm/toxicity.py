@@ -25,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import WordHashes, crc_remainder, drop_stash, slices, stash
-from ._features import Beginnings, bounded_sample, labelled, logistic, presence, scored
+from ._common import WordHashes, crc_remainder, drop_stash, stash, worded
+from ._features import Beginnings, bounded_sample, labelled, logistic, plain, presence
 
 MOD, HELD = 3, 1
 #: Slopes and losses are summed in units of 1 / UNIT.
 UNIT = 1 << 20
 #: How many words a pass's task reads at least for each number that it sends.
 PER_NUMBER = 1024
+#: Bytes of text that are cut into words at a time.
+RUN = 2_000_000
 
 
 def beginnings() -> list[Beginnings]:
@@ -46,11 +49,12 @@ def features(rows: DataFrame, bits: int, column: np.ndarray | None = None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, to = WordHashes(), beginnings(), shared.value
-        for batch, texts in slices(batches, "text"):
-            found = [presence(t, hashes, starts, bits) for t in texts]
+        for batch, words in worded(batches, "text", RUN, plain):
+            offsets, at = presence(words, hashes, starts, bits)
             if to is not None:
-                found = [f[f >= 0] for f in (to[f] for f in found)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["positive", "at"])
+                at = to[at]
+                offsets, at = np.concatenate([[0], np.cumsum(at >= 0)])[offsets], at[at >= 0]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))], ["positive", "at"])
 
     return rows.select("text", "positive").mapInArrow(run, "positive boolean, at array<int>")
 
@@ -182,11 +186,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) ->
     bits = int(np.log2(len(weights)))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    def scorer():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, starts, w = WordHashes(), beginnings(), shared.value
-        return lambda text: float(logistic(bias + w[presence(text, hashes, starts, bits)].sum(dtype=np.float64)))
+        for batch, words in worded(batches, "text", RUN, plain):
+            offsets, at = presence(words, hashes, starts, bits)
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(logistic(bias + np.bincount(rows, w[at], batch.num_rows)))], ["row", "score"])
 
-    return scored(docs, scorer, keep)
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import language_id, quality, toxicity
+from millrace.llm import _common, _features, language_id, quality, toxicity
 
 SF = "/root/testdata/sf0.1"
 rng = np.random.default_rng(11)
@@ -73,6 +75,24 @@ def test_quality(docs, labels):
     assert kept.columns == df.columns and kept.count() == sum(r.predicted for r in got)
 
 
+def presence(text, bits, size=6, most=3):
+    """The columns of one text, word by word."""
+    words = [w for w in text.translate(_features.PLAIN).split()]
+    starts = Counter(w[:size] for w in words if len(w) >= size)
+    hashes = [xxhash.xxh64_intdigest(w) for w in set(words)]
+    hashes += [(xxhash.xxh64_intdigest(w, 11) + k + 1) % 2**64 for w, n in starts.items() for k in range(min(n, most))]
+    return np.unique((_common.mixed(np.array(hashes, np.uint64)) >> np.uint64(64 - bits)).astype(np.int32))
+
+
+def test_words_of_a_run_of_texts_as_one_by_one():
+    texts = ["", None, "One, two; ONE two-three", " \t\x0b", "signs signing signed signature signet", "Straße straßen-bahn \u00a0 é É", "a" * 9, "word " * 5000, "ünlösbar! x"]
+    texts += [" ".join(rng.choice(["alphas", "alphabet", "beta", "Beta.", "gammas", "\n"], int(n))) for n in rng.integers(0, 60, 50)]
+    for of in (pa.array(texts), pa.array(["cut off", *texts]).slice(1), pa.array(texts, pa.large_string()), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        offsets, at = _features.presence(_common.Words(_features.plain(of)), _common.WordHashes(), toxicity.beginnings(), 20)
+        want = [presence((t or "").encode(), 20) for t in of.to_pylist()]
+        assert [list(at[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)] == [list(w) for w in want]
+
+
 def test_toxicity_as_by_a_dense_matrix(docs, labels):
     """The risk and its steps written out over a dense matrix of all rows: as many columns as there are, no counts of alike rows."""
     pairs, toxic = corpus(900, ["vilest", "scummy", "rotten"], 5)
@@ -83,7 +103,7 @@ def test_toxicity_as_by_a_dense_matrix(docs, labels):
     rows = [(i, t) for i, t in pairs if remainder(i, 3) != 1]
     x = np.zeros((len(rows), 1 << 16))
     for row, (_, t) in zip(x, rows, strict=True):
-        row[toxicity.presence((t or "").encode(), toxicity.WordHashes(), toxicity.beginnings(), 16)] = 1
+        row[presence((t or "").encode(), 16)] = 1
     p = np.array([label.get(i) == 1 for i, _ in rows])
     known = [t for i, t in label.items() if remainder(i, 3) != 1]
     prior, often = np.mean(known), x.mean(axis=0)
