@@ -154,11 +154,14 @@ from d
 """)
 def composition_check(t):
     """Do an order's lines add up to its price?"""
-    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).cast("double").alias("value"))
-    lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("component_id"), F.lit(False).alias("is_total"), "value", F.lit(None).cast("timestamp_ntz").alias("approved_at"))
-    totals = t.orders.select("o_orderkey", F.lit(None).cast("int").alias("component_id"), F.lit(True).alias("is_total"), money("o_totalprice").cast("double").alias("value"), F.col("o_orderdate").alias("approved_at"))
-    totals = totals.join(lines.select(F.col("o_orderkey").alias("_k")), F.col("o_orderkey") == F.col("_k"), "left_semi")
-    out = aggregates.composition_check(lines.union(totals), ["o_orderkey"], F.lit(False))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.sum(money("l_extendedprice")).cast("double").alias("of_lines"))
+    # Orders and sums meet once, each pair gives both of its rows, and the check groups by the key that they lie by.
+    met = lines.join(t.orders.select("o_orderkey", money("o_totalprice").cast("double").alias("price"), "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    row = lambda part, total, value, day: F.struct(part.alias("component_id"), total.alias("is_total"), value.alias("value"), day.alias("approved_at"))
+    component = row(F.lit(1), F.lit(False), F.col("of_lines"), F.lit(None).cast("timestamp_ntz"))
+    total = row(F.lit(None).cast("int"), F.lit(True), F.col("price"), F.col("o_orderdate").cast("timestamp_ntz"))
+    parts = met.select("o_orderkey", F.inline(F.array(component, total)))
+    out = aggregates.composition_check(parts, ["o_orderkey"], F.lit(False))
     return out.withColumns({"actual": F.round("actual", 2), "difference": F.round("difference", 2)})
 
 
@@ -871,12 +874,15 @@ def stream_windows(t):
     events = standing.read_stream(spark, f"{t.folder}/events.parque[t]", schema).withColumn("at", F.col("ts").cast("timestamp"))
     counted = standing.windowed(events, "at", "1 hour", ["user_id"], "10 minutes", F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
-    def batch(df: DataFrame, _: int) -> None:
-        df.write.mode("overwrite").parquet(f"{run}/out")
+    def batch(df: DataFrame, number: int) -> None:
+        # A repeated batch writes its own folder anew.
+        df.write.mode("overwrite").parquet(f"{run}/out/batch={number}")
 
-    stream = counted.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
+    # Only windows that a batch changes are written; the state drops those past the watermark.
+    stream = counted.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()
     stream.awaitTermination()
-    out = spark.read.parquet(f"{run}/out")
+    last = F.max_by(F.struct("n", "total"), "batch").alias("last")
+    out = spark.read.parquet(f"{run}/out").groupBy("user_id", "window_start").agg(last).select("user_id", "window_start", "last.*")
     return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", F.col("total").cast("decimal(38,4)").alias("total"))
 
 

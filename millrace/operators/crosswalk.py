@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stashed
+
 ADDITIVE = ("additive", "semi_additive")
 
 
@@ -23,13 +25,18 @@ def overlaps(sources: DataFrame, targets: DataFrame, populations: DataFrame) ->
 
 
 def weights(pairs: DataFrame, digits: int = 8) -> DataFrame:
-    """Each pair's share of its source's and of its target's total, over the pairs that there are."""
-
-    def share(key: str) -> Column:
-        whole = F.sum("overlap_population").over(Window.partitionBy(key))
-        return F.when(whole > 0, F.round(F.col("overlap_population").cast("double") / whole, digits)).otherwise(0.0)
+    """Each pair's share of its source's and of its target's total, over the pairs that there are.
 
-    return pairs.withColumn("weight_source_to_target", share("source_id")).withColumn("weight_target_to_source", share("target_id"))
+    Pairs are written once and read three times. Totals are sums with partial ones before the shuffle, a row for each
+    parent, so a parent with a third of all pairs is no hot group, and the joins with them may be split.
+    """
+    known = stashed(pairs, "pairs")
+    out = known
+    for key, name in (("source_id", "weight_source_to_target"), ("target_id", "weight_target_to_source")):
+        whole = known.groupBy(F.col(key).alias("_key")).agg(F.sum("overlap_population").alias("_whole"))
+        share = F.when(F.col("_whole") > 0, F.round(F.col("overlap_population").cast("double") / F.col("_whole"), digits)).otherwise(0.0)
+        out = out.join(whole, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, share).drop("_key", "_whole")
+    return out
 
 
 def weight_checks(entries: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.merge import numbered
+
 
 def plain_header(name: str) -> str:
     """Letters and digits of a header, without accents, in lower case."""
@@ -41,10 +43,10 @@ def require_numeric(df: DataFrame, ident: str, line_no: str) -> DataFrame:
 
 def page_faults(pages: DataFrame) -> DataFrame:
     """(fault, n) for records (page, total, id) fetched by page: totals that change, ids that don't rise, a count
-    that isn't the total. No row: all is well."""
-    order = Window.orderBy("page", "position")  # the pages of one answer
-    marked = pages.withColumn("_before", F.lag("id").over(order))
-    disorder = marked.where(F.col("id") <= F.col("_before")).agg(F.lit("disorder").alias("fault"), F.count("*").alias("n"))
+    that isn't the total. No row: all is well. Records are numbered by ranges of their place, and neighbours meet in a join."""
+    placed = numbered(pages.select("page", "position", "id"), ["page", "position", "id"], name="_place")
+    before = placed.select((F.col("_place") + 1).alias("_place"), F.col("id").alias("_before"))
+    disorder = placed.join(before, "_place").where(F.col("id") <= F.col("_before")).agg(F.lit("disorder").alias("fault"), F.count("*").alias("n"))
     totals = pages.agg(F.lit("totals").alias("fault"), (F.countDistinct("total") - 1).alias("n"))
     count = pages.agg(F.lit("count").alias("fault"), F.abs(F.count("*") - F.max("total")).alias("n"))
     return disorder.union(totals).union(count).where("n > 0")

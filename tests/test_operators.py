@@ -21,6 +21,13 @@ def test_crosswalk_weights(spark, rows):
     assert [r.target_id for r in crosswalk.lookup(crosswalk.weights(crosswalk.overlaps(sources, targets, pops)), "M5V").collect()] == ["001", "002"]
 
 
+def test_crosswalk_weights_of_null_and_empty_parents(spark):
+    df = spark.createDataFrame([(None, 1, 3), (None, 2, 1), (5, 1, 0), (5, None, 0), (6, 2, None), (7, 2, 3)], "source_id int, target_id int, overlap_population long")
+    got = {(r[0], r[1]): (r[3], r[4]) for r in crosswalk.weights(df).collect()}
+    want = {(None, 1): (0.75, 1.0), (None, 2): (0.25, 0.25), (5, 1): (0.0, 0.0), (5, None): (0.0, 0.0), (6, 2): (0.0, None), (7, 2): (1.0, 0.75)}
+    assert got == want
+
+
 def test_pairs_without_population_go(spark):
     side = spark.createDataFrame([(1, "a")], "child_id int, parent_id string")
     assert crosswalk.overlaps(side, side, spark.createDataFrame([(1, None)], "child_id int, population int")).count() == 0

@@ -105,6 +105,11 @@ def test_checks(spark):
     assert got[0] == "a" and got[1].startswith("b-") and got[2] == f"{got[1]}-2" and len(got[3]) == 16
     pages = spark.createDataFrame([(1, 0, 3, 1), (1, 1, 3, 2), (2, 0, 3, 2)], "page int, position int, total int, id int")
     assert {r.fault for r in checks.page_faults(pages).collect()} == {"disorder"}
+    many = spark.range(0, 3000, 1, 7).select(F.floor(F.col("id") / 100).cast("int").alias("page"), (F.col("id") % 100).cast("int").alias("position"), F.lit(3000).alias("total"), F.col("id").alias("id"))
+    assert checks.page_faults(many).count() == 0
+    swapped = many.withColumn("id", F.when(F.col("id") == 1500, 1600).otherwise(F.col("id")))
+    assert [(r.fault, r.n) for r in checks.page_faults(swapped).collect()] == [("disorder", 1)]
+    assert [(r.fault, r.n) for r in checks.page_faults(many.where("id <> 7")).collect()] == [("count", 1)]
     with pytest.raises(Exception, match="line 2"):
         checks.require_numeric(df.withColumn("id", F.when(F.col("line") == 2, "x").otherwise("1")), "id", "line").collect()
     roster = spark.createDataFrame([([("M", None)], [(1, [("C", "active")])], [("TDSB", [(2, [("T", None)])])], ["C"])],
