@@ -5,12 +5,15 @@ others as named ``user``s; the loss mask covers what the assistant says, with it
 system messages in every rendering and no participants. DataFrame operations only.
 
 The result has a row for each turn of each rendering, with its text and its place in the rendering's
-characters, so no task or row ever holds a whole conversation: offsets are sums over blocks of turns, then
+characters, so no task or row holds a whole conversation whose turns are numbered: offsets are sums over blocks of turns, then
 within a block. Concatenating ``rendered`` by ``start`` gives the whole.
 
 Defined results: a null role speaks as ``unknown``; a null text is empty; a null turn comes last; equal turns
 are ordered by role, then text; repeated rows are turns of their own; turns with a null conv_id form one
-conversation; a conversation of system turns only has no rendering; an empty table gives an empty result.
+conversation; a conversation of system turns only has no rendering; an empty table gives an empty result. Nothing
+is escaped: marks and line breaks within a text or name stay as they are, so a trainer that reads marks must take turns
+from ``start``, ``length`` and the mask's span, which such texts don't move, and not by parsing ``rendered``. Turns that are null or equal lie in
+one block, so a conversation of only such turns, or all those with a null conv_id, has one task sort each of its perspectives.
 """
 
 from __future__ import annotations
