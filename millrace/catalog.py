@@ -867,7 +867,8 @@ select user_id, time_bucket(interval 1 hour, ts) as window_start, count(*) as n,
 def stream_windows(t):
     """Hourly windows by a stream over the files of ``events``, run until it has read them all.
 
-    The path is a pattern, so that the table may be one file or a folder of them.
+    The path is a pattern, so that the table may be one file or a folder of them. No number of files a batch is set, so
+    the first batch reads all that there are and no row of theirs is late.
     """
     spark, run = t.spark, f"{work_dir(t.spark)}/stream-{uuid.uuid4().hex}"
     schema = t.events.schema
