@@ -113,15 +113,21 @@ def covered(windows: DataFrame, parts: DataFrame, keys: list[str], bucket: float
     return out.withColumn("covered", fine).drop("_hole", "_last")
 
 
-def passages(cues: DataFrame, track: str, start: str, text: str, duration: Column, seconds: int = 30) -> DataFrame:
+def caption_lines(text: str) -> Column:
+    """Lines of a caption's text that aren't blank, without the white space around them."""
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\\h", " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
+
+
+def passages(cues: DataFrame, track: str, start: str, text: str, duration: Column, seconds: int = 30, lines: Column | None = None, blank: str = r"\s+") -> DataFrame:
     """Search text of roll-up captions, by window of ``seconds``.
 
     Only the lines of a cue beyond the longest end of the previous cue's lines that it begins with are new. A
-    window's new lines are joined in the order of cues and clipped to ``duration``. Cues need ``cue``, their number.
+    window's new lines are joined in the order of cues and clipped to ``duration``. Cues need ``cue``, their number; one
+    without text adds nothing. ``lines`` are a cue's lines where they aren't those of ``text``; runs of ``blank`` become one space.
     """
-    w = Window.partitionBy(track).orderBy(start, "cue")
-    lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"\\h", " "), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), lambda x: x != "")
-    seen = cues.withColumn("_lines", lines).withColumn("_before", F.coalesce(F.lag("_lines").over(w), F.array().cast("array<string>")))
+    w = Window.partitionBy(track).orderBy(F.col(start).asc_nulls_last(), F.col("cue").asc_nulls_last())
+    lines = caption_lines(text) if lines is None else lines
+    seen = cues.withColumn("_lines", F.coalesce(lines, F.array().cast("array<string>"))).withColumn("_before", F.coalesce(F.lag("_lines").over(w), F.array().cast("array<string>")))
     most = F.least(F.size("_lines"), F.size("_before"))
     same = lambda n: F.slice("_before", F.size("_before") - n + 1, n) == F.slice("_lines", F.lit(1), n)
     overlap = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), most), lambda n: (n == 0) | same(F.greatest(n, F.lit(1))))), F.lit(0))
@@ -129,9 +135,9 @@ def passages(cues: DataFrame, track: str, start: str, text: str, duration: Colum
     window = F.floor(F.col(start) / seconds).cast("bigint")
     rows = seen.select(track, window.alias("window"), F.col(start).alias("_start"), "cue", fresh.alias("_fresh"), duration.alias("_duration"))
     joined = rows.groupBy(track, "window").agg(F.array_sort(F.collect_list(F.struct("_start", "cue", "_fresh"))).alias("_all"), F.max("_duration").alias("_duration"))
-    body = F.trim(F.regexp_replace(F.array_join(F.flatten(F.transform("_all", lambda x: x["_fresh"])), " "), r"\s+", " "))
+    body = F.trim(F.regexp_replace(F.array_join(F.flatten(F.transform("_all", lambda x: x["_fresh"])), " "), blank, " "))
     out = joined.select(track, (F.col("window") * seconds).cast("double").alias("start_seconds"), F.least((F.col("window") + 1) * seconds, F.col("_duration")).cast("double").alias("end_seconds"), body.alias("text"))
-    return out.where("text <> '' and end_seconds > start_seconds")
+    return out.where("text <> '' and not coalesce(end_seconds <= start_seconds, false)")
 
 
 def tumbling(events: DataFrame, ts: str, size: str, keys: list[str], *aggregates: Column) -> DataFrame:
