@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,22 +36,79 @@ def resolve_names(names: DataFrame, aliases: DataFrame, name: str = "name") -> D
     )
 
 
+_LEVELS = ((85, 2), (70, 2), (50, 1))  # hundredths of the index, and how many rare trigrams pairs of that index surely share
+
+
+def packed_trigrams(c: Column) -> Column:
+    """The distinct trigrams of a lower-cased text in order, each as one number: its three characters at 21 bits."""
+    at = lambda g, i: F.ascii(F.substring(g, i, 1)).cast("bigint")
+    return F.array_sort(F.transform(trigrams(F.lower(c)), lambda g: at(g, 1) * (1 << 42) + at(g, 2) * (1 << 21) + at(g, 3)))
+
+
+def _rare_keys(grams: Column, n: Column, least: int, share: int) -> Column:
+    """Keys of which two sets have one in common if their Jaccard index is ``least`` hundredths or more.
+
+    Such sets share at least that part of the larger, so of all but the last of each, rarest first, they share ``share``. A set of fewer is equal to the other
+    and its own key.
+    """
+    rarest = F.least(n, n - F.ceil(n * least / 100) + share).cast("int")
+    if share == 1:
+        return F.transform(F.slice(grams, F.lit(1), rarest), lambda g: F.array(g))
+    first = F.sequence(F.lit(1), F.greatest(rarest - 1, F.lit(1)))
+    pairs = F.flatten(F.transform(first, lambda i: F.transform(F.slice(grams, i + 1, F.greatest(rarest - i, F.lit(0))), lambda g: F.array(F.get(grams, i - 1), g))))
+    return F.when(n < 2, F.array(grams)).otherwise(pairs)
+
+
 def similar(names: DataFrame, entities: DataFrame, name: str = "name", other: str = "canonical_name", other_id: str = "entity_id", top: int = 5) -> DataFrame:
     """For each name the ``top`` entities that share a trigram, by Jaccard index, ties to the smaller id.
 
-    An equi-join on trigrams counts the shared ones, so names meet only entities that share any, and the sum is
-    combined before the shuffle. Texts are compared in lower case; equal ones score 1. The names are those that
-    ``resolve_names`` left open: each is asked against all entities, so the work is their product where texts are alike.
+    Texts are compared in lower case, and those with the same trigrams are one set: it is looked up once, with its first ``top`` entities. Sets are
+    asked for others of an index of 0.85 or more, which share two of their rarest trigrams, so they meet by these; a set that finds ``top`` entities so is done, the
+    others go on to a lower index, and what is left after 0.5 counts the trigrams it shares with all. No pair within a level is left out, so
+    the result is that of all pairs. Work follows the number of names where most have close neighbours; names without any meet all entities that share a trigram.
     """
-    a = names.select(F.col(name).alias("_name")).where("_name is not null").distinct()
-    a = a.withColumn("_grams", trigrams(F.lower("_name"))).withColumn("_n", F.size("_grams"))
-    b = entities.select(F.col(other_id).alias("_id"), F.col(other).alias("_other")).withColumn("_grams", trigrams(F.lower("_other"))).withColumn("_m", F.size("_grams"))
-    left = a.select("_name", "_n", F.explode("_grams").alias("_gram"))
-    right = b.select("_id", "_other", "_m", F.explode("_grams").alias("_gram"))
-    shared = left.join(right, "_gram").groupBy("_name", "_n", "_id", "_other", "_m").agg(F.count("*").alias("_both"))
-    score = F.when(F.lower("_name") == F.lower("_other"), 1.0).otherwise(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both")))
-    ranked = shared.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("_name").orderBy(F.desc("score"), "_id")))
-    return ranked.where(F.col("rank") <= top).select(F.col("_name").alias(name), "rank", F.col("_id").alias(other_id), F.col("_other").alias(other), "score")
+    asked = names.select(F.col(name).alias("_name")).where("_name is not null").distinct().withColumn("_set", packed_trigrams(F.col("_name"))).where("size(_set) > 0")
+    known = entities.select(F.col(other_id).alias("_id"), F.col(other).alias("_other")).withColumn("_set", packed_trigrams(F.col("_other"))).where("size(_set) > 0")
+    order = F.row_number().over(Window.partitionBy("_set").orderBy("_id", "_other"))
+    members = known.withColumn("_r", order).where(F.col("_r") <= top).drop("_r")
+    held = members.groupBy("_set").agg(F.count("*").alias("_held"), F.min("_id").alias("_first"))
+    sets = asked.select("_set").distinct().withColumn("_asked", F.lit(True)).join(held, "_set", "full").withColumn("_sid", F.monotonically_increasing_id())
+    sets = stashed(sets, "sets")
+    each = sets.select("_sid", F.explode("_set").alias("_gram"))
+    often = each.groupBy("_gram").agg(F.count("*").alias("_often"))
+    rare = each.join(often, "_gram").groupBy("_sid").agg(F.transform(F.array_sort(F.collect_list(F.struct("_often", "_gram"))), lambda g: g["_gram"]).alias("_grams"))
+    ready = stashed(sets.drop("_set").join(rare, "_sid").withColumn("_n", F.size("_grams")), "rare-sets")
+    here = ready.where("_held is not null").select(F.col("_sid").alias("_to"), F.col("_grams").alias("_theirs"), F.col("_n").alias("_m"), "_held", "_first")
+    open_, found = ready.where("_asked").select("_sid", "_grams", "_n"), []
+    close = F.row_number().over(Window.partitionBy("_sid").orderBy(F.desc("_score"), "_first"))
+    for least, share in (*_LEVELS, (0, 0)):
+        if least:
+            left = open_.withColumn("_key", F.explode(_rare_keys(F.col("_grams"), F.col("_n"), least, share)))
+            right = here.withColumn("_key", F.explode(_rare_keys(F.col("_theirs"), F.col("_m"), least, share)))
+            may = left.join(right, "_key").where((F.col("_n") * 100 >= F.col("_m") * least) & (F.col("_m") * 100 >= F.col("_n") * least))
+            met = may.withColumn("_both", F.size(F.array_intersect("_grams", "_theirs"))).where(F.col("_both") * 100 >= (F.col("_n") + F.col("_m") - F.col("_both")) * least)
+            met = met.select("_sid", "_n", "_to", "_m", "_held", "_first", "_both").distinct()
+        else:
+            left, right = open_.select("_sid", "_n", F.explode("_grams").alias("_gram")), here.select("_to", "_m", "_held", "_first", F.explode("_theirs").alias("_gram"))
+            met = left.join(right, "_gram").groupBy("_sid", "_n", "_to", "_m", "_held", "_first").agg(F.count("*").alias("_both"))
+        # The first ``top`` sets have the first ``top`` entities: each has one at least, and none of a later set comes before it.
+        met = met.withColumn("_score", F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).withColumn("_r", close).where(F.col("_r") <= top)
+        met = met.select("_sid", "_to", "_score", "_held")
+        if least:
+            met = stashed(met, "similar-sets")
+            done = met.groupBy("_sid").agg(F.sum("_held").alias("_n")).where(F.col("_n") >= top).select("_sid")
+            found.append(met.join(done, "_sid", "left_semi"))
+            open_ = stashed(open_.join(done, "_sid", "left_anti"), "open-sets")
+            if open_.isEmpty():
+                break
+        else:
+            found.append(met)
+    pairs = reduce(DataFrame.unionByName, found)
+    belongs = sets.select(F.col("_sid").alias("_to"), "_set").join(members, "_set").select("_to", "_id", "_other")
+    rank = F.row_number().over(Window.partitionBy("_sid").orderBy(F.desc("_score"), "_id", "_other"))
+    best = pairs.join(belongs, "_to").withColumn("rank", rank).where(F.col("rank") <= top)
+    out = asked.join(sets.select("_set", "_sid"), "_set").join(best, "_sid")
+    return out.select(F.col("_name").alias(name), "rank", F.col("_id").alias(other_id), F.col("_other").alias(other), F.col("_score").alias("score"))
 
 
 def judged(candidates: DataFrame, name: str = "name", judge: Column | None = None) -> DataFrame:
