@@ -10,32 +10,52 @@ from ..session import stashed
 ADDITIVE = ("additive", "semi_additive")
 
 
+TASK_PAIRS = 1_000_000  # pairs that a task holds on average
+
+
 def overlaps(sources: DataFrame, targets: DataFrame, populations: DataFrame) -> DataFrame:
     """Population and number of areas that each pair of parents shares; pairs without population go.
 
-    ``sources`` and ``targets`` have child_id and parent_id, ``populations`` child_id and population. Children are
-    joined with their populations first, so the pair join carries two ids and a number.
+    ``sources`` and ``targets`` have child_id and parent_id, ``populations`` child_id and population. An area that is listed twice
+    counts once, with its population each time. Pairs are many more than the rows they come from, so they are counted first, and
+    dealt to a partition for each ``TASK_PAIRS``: sizes of shuffled rows, by which Spark would deal them, don't tell. Each side
+    lists a parent of a child once, with how often, so a pair comes once a child and isn't made distinct.
     """
-    left = sources.select("child_id", F.col("parent_id").alias("source_id")).join(populations.select("child_id", "population"), "child_id")
-    pairs = left.join(targets.select("child_id", F.col("parent_id").alias("target_id")), "child_id")
-    # Per area first: then an area that is listed twice still counts once, and the second count is no distinct one.
-    areas = pairs.groupBy("source_id", "target_id", "child_id").agg(F.sum(F.coalesce("population", F.lit(0))).alias("population"))
-    out = areas.groupBy("source_id", "target_id").agg(F.sum("population").alias("overlap_population"), F.count("*").alias("da_count"))
+    held = lambda df, *of: df.select("child_id", *of).where("child_id is not null")
+    both = held(sources, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(held(targets, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    met = both.groupBy("child_id").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).agg(F.sum(F.col("_a") * F.col("_b"))).first()[0]
+    parts = _parts(sources, met or 0)
+    side = lambda df, c, n: held(df, F.col("parent_id").alias(c)).repartition(parts, "child_id").groupBy("child_id", c).agg(F.count("*").alias(n))
+    people = held(populations, "population").repartition(parts, "child_id").groupBy("child_id").agg(F.sum(F.coalesce("population", F.lit(0))).alias("_people"))
+    areas = side(sources, "source_id", "_n").join(people, "child_id").join(side(targets, "target_id", "_m"), "child_id")
+    times = F.col("_n") * F.col("_m")
+    pairs = areas.select("source_id", "target_id", F.when(times == 1, F.col("_people")).otherwise(F.col("_people") * times).alias("_people")).repartition(parts, "source_id", "target_id")
+    out = pairs.groupBy("source_id", "target_id").agg(F.sum("_people").alias("overlap_population"), F.count("*").alias("da_count"))
     return out.where("overlap_population > 0")
 
 
+def _parts(df: DataFrame, pairs: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // TASK_PAIRS))
+
+
 def weights(pairs: DataFrame, digits: int = 8) -> DataFrame:
     """Each pair's share of its source's and of its target's total, over the pairs that there are.
 
     Pairs are written once and read three times. Totals are sums with partial ones before the shuffle, a row for each
-    parent, so a parent with a third of all pairs is no hot group, and the joins with them may be split.
+    parent. Pairs meet them in a partition for each ``TASK_PAIRS``; those of a parent with more, of which there can be no more than partitions,
+    are dealt to several by their other parent, so a parent with a third of all pairs is no hot group.
     """
     known = stashed(pairs, "pairs")
-    out = known
-    for key, name in (("source_id", "weight_source_to_target"), ("target_id", "weight_target_to_source")):
-        whole = known.groupBy(F.col(key).alias("_key")).agg(F.sum("overlap_population").alias("_whole"))
+    out, parts = known, _parts(known, known.count())
+    for key, other, name in (("source_id", "target_id", "weight_source_to_target"), ("target_id", "source_id", "weight_target_to_source")):
+        whole = known.groupBy(F.col(key).alias("_key")).agg(F.sum("overlap_population").alias("_whole"), F.ceil(F.count("*") / TASK_PAIRS).cast("int").alias("_deals"))
+        whole = stashed(whole, "totals")
+        large = whole.where("_deals > 1").select(F.col("_key").alias("_large"), "_deals")
+        dealt = out.join(F.broadcast(large), F.col(key).eqNullSafe(F.col("_large")), "left")
+        dealt = dealt.withColumn("_deal", F.pmod(F.xxhash64(other), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_large", "_deals").repartition(parts, key, "_deal")
+        whole = whole.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals").repartition(parts, "_key", "_turn")
         share = F.when(F.col("_whole") > 0, F.round(F.col("overlap_population").cast("double") / F.col("_whole"), digits)).otherwise(0.0)
-        out = out.join(whole, F.col(key).eqNullSafe(F.col("_key"))).withColumn(name, share).drop("_key", "_whole")
+        out = dealt.join(whole, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_deal") == F.col("_turn"))).withColumn(name, share).drop("_key", "_whole", "_deal", "_turn")
     return out
 
 
