@@ -20,9 +20,11 @@ of repeated rows are packed like others; an empty table gives an empty result.
 from __future__ import annotations
 
 import gc
+import hashlib
 import string
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -149,12 +151,14 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
     """id, piece, start, length and ids_crc32 for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.collect()
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         gc.freeze()  # else every collection walks the remembered words
         if path not in _known:
             _known[path] = ChunkIds(path)
         chunks = _known[path]
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch, words in worded(batches, "text", most=4_000_000):
+        for batch, words in worded(batches, "text", most=2_000_000):
             ids, ends = chunks.encode(words)
             raw = memoryview(ids.tobytes())
             n = np.diff(ends, prepend=0) + 1
@@ -267,7 +271,7 @@ def first_fillings(counts: dict[int, int], sizes: np.ndarray, room: int, limit:
     return [fill for fill, _ in sorted(best.items(), key=lambda x: (x[1], len(x[0]), [-s for s in x[0]]))]
 
 
-def all_fillings(counts: dict[int, int], sizes: list[int], room: int) -> Iterator[tuple[int, ...]]:
+def all_fillings(counts: dict[int, int] | array, sizes: list[int] | array, room: int) -> Iterator[tuple[int, ...]]:
     """Every way to fill ``room`` in which no smaller piece has room left over, largest pieces first; sizes fall."""
 
     def deeper(space: int, chosen: tuple[int, ...], at: int) -> Iterator[tuple[int, ...]]:
@@ -391,12 +395,20 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_
             if fewest == bound:
                 break
 
+    def beside(size: int) -> tuple[dict[int, int], np.ndarray]:
+        """What is left around a piece of ``size``, and the lengths of it that fit."""
+        around = left | {size: left[size] - 1}
+        return around, np.array(sorted(s for s, n in around.items() if n and s <= capacity - size), np.int64)
+
     def ways() -> Iterator[tuple[tuple[int, ...], int] | None]:
-        """(filling, how often) around the largest piece, None for each that is dominated."""
+        """(filling, how often) around the largest piece, None for each that is dominated.
+
+        A path has thousands of these at once. What is left is again as it was when one goes on, so each makes ``beside`` anew
+        instead of holding it.
+        """
         size = max(left)
-        around = left | {size: left[size] - 1}
         room = capacity - size
-        inside = np.array(sorted(s for s, n in around.items() if n and s <= room), np.int64)
+        around, inside = beside(size)
         if not len(inside):
             yield (size,), left[size]
             return
@@ -409,12 +421,26 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_
         seen = set()
         repeated = []
         guesses = first_fillings(around, inside, room, visits)
-        for fill in chain(guesses, all_fillings(around, inside[::-1].tolist(), room)):
+
+        def others() -> Iterator[tuple[int, ...]]:
+            around, inside = beside(size)
+            number = array("q", bytes(8 * (room + 1)))
+            for s in inside.tolist():
+                number[s] = around[s]
+            sizes = array("i", inside[::-1].tolist())
+            del around, inside
+            yield from all_fillings(number, sizes, room)
+
+        for fill in chain(guesses, others()):
             if fill in seen:
                 continue
             if len(seen) <= len(guesses):
                 seen.add(fill)
-            if dominated(fill, around, inside, room):
+            if around is None:
+                around, inside = beside(size)
+            worse = dominated(fill, around, inside, room)
+            around = inside = None
+            if worse:
                 yield None
                 continue
             whole = (size, *fill)
@@ -436,8 +462,11 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_
                 left.pop(s, None)
 
     def reached(met: dict, used: int, may: int, most: int = 100_000) -> bool:
-        """Whether what is left wasn't reached before as well or better."""
-        key = frozenset(left.items())
+        """Whether what is left wasn't reached before as well or better. A state is known by a digest of its counts: the
+        counts themselves, thousands a state, would fill the driver."""
+        table = np.zeros(capacity + 1, np.int64)
+        table[list(left)] = list(left.values())
+        key = hashlib.blake2b(table, digest_size=32).digest()
         was = met.get(key)
         if was is not None and was[0] <= used and was[1] >= may:
             return False
@@ -452,7 +481,7 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_
         path: list[tuple[tuple[int, ...], int]] = []
         levels = [[ways(), 0, departures]]  # options, how many were taken, departures left
         used = waste = 0
-        met: dict[frozenset, tuple[int, int]] = {}  # what was left: with how many sequences, and departures left
+        met: dict[bytes, tuple[int, int]] = {}  # what was left: with how many sequences, and departures left
         while levels:
             options, tried, may = levels[-1]
             option = next(options, None) if (steps is None or taken < steps) and fewest > bound else None
