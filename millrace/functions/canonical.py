@@ -5,8 +5,7 @@ text. ``canonical_json`` takes JSON of any shape as text, by way of VARIANT: nam
 form whether they were written 100, 100.0 or 1e2. Both are column expressions.
 
 Defined results: null columns are null in an object and a null text gives null; text that is no JSON, and an object that names
-something twice, gives null; numbers beyond 38 digits stay as their parser has them; deeper than ``depth`` levels names are in order
-still but 100.0 and 1e2 aren't one with 100.
+something twice, gives null; numbers beyond 38 digits stay as their parser has them.
 """
 
 from __future__ import annotations
@@ -54,28 +53,21 @@ def canonical(c: Column, kind: T.DataType) -> Column:
     return F.coalesce(text, null)
 
 
-def _normal(v: str, depth: int, level: int) -> str:
-    """SQL of the normal text of a variant: objects and arrays level by level, then scalars."""
-    kind, k, x = f"schema_of_variant({v})", f"k{level}", f"x{level}"
-    number = f"try_variant_get({v}, '$', 'double')"
-    scalar = (
-        f"case when {kind} = 'DOUBLE' and {number} = floor({number}) and abs({number}) < 1e15 then cast(cast({number} as bigint) as string)"
-        f" when {kind} like 'DECIMAL%' and variant_get({v}, '$', 'string') rlike '^-?[0-9]+$' then variant_get({v}, '$', 'string') else to_json({v}) end"
-    )
-    if not depth:
-        return scalar
-    held = f"try_variant_get({v}, '$', 'map<string,variant>')"
-    name = "substring(to_json(array({0})), 2, length(to_json(array({0}))) - 2)".format(k)
-    each = _normal(f"element_at({held}, {k})", depth - 1, level + 1)
-    objects = f"concat('{{', array_join(transform(array_sort(map_keys({held})), {k} -> concat({name}, ':', coalesce({each}, 'null'))), ','), '}}')"
-    items = _normal(x, depth - 1, level + 1)
-    arrays = f"concat('[', array_join(transform(try_variant_get({v}, '$', 'array<variant>'), {x} -> coalesce({items}, 'null')), ','), ']')"
-    return f"case when {kind} like 'OBJECT%' then {objects} when {kind} like 'ARRAY%' then {arrays} else {scalar} end"
-
-
-def canonical_json(column: str, depth: int = 3) -> Column:
-    """The normal text of JSON of any shape in a column of texts."""
-    return F.expr(f"get(transform(array(try_parse_json(`{column}`)), v -> {_normal('v', depth, 0)}), 0)")
+_TOKENS = r'"(?:[^"\\]|\\.)*+"|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?|[^"\d-]+'  # strings, numbers, what is between
+
+
+def canonical_json(column: str) -> Column:
+    """The normal text of JSON of any shape in a column of texts.
+
+    A VARIANT as text has its names in order and no white space, so only its numbers are left: 100.0 becomes 100 by one pattern, which steps over strings;
+    only where a number has an exponent or may be -0.0 are all numbers looked at one by one.
+    """
+    text = F.to_json(F.try_parse_json(F.col(column)))
+    whole = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*+")|(-?\d+)\.0(?=[,\]}]|$)', "$1$2")
+    number = lambda x: x.try_cast("double")
+    one = lambda x: F.when(~x.startswith('"') & x.rlike(r"^-?\d+(\.0|.*[eE].*)$") & (number(x) == F.floor(number(x))) & (F.abs(number(x)) < 1e15), number(x).cast("bigint").cast("string")).otherwise(F.regexp_replace(x, r"^(-?\d+)\.0$", "$1"))
+    each = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), one), "")
+    return F.when(text.rlike(r"\dE|\de|-0\.0"), each).when(text.contains(".0"), whole).otherwise(text)
 
 
 def digest(text: Column) -> Column:
