@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,23 +201,41 @@ class _Page(HTMLParser):
                 self.fields.setdefault(ident, []).append(data)
 
 
+def _pieces(batch: pa.RecordBatch, column: str, rows: int = 256, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows and about ``most`` bytes of ``column``; a larger row is one by itself."""
+    first = held = 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > first and (i - first == rows or held + size > most):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
 def page_text(pages: DataFrame, html: str = "html", ids: tuple[str, ...] = ()) -> DataFrame:
-    """Columns of ``pages`` but the markup, with title, text and a map of the text of the elements of ``ids``."""
+    """Columns of ``pages`` but the markup, with title, text and a map of the text of the elements of ``ids``.
+
+    A worker holds the texts of one slice at a time beside the batch that it is given, so its memory doesn't grow with the table.
+    """
     keep = [c for c in pages.columns if c != html]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for markup in pdf[html]:
-                p = _Page(frozenset(ids))
-                p.feed(markup or "")
-                p.close()
-                rows.append((" ".join("".join(p.title).split()), " ".join(" ".join(p.text).split()), {k: " ".join(" ".join(v).split()) for k, v in p.fields.items()}))
-            title, text, fields = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pdf[keep].assign(title=list(title), text=list(text), fields=list(fields))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in _pieces(whole, html):
+                titles, texts, fields = [], [], []
+                for markup in batch.column(html):
+                    p = _Page(frozenset(ids))
+                    p.feed(markup.as_py() or "")
+                    p.close()
+                    titles.append(" ".join("".join(p.title).split()))
+                    texts.append(" ".join(" ".join(p.text).split()))
+                    fields.append([(k, " ".join(" ".join(v).split())) for k, v in p.fields.items()])
+                found = [pa.array(titles, pa.string()), pa.array(texts, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], [*keep, "title", "text", "fields"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes if c != html)
-    return pages.mapInPandas(run, f"{kinds}, title string, text string, fields map<string,string>")
+    return pages.mapInArrow(run, f"{kinds}, title string, text string, fields map<string,string>")
 
 
 def feed_entries(df: DataFrame, body: str = "body") -> DataFrame:
