@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,9 +159,9 @@ def highlight_batch(passages: DataFrame, queries: dict[str, list[str]], text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = []
+            marks, sizes = [np.zeros(0, bool)], []
             for words in batch.column(2).to_pylist():
-                found: list[list[int]] = [[] for _ in range(count)]
+                found = np.zeros((count, len(words or ())), bool)
                 if words and patterns:
                     at = [k for k, w in enumerate(words) if w is not None]
                     joined, ends = "".join(f"\0{words[k]}\1" for k in at), {}
@@ -171,13 +172,16 @@ def highlight_batch(passages: DataFrame, queries: dict[str, list[str]], text: st
                     for end, (n, of) in automaton.iter(joined):
                         last = ends[end]
                         for number in of:
-                            found[number] += [at[p] for p in range(last - n + 1, last + 1)]
-                marks.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.list_(pa.list_(pa.int32())))], ["row", "pieces", "marks"])
-
-    marked = rows.mapInArrow(run, T.StructType([rows.schema["row"], rows.schema["pieces"], T.StructField("marks", T.ArrayType(T.ArrayType(T.IntegerType())))]))
+                            found[number, [at[p] for p in range(last - n + 1, last + 1)]] = True
+                marks.append(found.ravel())
+                sizes += [found.shape[1]] * count
+            flags = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(marks)))
+            each = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * count, pa.int32()), flags)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), each], ["row", "pieces", "marks"])
+
+    marked = rows.mapInArrow(run, T.StructType([rows.schema["row"], rows.schema["pieces"], T.StructField("marks", T.ArrayType(T.ArrayType(T.BooleanType())))]))
     each = marked.select("row", "pieces", F.posexplode("marks").alias("_k", "_at"))
-    segments = F.transform("pieces", lambda p, i: F.struct(p.alias("text"), F.array_contains("_at", i).alias("match")))
+    segments = F.transform("pieces", lambda p, i: F.struct(p.alias("text"), F.get("_at", i).alias("match")))
     names = F.array(*(F.lit(q) for q in queries))
     return each.select("row.*", (F.col("_k") + 1).alias("position"), F.get(names, F.col("_k")).alias("query"), segments.alias("segments"))
 
