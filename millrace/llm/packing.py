@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, spans, stash, worded
+from ._common import Words, fresh, in_small_batches, remembered, spans, stash, worded
 
 
 # --- tokens -----------------------------------------------------------------------------------
@@ -144,21 +144,17 @@ class ChunkIds:
         return at
 
 
-_known: dict[str, ChunkIds] = {}
-
-
 def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length and ids_crc32 for each piece of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.collect()
-        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
+        fresh(path)
         gc.freeze()  # else every collection walks the remembered words
-        if path not in _known:
-            _known[path] = ChunkIds(path)
-        chunks = _known[path]
+        if path not in remembered:
+            remembered[path] = ChunkIds(path)
+        chunks = remembered[path]
         end = np.uint32(end_id).astype("<u4").tobytes()
-        for batch, words in worded(batches, "text", most=2_000_000):
+        for batch, words in worded(batches, "text", most=2_000_000, keep=path):
             ids, ends = chunks.encode(words)
             raw = memoryview(ids.tobytes())
             n = np.diff(ends, prepend=0) + 1
@@ -176,7 +172,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: st
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, piece int, start bigint, length int, ids_crc32 bigint")
+    return in_small_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, piece int, start bigint, length int, ids_crc32 bigint")
 
 
 # --- the search -------------------------------------------------------------------------------

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, join_roots, slices, stash
+from ._common import connected_components, in_small_batches, join_roots, slices, stash
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -61,7 +61,7 @@ def with_fingerprints(docs: DataFrame, id_col: str | Column, text_col: str, shin
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     rows = docs.select((F.col(id_col) if isinstance(id_col, str) else id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp bigint")
+    return in_small_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, fp bigint")
 
 
 def linked_in_tile(left: np.ndarray, right: np.ndarray | None, radius: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, drop_stash, mixed, slices, stash
+from ._common import WordHashes, drop_stash, in_small_batches, mixed, slices, stash
 
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 SHARDS = 64
@@ -207,7 +207,7 @@ def repeated_cells(docs: DataFrame, width: int, gram: int, rows: int, bits: int)
         if size:
             yield shard_parts(cells_of(np.concatenate(held), rows, bits), bits)
 
-    return merged_bits(docs.select("text").mapInArrow(sketch, SHARD_PARTS), rows, bits)
+    return merged_bits(in_small_batches(docs.select("text")).mapInArrow(sketch, SHARD_PARTS), rows, bits)
 
 
 def member_bits(hashes: DataFrame, bits: int) -> bytes:

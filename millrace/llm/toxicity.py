@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import WordHashes, crc_remainder, drop_stash, stash, worded
+from ._common import WordHashes, crc_remainder, drop_stash, in_small_batches, stash, worded
 from ._features import Beginnings, bounded_sample, labelled, logistic, plain, presence
 
 MOD, HELD = 3, 1
@@ -56,7 +56,7 @@ def features(rows: DataFrame, bits: int, column: np.ndarray | None = None) -> Da
                 offsets, at = np.concatenate([[0], np.cumsum(at >= 0)])[offsets], at[at >= 0]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(at))], ["positive", "at"])
 
-    return rows.select("text", "positive").mapInArrow(run, "positive boolean, at array<int>")
+    return in_small_batches(rows.select("text", "positive")).mapInArrow(run, "positive boolean, at array<int>")
 
 
 def occurrences(rows: DataFrame, columns: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(logistic(bias + np.bincount(rows, w[at], batch.num_rows)))], ["row", "score"])
 
     rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return in_small_batches(rows).mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
