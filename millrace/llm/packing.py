@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
+import math
 import string
 import unicodedata
 import zlib
@@ -41,23 +43,44 @@ from ._common import Words, fresh, in_small_batches, remembered, spans, stash, w
 # --- tokens -----------------------------------------------------------------------------------
 
 
+#: CLIP's words, in which letters in a row are one.
+CLIP_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def joined(words: pa.Array) -> str:
+    """The words with a space between them."""
+    return b" ".join(words.cast(pa.binary()).to_pylist()).decode("utf-8", "replace")
+
+
 class Remembered:
-    """Token ids of the strings seen so far: string i has ``ids[first[i] : first[i] + n[i]]``."""
+    """Token ids of the strings seen so far: string i has ``ids[first[i] : first[i] + n[i]]`` and was found again ``again[i]`` times."""
 
     def __init__(self):
         self.keys = pa.array([], pa.string())
-        self.first = self.n = np.zeros(0, np.int64)
+        self.first = self.n = self.again = np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
 
     def find(self, wanted: pa.Array) -> np.ndarray:
-        """The place of each string, -1 where it hasn't been seen."""
-        return np.asarray(pc.index_in(wanted, value_set=self.keys).fill_null(-1)).astype(np.int64)
+        """The place of each of different strings, -1 where it hasn't been seen."""
+        at = np.asarray(pc.index_in(wanted, value_set=self.keys).fill_null(-1)).astype(np.int64)
+        self.again[at[at >= 0]] += 1
+        return at
+
+    def thin(self, most: int) -> None:
+        """Forget all but ``most`` strings, those found again least often first, the older of equal ones first."""
+        if len(self.keys) <= most:
+            return
+        keep = np.sort(np.argsort(self.again, kind="stable")[len(self.keys) - most :])
+        self.ids = self.ids[spans(self.first[keep], self.n[keep])]
+        self.keys, self.n, self.again = self.keys.take(pa.array(keep)), self.n[keep], self.again[keep] // 2
+        self.first = np.cumsum(self.n) - self.n
 
     def add(self, keys: pa.Array, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         places = np.arange(len(self.keys), len(self.keys) + len(keys))
         self.keys = pa.concat_arrays([self.keys, keys])
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])
+        self.again = np.concatenate([self.again, np.zeros(len(keys), np.int64)])
         self.ids = np.concatenate([self.ids, ids])
         return places
 
@@ -66,26 +89,48 @@ class ChunkIds:
     """Token ids of each run of characters between ASCII white space.
 
     The tokenizer drops white space and joins nothing across it, so such runs are encoded apart, and those
-    seen lately are remembered (up to ``limit``). A run of letters is never joined with the ASCII punctuation after it
+    seen lately are remembered (up to ``limit``; past it half stay, those met most often). A run of letters is never joined with the ASCII punctuation after it
     if its letters are letters still once they are normalised: then it is encoded once for all its endings, many at a
     time, and cut at the word-end tokens. Letters whose normal form holds a mark (a nukta, the dot of the
     Turkish I) would join with punctuation, so runs that hold any are encoded whole.
+
+    Where the tokenizer's patterns take a run of letters as one word, such runs are normalised together and pass its model without
+    the patterns, which cost more than the model itself.
     """
 
     def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.runs, self.bases = Remembered(), Remembered()
+        self.of_letters = self.by_spaces(path)
+        self.runs, self.bases, self.tails = Remembered(), Remembered(), Remembered()
         self.letters: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+    @staticmethod
+    def by_spaces(path: str):
+        """The tokenizer for normalised runs of letters between spaces; None where its patterns may cut those."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            steps = (json.load(file)["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[1]["use_regex"] or steps[1]["add_prefix_space"]:
+            return None
+        split = steps[0]
+        if (split["behavior"], split["invert"], split["pattern"].get("Regex")) != ("Removed", True, CLIP_PATTERN):
+            return None
+        out = Tokenizer.from_file(path)
+        out.normalizer = normalizers.Sequence([])
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return out
+
     def encode(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text's ids end)."""
-        if len(self.runs.keys) > self.limit:
-            self.runs, self.bases = Remembered(), Remembered()
+        for table in (self.runs, self.bases, self.tails):
+            if len(table.keys) > self.limit:
+                table.thin(self.limit // 2)
         at = self.runs.find(words.distinct)
         lacking = at < 0
         if lacking.any():
@@ -94,16 +139,23 @@ class ChunkIds:
         ends = np.concatenate([[0], np.cumsum(n)])
         return self.runs.ids[spans(self.runs.first[at][words.codes], n)], ends[words.offsets[1:]]
 
-    def all_letters(self, text: str) -> bool:
-        """Whether every character is a letter, long known as one, and its normal form has only letters."""
-        for c in text:
-            known = self.letters.get(c)
-            if known is None:
-                old = unicodedata.ucd_3_2_0
-                known = self.letters[c] = all(unicodedata.category(x)[0] == old.category(x)[0] == "L" for x in c + self.tokenizer.normalizer.normalize_str(c))
-            if not known:
-                return False
-        return True
+    def letter(self, c: str) -> bool:
+        """Whether a character is a letter, long known as one, and its normal form has only letters."""
+        known = self.letters.get(c)
+        if known is None:
+            old = unicodedata.ucd_3_2_0
+            known = self.letters[c] = all(unicodedata.category(x)[0] == old.category(x)[0] == "L" for x in c + self.tokenizer.normalizer.normalize_str(c))
+        return known
+
+    def all_letters(self, words: pa.Array) -> np.ndarray:
+        """Whether every character of each word, none of which holds white space, is such a letter."""
+        if not len(words):
+            return np.zeros(0, bool)
+        points = np.frombuffer(joined(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        each, which = np.unique(points, return_inverse=True)
+        bad = ~np.array([chr(c) == " " or self.letter(chr(c)) for c in each.tolist()])[which]
+        ends = np.concatenate([np.flatnonzero(points == 32), [len(points)]])
+        return np.diff(np.concatenate([[0], np.cumsum(bad)])[ends], prepend=0) == 0
 
     def learn(self, new: pa.Array) -> np.ndarray:
         """Places among the runs, all of which are new."""
@@ -111,36 +163,41 @@ class ChunkIds:
         plain = pc.ascii_is_alpha(base)
         wide = np.flatnonzero(~np.asarray(pc.string_is_ascii(base)))
         known = np.asarray(plain).copy()
-        known[wide] = [self.all_letters(x.decode("utf-8", "replace")) for x in base.take(pa.array(wide)).cast(pa.binary()).to_pylist()]
+        known[wide] = self.all_letters(base.take(pa.array(wide)))
         keys = pc.if_else(plain, pc.ascii_lower(base), pc.if_else(pa.array(known), base, new)).dictionary_encode()
         cut = np.flatnonzero(known & (np.asarray(pc.binary_length(new)) > np.asarray(pc.binary_length(base))))
         sizes = np.asarray(pc.binary_length(base))[cut].tolist()
         tails = pa.array([w[k:] for w, k in zip(new.take(pa.array(cut)).cast(pa.binary()).to_pylist(), sizes, strict=True)], pa.binary()).cast(pa.string()).dictionary_encode()
         letters = np.zeros(len(keys.dictionary), bool)
         letters[np.asarray(keys.indices)] = known
-        key_at = self.based(keys.dictionary, letters)[np.asarray(keys.indices)]
-        tail_at = self.based(tails.dictionary, np.zeros(len(tails.dictionary), bool))[np.asarray(tails.indices)]
+        key_at = self.based(self.bases, keys.dictionary, letters)[np.asarray(keys.indices)]
+        tail_at = self.based(self.tails, tails.dictionary, np.zeros(len(tails.dictionary), bool))[np.asarray(tails.indices)]
         first, n = np.zeros((len(new), 2), np.int64), np.zeros((len(new), 2), np.int64)
         first[:, 0], n[:, 0] = self.bases.first[key_at], self.bases.n[key_at]
-        first[cut, 1], n[cut, 1] = self.bases.first[tail_at], self.bases.n[tail_at]
-        return self.runs.add(new, self.bases.ids[spans(first.ravel(), n.ravel())], n.sum(axis=1))
+        first[cut, 1], n[cut, 1] = len(self.bases.ids) + self.tails.first[tail_at], self.tails.n[tail_at]
+        ids = np.concatenate([self.bases.ids, self.tails.ids])
+        return self.runs.add(new, ids[spans(first.ravel(), n.ravel())], n.sum(axis=1))
 
-    def based(self, keys: pa.Array, letters: np.ndarray) -> np.ndarray:
-        """Places among the bases; those that are new are encoded, ``letters`` many at a time."""
-        at = self.bases.find(keys)
+    def based(self, table: Remembered, keys: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Places in ``table``; those that are new are encoded, ``letters`` many at a time."""
+        at = table.find(keys)
         plain, other = np.flatnonzero((at < 0) & letters), np.flatnonzero((at < 0) & ~letters)
-        for few in (plain[i : i + 20_000] for i in range(0, len(plain), 20_000)):
-            text = b" ".join(keys.take(pa.array(few)).cast(pa.binary()).to_pylist()).decode("utf-8", "replace")
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ascii_ = np.asarray(pc.string_is_ascii(keys))[plain]  # lower-cased already
+        for few in (x[i : i + 20_000] for x in (plain[ascii_], plain[~ascii_]) for i in range(0, len(x), 20_000)):
+            text, tokenizer = joined(keys.take(pa.array(few))), self.tokenizer
+            if self.of_letters:
+                tokenizer = self.of_letters
+                text = text if text.isascii() else self.tokenizer.normalizer.normalize_str(text)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(few):  # can't be while all are letters; one at a time is right in any case
                 other = np.concatenate([other, few])
                 continue
-            at[few] = self.bases.add(keys.take(pa.array(few)), ids, np.diff(cuts, prepend=0))
+            at[few] = table.add(keys.take(pa.array(few)), ids, np.diff(cuts, prepend=0))
         for few in (other[i : i + 4_000] for i in range(0, len(other), 4_000)):  # the library's encodings are large
             texts = [x.decode("utf-8", "replace") for x in keys.take(pa.array(few)).cast(pa.binary()).to_pylist()]
             found = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            at[few] = self.bases.add(keys.take(pa.array(few)), np.concatenate(found), np.array([len(ids) for ids in found], np.int64))
+            at[few] = table.add(keys.take(pa.array(few)), np.concatenate(found), np.array([len(ids) for ids in found], np.int64))
         return at
 
 
@@ -337,10 +394,14 @@ def fewest_sequences(counts: dict[int, int], capacity: int) -> int:
     return bound
 
 
-def tight(counts: dict[int, int], capacity: int, visits: int = 32) -> list[Pattern]:
-    """Around the largest piece that is left, each time, the fillings looked at that waste least, as often as the counts allow."""
+def tight(counts: dict[int, int], capacity: int, below: float = math.inf, visits: int = 32) -> list[Pattern] | None:
+    """Around the largest piece that is left, each time, the fillings looked at that waste least, as often as the counts allow.
+    None as soon as that can't end in fewer than ``below`` sequences."""
     left, plan = dict(counts), []
+    used, total = 0, sum(s * n for s, n in counts.items())
     while left:
+        if used + -(-total // capacity) >= below:
+            return None
         size = max(left)
         around = left | {size: left[size] - 1}
         inside = np.array(sorted(s for s, n in around.items() if n and s <= capacity - size), np.int64)
@@ -349,15 +410,17 @@ def tight(counts: dict[int, int], capacity: int, visits: int = 32) -> list[Patte
         whole = Counter((size, *next(held, ())))
         times = min(left[s] // k for s, k in whole.items())
         plan.append((tuple(sorted(whole.elements(), reverse=True)), times))
+        used += times
         for s, k in whole.items():
+            total -= s * k * times
             left[s] -= k * times
             if not left[s]:
                 del left[s]
     return plan
 
 
-def split_packings(counts: dict[int, int], capacity: int, cuts: int = 24) -> Iterator[list[Pattern]]:
-    """Packings in which the pieces up to a length are packed tightly and those beyond it by best fit, for lengths spread over
+def split_packings(counts: dict[int, int], capacity: int, fewest: int, cuts: int = 24) -> Iterator[list[Pattern]]:
+    """Packings of fewer and fewer than ``fewest`` sequences in which the pieces up to a length are packed tightly and those beyond it by best fit, for lengths spread over
     the pieces.
 
     Where two large pieces or three small ones fill a sequence, best fit spends small pieces on large ones and ends in
@@ -369,7 +432,15 @@ def split_packings(counts: dict[int, int], capacity: int, cuts: int = 24) -> Ite
     for at in places.tolist():
         cut = sizes[min(at, len(sizes) - 1)]
         small = {s: n for s, n in counts.items() if s <= cut}
-        yield tight(small, capacity) + best_fit_decreasing({s: n for s, n in counts.items() if s > cut}, capacity)
+        large, at_least = {s: n for s, n in counts.items() if s > cut}, fewest_sequences(small, capacity)
+        if at_least + fewest_sequences(large, capacity) >= fewest:
+            continue
+        large = best_fit_decreasing(large, capacity)
+        rest = fewest - sum(n for _, n in large)
+        found = tight(small, capacity, rest) if at_least < rest else None
+        if found is not None and sum(n for _, n in found) < rest:
+            yield found + large
+            fewest += sum(n for _, n in found) - rest
 
 
 def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_000, visits: int = 64) -> list[Pattern]:
@@ -385,9 +456,8 @@ def bin_completion(counts: dict[int, int], capacity: int, steps: int | None = 3_
     fewest = sum(n for _, n in best)
     taken = 0
     if fewest > bound:
-        for other in split_packings(left, capacity):
-            if sum(n for _, n in other) < fewest:
-                best, fewest = other, sum(n for _, n in other)
+        for other in split_packings(left, capacity, fewest):
+            best, fewest = other, sum(n for _, n in other)
             if fewest == bound:
                 break
 
