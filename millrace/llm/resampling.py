@@ -6,8 +6,8 @@ the target alike, are the two distributions; the matrix times the vector of gain
 A draw without replacement proportional to the weights is a top-k of weight plus Gumbel noise, which comes from a
 hash of the id, so that it is the same at every run.
 
-A block holds the documents of about 8 MB of text, and a document has one entry a bucket at most, so a block's size is
-bounded. Ranks come from ranges: rows are dealt by range of the order and written, and a row's rank is its place in
+A block holds the documents of about 4 MB of text, and a document has one entry a bucket at most, so a block's size is
+bounded. Each block is a row group of its own, so tasks hold one at a time, however many a file has. Ranks come from ranges: rows are dealt by range of the order and written, and a row's rank is its place in
 its range plus the sizes of the ranges before.
 
 Defined results: a null or empty text, or one without words, has no features and the weight 0; a null id is drawn with
@@ -29,7 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, drop_stash, stash, worded
+from ._common import Words, drop_stash, in_small_batches, stash, worded
+
+#: Bytes of text whose documents make a block.
+BLOCK = 4_000_000
 
 #: Lower-cases A-Z and turns all other ASCII but letters and digits into spaces.
 WORDS = bytes(i if i > 127 else ord(chr(i).lower()) if chr(i) in string.ascii_letters + string.digits else 32 for i in range(256))
@@ -67,11 +70,12 @@ def features(words: Words, longest: int) -> tuple[np.ndarray, np.ndarray, list[b
 
 def csr_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int, longest: int) -> DataFrame:
     """The matrix in blocks of rows: ids, n_words and n_features by document, where each one's entries end, their buckets and counts."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = in_small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    most = BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clean = (pa.RecordBatch.from_arrays([b.column(0), plain(b.column(1))], ["id", "text"]) for b in batches)
-        for some, words in worded(clean, "text"):
+        for some, words in worded(clean, "text", most):
             row, code, names = features(words, longest)
             bucket = np.fromiter((zlib.crc32(n) % buckets for n in names), np.int64, len(names))
             entry, counts = np.unique(row * buckets + bucket[code], return_counts=True)
@@ -166,7 +170,7 @@ def resample(
 
     ``target`` is any table of texts in the wanted distribution.
     """
-    blocks = stash(csr_blocks(docs, id_col, text_col, buckets, longest), "matrix")
+    blocks = stash(csr_blocks(docs, id_col, text_col, buckets, longest), "matrix", group=1)
     wanted = csr_blocks(target, target_text, target_text, buckets, longest).select("buckets", "counts")
     gain = gains(column_sums(blocks, buckets), column_sums(wanted, buckets))
     rows = weighed(blocks, gain).withColumn("score", F.col("weight") + noise("id", seed))

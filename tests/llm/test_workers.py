@@ -23,3 +23,22 @@ def test_small_batches(spark):
 
     found = [r["n"] for r in _common.in_small_batches(rows).mapInArrow(sizes, "n long").collect()]
     assert sum(found) == 12 and max(found) <= 5
+
+
+def test_blocks_of_resampling_are_held_one_at_a_time(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from millrace.llm import resampling
+
+    monkeypatch.setattr(resampling, "worded", lambda batches, column, *_: _common.worded(batches, column, 2_000))
+    written, kept = [], resampling.stash
+    monkeypatch.setattr(resampling, "stash", lambda df, name, *args, **options: written.append(kept(df, name, *args, **options)) or written[-1])
+    monkeypatch.setattr(resampling, "drop_stash", lambda df: None)
+    docs = spark.range(0, 400, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' '), 30) as text")
+    got = {r["doc_id"]: r for r in resampling.resample(docs, docs.select("text")).collect()}
+    assert len(got) == 400 and all(r["n_features"] == 30 for r in got.values()) and sum(r["rank"] is not None for r in got.values()) == 40
+    (path,) = [df._stash_path for df in written if "/matrix-" in df._stash_path]
+    groups = [f.metadata.row_group(g).num_rows for f in map(pq.ParquetFile, glob.glob(path.removeprefix("file://") + "/*.parquet")) for g in range(f.metadata.num_row_groups)]
+    assert sum(groups) > 30 and max(groups) == 1  # all blocks of a file were one group before
