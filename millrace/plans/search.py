@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from ..functions.text import squish
 from ..functions.vectors import cosine_distance
 from ..session import stashed
+from ..sources.files import _pieces
 
 K1, B, RRF = 1.2, 0.75, 60
 ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -131,56 +132,111 @@ def highlighted(text: Column, words: list[str]) -> Column:
     return F.transform(parts, lambda p: F.struct(p.alias("text"), F.array_contains(wanted, F.translate(F.lower(p), *ACCENTS)).alias("match")))
 
 
+#: Runs of letters and digits. Ideographs newer than Unicode 15.0, which other engines don't have as letters yet, are none.
+WORD = re.compile("([^\\W_\U0002ebf0-\U0002ee5d]+)")
+
+
+class _Forms(dict):
+    """Words as texts have them to the folded word, if a query has it, else None; remembered for up to ``limit`` words."""
+
+    def __init__(self, wanted: set[str], limit: int = 200_000):
+        self.wanted, self.limit, self.fold = wanted, limit, str.maketrans(*ACCENTS)
+
+    def __missing__(self, word: str) -> str | None:
+        if len(self) >= self.limit:
+            self.clear()
+        folded = word.lower().translate(self.fold)
+        value = self[word] = folded if folded in self.wanted else None
+        return value
+
+
+class _Matcher:
+    """Finds the words and phrases of all queries in one walk over a text's words: entries are a tree by word, which is
+    gone down only from words that some query has. An entry of several words is a phrase, whatever stands between them."""
+
+    def __init__(self, queries: dict[str, list[str]]):
+        self.count, self.tree, wanted = len(queries), {}, set()
+        for number, words in enumerate(queries.values()):
+            for entry in words:
+                folded = [w for w in re.split(r"[\W_]+", entry.lower().translate(str.maketrans(*ACCENTS))) if w]
+                node = self.tree
+                for word in folded:
+                    node = node.setdefault(word, {})
+                if folded:
+                    node.setdefault("", set()).add(number)  # no word is empty
+                wanted.update(folded)
+        # Lower case and folding leave lengths as they are, but for a letter that becomes one with a mark, which no entry's word has.
+        self.forms, self.lengths = _Forms(wanted), {len(w) for w in wanted}
+
+    def __call__(self, text: str) -> tuple[list[str], list[list[int]]]:
+        """(parts: every second one, from the second, is a word; by query, the places of its words among them)."""
+        parts = WORD.split(text)
+        forms, lengths = self.forms, self.lengths
+        folded = [forms[word] if len(word) in lengths else None for word in parts[1::2]]
+        found: list[set[int]] = [set() for _ in range(self.count)]
+        for first, word in enumerate(folded):
+            if word is None:
+                continue
+            node, at = self.tree.get(word), first
+            while node is not None:
+                for number in node.get("", ()):
+                    found[number].update(range(2 * first + 1, 2 * at + 2, 2))
+                at += 1
+                node = node.get(folded[at]) if at < len(folded) else None
+        return parts, [sorted(of) for of in found]
+
+
+def marked_batch(passages: DataFrame, queries: dict[str, list[str]], text: str = "text", before: str = "<", after: str = ">") -> DataFrame:
+    """Each passage's other columns and each query (``position``, from 1 in the order of ``queries``, and ``query``), with the number of words that
+    match and the text with marks around each (``matches``, ``marked``): ``highlight_batch`` written out. A null text gives nulls."""
+    rows = passages.select(F.struct(*(c for c in passages.columns if c != text)).alias("row"), F.col(text).alias("text"))
+    names = list(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = _Matcher(queries)
+        for batch in (piece for whole in batches for piece in _pieces(whole, "text")):
+            matches, marked = [], []
+            for given in batch.column(1).to_pylist():
+                parts, found = ([], [()] * len(names)) if given is None else match(given)
+                for places in found:
+                    shown = list(parts) if places else ()
+                    for at in places:
+                        shown[at] = f"{before}{shown[at]}{after}"
+                    matches.append(None if given is None else len(places))
+                    marked.append("".join(shown) if places else given)
+            n, every = batch.num_rows, np.arange(batch.num_rows * len(names))
+            columns = [batch.column(0).take(pa.array(every // max(len(names), 1))), pa.array(np.tile(np.arange(1, len(names) + 1, dtype=np.int32), n)), pa.array(names * n, pa.string()), pa.array(matches, pa.int64()), pa.array(marked, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "position", "query", "matches", "marked"])
+
+    fields = [rows.schema["row"], T.StructField("position", T.IntegerType()), T.StructField("query", T.StringType()), T.StructField("matches", T.LongType()), T.StructField("marked", T.StringType())]
+    return rows.mapInArrow(run, T.StructType(fields)).select("row.*", "position", "query", "matches", "marked")
+
+
 def highlight_batch(passages: DataFrame, queries: dict[str, list[str]], text: str = "text") -> DataFrame:
     """Each passage and query (columns ``position``, from 1 in the order of ``queries``, and ``query``) with its segments: what
-    ``highlighted`` gives query by query.
-
-    One automaton of the words and phrases of all queries is built once and walked once for each passage, over the passage's folded words with a
-    mark at both sides of each; an entry of several words is a phrase. A null text gives null segments.
-    """
-    import ahocorasick
-
-    automaton = ahocorasick.Automaton()
-    patterns: dict[str, tuple[int, set[int]]] = {}
-    for number, words in enumerate(queries.values()):
-        for entry in words:
-            folded = [w for w in re.split(r"[\W_]+", entry.lower().translate(str.maketrans(*ACCENTS))) if w]
-            if folded:
-                patterns.setdefault("".join(f"\0{w}\1" for w in folded), (len(folded), set()))[1].add(number)
-    for pattern, (n, of) in patterns.items():
-        automaton.add_word(pattern, (n, tuple(sorted(of))))
-    automaton.make_automaton()
-
-    pieces = F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
-    folded = F.transform(pieces, lambda p: F.when(p.rlike(r"^[\p{L}\p{N}]"), F.translate(F.lower(p), *ACCENTS)))
-    columns = passages.columns
-    rows = passages.select(F.struct(*columns).alias("row"), pieces.alias("pieces"), folded.alias("folded"))
+    ``highlighted`` gives query by query, and phrases. A null text gives null segments."""
+    rows = passages.select(F.struct(*passages.columns).alias("row"), F.col(text).alias("text"))
     count = len(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, sizes = [np.zeros(0, bool)], []
-            for words in batch.column(2).to_pylist():
-                found = np.zeros((count, len(words or ())), bool)
-                if words and patterns:
-                    at = [k for k, w in enumerate(words) if w is not None]
-                    joined, ends = "".join(f"\0{words[k]}\1" for k in at), {}
-                    end = -1
-                    for place, k in enumerate(at):
-                        end += len(words[k]) + 2
-                        ends[end] = place
-                    for end, (n, of) in automaton.iter(joined):
-                        last = ends[end]
-                        for number in of:
-                            found[number, [at[p] for p in range(last - n + 1, last + 1)]] = True
-                marks.append(found.ravel())
-                sizes += [found.shape[1]] * count
+        match = _Matcher(queries)
+        for batch in (piece for whole in batches for piece in _pieces(whole, "text")):
+            pieces, marks, sizes = [], [np.zeros(0, bool)], []
+            for given in batch.column(1).to_pylist():
+                parts, found = ([], [()] * count) if given is None else match(given)
+                flags = np.zeros((count, len(parts)), bool)
+                for number, places in enumerate(found):
+                    flags[number, places] = True
+                kept = [k for k, part in enumerate(parts) if part]  # a text may begin or end with a word
+                pieces.append(None if given is None else [parts[k] for k in kept])
+                marks.append(flags[:, kept].ravel())
+                sizes += [len(kept)] * count
             flags = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(marks)))
             each = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * count, pa.int32()), flags)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), each], ["row", "pieces", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string())), each], ["row", "pieces", "marks"])
 
-    marked = rows.mapInArrow(run, T.StructType([rows.schema["row"], rows.schema["pieces"], T.StructField("marks", T.ArrayType(T.ArrayType(T.BooleanType())))]))
-    each = marked.select("row", "pieces", F.posexplode("marks").alias("_k", "_at"))
+    fields = [rows.schema["row"], T.StructField("pieces", T.ArrayType(T.StringType())), T.StructField("marks", T.ArrayType(T.ArrayType(T.BooleanType())))]
+    each = rows.mapInArrow(run, T.StructType(fields)).select("row", "pieces", F.posexplode("marks").alias("_k", "_at"))
     segments = F.transform("pieces", lambda p, i: F.struct(p.alias("text"), F.get("_at", i).alias("match")))
     names = F.array(*(F.lit(q) for q in queries))
     return each.select("row.*", (F.col("_k") + 1).alias("position"), F.get(names, F.col("_k")).alias("query"), segments.alias("segments"))
